@@ -11,7 +11,7 @@ from tallyframe.plans.registry import query, r6
 
 
 def R(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0e0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9, 6) + 0e0 AS {name}"
 
 
 SQL_FOLD = "trim(regexp_replace(lower(strip_accents(replace({c}, chr(160), ' '))), '\\s+', ' ', 'g'))"

@@ -28,8 +28,11 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
 
 
 def r6(c, name: str | None = None) -> Column:
-    """Six decimals, so that the order of a sum cannot show in a comparison."""
+    """Six decimals, so that the order of a sum cannot show in a comparison.
+
+    The small shift keeps exact halves on one side of the rounding in both engines.
+    """
     column = F.col(c) if isinstance(c, str) else c
-    out = F.round(column.cast("double"), 6) + F.lit(0.0)
+    out = F.round(column.cast("double") + 1e-9, 6) + F.lit(0.0)
     label = name or (c if isinstance(c, str) else None)
     return out.alias(label) if label else out
