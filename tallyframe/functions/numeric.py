@@ -12,6 +12,11 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` evaluated once, where an expression uses it many times."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def clip(c, lo=None, hi=None) -> Column:
     """Bounded value; null stays null (``greatest`` alone would drop it)."""
     c = col_of(c)

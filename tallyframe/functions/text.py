@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.numeric import col_of
+from tallyframe.functions.numeric import col_of, let
 
 
 def _decompositions() -> tuple[str, str, dict[str, str]]:
@@ -34,12 +34,14 @@ _FROM, _TO, _LIGATURES = _decompositions()
 
 def strip_accents(c) -> Column:
     """Drop combining marks and decompose accented Latin letters."""
-    text = F.translate(col_of(c), _FROM, _TO)
-    expanded = text
-    for char, plain in _LIGATURES.items():
-        expanded = F.replace(expanded, F.lit(char), F.lit(plain))
-    text = F.when(text.rlike(f"[{''.join(_LIGATURES)}]"), expanded).otherwise(text)
-    return F.regexp_replace(text, r"\p{Mn}+", "")
+
+    def expand(text: Column) -> Column:
+        expanded = text
+        for char, plain in _LIGATURES.items():
+            expanded = F.replace(expanded, F.lit(char), F.lit(plain))
+        return F.when(text.rlike(f"[{''.join(_LIGATURES)}]"), expanded).otherwise(text)
+
+    return F.regexp_replace(let(F.translate(col_of(c), _FROM, _TO), expand), r"\p{Mn}+", "")
 
 
 def fold(c) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.numeric import clip, num, sigmoid
+from tallyframe.functions.numeric import clip, let, num, sigmoid
 from tallyframe.functions.text import normalize_name
 
 # Canonical candidates and the names they are published under.
@@ -35,9 +35,7 @@ def canonical_candidate(name, aliases: dict[str, Sequence[str]] | None = None) -
     table = [
         (alias, canonical) for canonical, names in (aliases or ALIASES).items() for alias in names
     ]
-    norm = normalize_name(name)
-    tokens = F.split(norm, " ")
-    exact = F.coalesce(*[F.when(norm == a, F.lit(c)) for a, c in table])
+    exact = F.create_map(*[F.lit(x) for pair in dict(table).items() for x in pair])
     entries = F.array(*[
         F.struct(
             F.lit(len(a.split())).alias("n"),
@@ -46,9 +44,17 @@ def canonical_candidate(name, aliases: dict[str, Sequence[str]] | None = None) -
         )
         for a, c in table
     ])
-    hits = F.filter(entries, lambda e: F.size(F.array_except(e["tokens"], tokens)) == 0)
-    best = F.array_max(F.transform(hits, lambda e: F.struct(e["n"], e["canonical"])))["canonical"]
-    return F.coalesce(exact, best, F.translate(norm, " ", "_"))
+
+    def longest(tokens: Column) -> Column:
+        hits = F.filter(entries, lambda e: F.size(F.array_except(e["tokens"], tokens)) == 0)
+        return F.array_max(F.transform(hits, lambda e: F.struct(e["n"], e["canonical"])))["canonical"]
+
+    return let(
+        normalize_name(name),
+        lambda norm: F.coalesce(
+            F.try_element_at(exact, norm), let(F.split(norm, " "), longest), F.translate(norm, " ", "_")
+        ),
+    )
 
 
 def guard_signals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
