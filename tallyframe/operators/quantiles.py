@@ -22,7 +22,8 @@ SMALL = 100_000
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` with null equal to null; the right keys are dropped."""
     if not keys:
-        return left.join(F.broadcast(right))  # one aggregate row
+        row = right.select(F.struct(*right.columns).alias("_row")).scalar()  # one aggregate row
+        return left.withColumn("_row", row).select(*left.columns, "_row.*")
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
