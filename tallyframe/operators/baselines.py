@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import METHODS, poll_weight
 from tallyframe.operators.polls import alr_array, complete_vectors
+from tallyframe.operators.skew import spread_join
 
 
 def polling_baseline(
@@ -25,7 +26,7 @@ def polling_baseline(
     key = [*keys, as_of]
     v = complete_vectors(polls, key)
     latest = v.groupBy(*key).agg(F.max("field_date").alias("_latest"), F.percentile("sample_size", F.lit(0.5)).alias("_median_n"))
-    v = v.join(latest, key)
+    v = spread_join(v, latest, key, ["poll_id"])
     for m in methods:
         v = v.withColumn(f"w_{m}", poll_weight(m, "field_date", as_of, "sample_size", "_latest", half_life))
     pairs = v.select(*key, "_median_n", *[f"w_{m}" for m in methods], "slate", "shares", F.posexplode("shares").alias("_i", "a")).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import base_precision, clip
 from tallyframe.operators.polls import require_columns
+from tallyframe.operators.skew import spread_join
 
 LEVELS = ("institute", "collection_mode", "target_population")
 PRIOR_DF = 8.0
@@ -120,7 +121,7 @@ def calibrated_precision(meta: DataFrame, keys, as_of: str, variance: DataFrame
         return out
     out = with_prior_variance(out, variance).withColumn("_pen", 1.0 / F.greatest(F.col("prior_variance"), F.lit(0.05)))
     if keys:
-        out = out.join(out.groupBy(*keys).agg(F.percentile("_pen", F.lit(0.5)).alias("_med")), list(keys))
+        out = spread_join(out, out.groupBy(*keys).agg(F.percentile("_pen", F.lit(0.5)).alias("_med")), keys, ["poll_id"])
     else:
         out = out.withColumn("_med", out.agg(F.percentile("_pen", F.lit(0.5))).scalar())
     return out.withColumn("base_precision", F.col("base_precision") * clip(F.col("_pen") / F.col("_med"), 0.25, 4.0)).drop("_pen", "_med")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.compose import closed
 from tallyframe.functions.numeric import clip, hash_normal
+from tallyframe.operators.skew import join_dimension
 
 BLOCK = 4096
 
@@ -76,7 +77,7 @@ def add_predictive_error(draws: DataFrame, roots: DataFrame, keys: Sequence[str]
     keys = list(keys)
     z = normals(seed, F.size("root"), *[F.col(k) for k in keys], F.col("draw_id"))
     shock = F.aggregate(F.zip_with("root", z, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    out = draws.join(roots, [*keys, "candidate_id"], "left")
+    out = join_dimension(draws, roots, [*keys, "candidate_id"], ["draw_id", "geo"], "left")
     base = closed(F.greatest(F.col("share") / 100.0, F.lit(1e-6)), [*keys, "draw_id", "geo"])
     weight = base * F.exp(F.when(F.col("root").isNotNull(), shock).otherwise(F.lit(0.0)))
     return out.withColumn("_w", weight).withColumn(
@@ -113,7 +114,7 @@ def blend_state_prior(draws: DataFrame, priors: DataFrame, counts: DataFrame, ke
     n = F.coalesce(F.col("_polls").cast("double"), F.lit(0.0))
     p = p.withColumn("_dw", n / (n + F.greatest(F.col("_strength"), F.lit(1e-6)))).drop("_polls", "_strength")
     nation = F.max(F.when(F.col("geo") == national, F.log("share"))).over(Window.partitionBy(*keys, "draw_id", "candidate_id"))
-    out = draws.withColumn("_nat", nation).join(p, [*place, "candidate_id"], "left")
+    out = join_dimension(draws.withColumn("_nat", nation), p, [*place, "candidate_id"], ["draw_id"], "left")
     target = F.when(F.col("_lean"), F.col("_nat") + F.col("_prior")).otherwise(F.col("_prior"))
     log_share = F.when(
         F.col("_prior").isNotNull(), F.col("_dw") * F.log("share") + (1 - F.col("_dw")) * target
@@ -141,7 +142,10 @@ def project_state_lean(national: DataFrame, priors: DataFrame, keys: Sequence[st
     rows = national.withColumn("_k", F.count("*").over(slate)).withColumn(
         "_s", closed(F.greatest(F.col("share"), F.lit(1e-9)), [*keys, "draw_id"])
     )
-    out = rows.join(lean, [*keys, "candidate_id"])
+    slates = lean.groupBy(*keys, "candidate_id").agg(F.collect_list(F.struct("uf", "_lean")).alias("_l"))
+    out = join_dimension(rows, slates, [*keys, "candidate_id"], ["draw_id"]).withColumn("_l", F.explode("_l")).select(
+        *rows.columns, "_l.*"
+    )
     full = F.count("_lean").over(Window.partitionBy(*keys, "draw_id", "uf")) == F.col("_k")
     x = F.when(full, F.greatest(F.col("_s") * F.col("_lean"), F.lit(1e-9))).otherwise(
         F.raise_error(F.concat(F.lit("incomplete state prior for "), F.col("uf"))).cast("double")
@@ -155,7 +159,9 @@ def project_state_lean(national: DataFrame, priors: DataFrame, keys: Sequence[st
 def tilt(draws: DataFrame, probabilities: DataFrame, keys: Sequence[str], factor: float = 0.20) -> DataFrame:
     """Shares tilted by the structural win probability of each candidate."""
     place = [*keys, "draw_id", "geo"]
-    out = draws.join(probabilities.select(*keys, "candidate_id", "ml_probability"), [*keys, "candidate_id"])
+    out = join_dimension(
+        draws, probabilities.select(*keys, "candidate_id", "ml_probability"), [*keys, "candidate_id"], ["draw_id", "geo"]
+    )
     k = F.count("*").over(Window.partitionBy(*place))
     return out.withColumn("_x", F.col("share") * F.exp((F.col("ml_probability") - 1.0 / k) * factor)).withColumn(
         "share", closed(F.col("_x"), place) * 100.0
@@ -172,7 +178,7 @@ def allocate_undecided(draws: DataFrame, undecided: DataFrame, fund: DataFrame,
     place = [*keys, "draw_id", "geo"]
     late = F.coalesce(F.col("late_decider_score"), F.lit(0.0))
     appeal = fund.select(*keys, "candidate_id", F.exp(late + (50.0 - F.col("rejection")) / 140.0).alias("_appeal"))
-    out = draws.join(appeal, [*keys, "candidate_id"]).join(undecided, place)
+    out = join_dimension(draws, appeal, [*keys, "candidate_id"], ["draw_id", "geo"]).join(undecided, place)
     s = F.col("share") / 100.0
     u = clip(F.col("undecided") / 100.0, 0.0, 0.60)
     k = F.count("*").over(Window.partitionBy(*place))
@@ -225,7 +231,11 @@ def runoff(votes: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame
         F.col("e.candidate_id").alias("source_id"), F.coalesce("e.votes", F.lit(0.0)).alias("_e"),
     )
     on = [*keys, "source_id", "a_id", "b_id"] + (["draw_id"] if "draw_id" in pairs.columns else [])
-    j = sides.join(pairs.select(*on, "p_a", "p_abstain"), on, "left")
+    probabilities = pairs.select(*on, "p_a", "p_abstain")
+    if "draw_id" in on:
+        j = sides.join(probabilities, on, "left")
+    else:
+        j = join_dimension(sides, probabilities, on, ["draw_id"], "left")
     known = F.col("p_a").isNotNull() | F.col("source_id").isNull()
     moved = F.when(known, F.col("_e") * (1.0 - F.coalesce("p_abstain", F.lit(0.0)))).otherwise(
         F.raise_error(F.lit("no transfer probability for an eliminated candidate")).cast("double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import text as tx
 from tallyframe.functions.numeric import as_date, margin, num
+from tallyframe.operators.skew import spread_join
 
 # What a missing column of a poll table means.
 DEFAULTS = {
@@ -146,14 +147,13 @@ def key_slates(polls: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def complete_vectors(polls: DataFrame, keys: Sequence[str], floor: float = 0.01) -> DataFrame:
     """Poll vectors that hold every candidate of their key."""
-    return poll_vectors(polls, keys, floor).join(key_slates(polls, keys), [*keys, "slate"], "left_semi")
+    return spread_join(poll_vectors(polls, keys, floor), key_slates(polls, keys), [*keys, "slate"], ["poll_id"], "left_semi")
 
 
 def complete_polls(polls: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the polls that hold every candidate of their key."""
-    kept = poll_signature(polls, keys).join(
-        key_slates(polls, keys).withColumnRenamed("slate", "signature"), [*keys, "signature"], "left_semi"
-    )
+    slates = key_slates(polls, keys).withColumnRenamed("slate", "signature")
+    kept = spread_join(poll_signature(polls, keys), slates, [*keys, "signature"], ["poll_id"], "left_semi")
     return polls.join(kept.select(*keys, "poll_id"), [*keys, "poll_id"], "left_semi")
 
 
@@ -161,7 +161,7 @@ def incomplete_polls(polls: DataFrame, keys: Sequence[str], limit: int = 5) -> D
     """First polls that lack a candidate of their key, for the error message."""
     sig = poll_signature(polls, keys)
     kept = key_slates(polls, keys).withColumnRenamed("slate", "signature")
-    return sig.join(kept, [*keys, "signature"], "left_anti").select(*keys, "poll_id").orderBy("poll_id").limit(limit)
+    return spread_join(sig, kept, [*keys, "signature"], ["poll_id"], "left_anti").select(*keys, "poll_id").orderBy("poll_id").limit(limit)
 
 
 def alr_array(shares: str = "shares") -> Column:

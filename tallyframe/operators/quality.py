@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import as_date
-from tallyframe.operators.quantiles import grouped_quantiles, join_null_safe
+from tallyframe.operators.quantiles import grouped_quantiles
+from tallyframe.operators.skew import spread_join
 
 # Columns every dataset must have.
 REQUIRED_COLUMNS = {
@@ -183,13 +184,13 @@ def flag_outliers(
     """Robust z-score of every row within its group; null group keys form groups too."""
     keys = [g for g in groups if g in df.columns]
     center = grouped_quantiles(df, keys, value, [0.5]).select(*keys, F.col("q0").alias("_m"))
-    centered = join_null_safe(df, center, keys, "left").withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    centered = spread_join(df, center, keys, df.columns, "left", null_safe=True).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
     spread = grouped_quantiles(centered, keys, "_d", [0.5]).select(*keys, F.col("q0").alias("_mad"))
     z = F.when(F.coalesce(F.col("_mad"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(
         0.67448975 * (F.col(value) - F.col("_m")) / F.col("_mad")
     )
     return (
-        join_null_safe(centered, spread, keys, "left")
+        spread_join(centered, spread, keys, df.columns, "left", null_safe=True)
         .withColumn("robust_z", z)
         .withColumn("is_outlier", F.coalesce(F.abs("robust_z") > threshold, F.lit(False)))
         .drop("_m", "_d", "_mad")

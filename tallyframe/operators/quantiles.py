@@ -15,20 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.skew import spread_join
+
 SKETCH = 10_000
 SMALL = 100_000
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` with null equal to null; the right keys are dropped."""
-    if not keys:
-        row = right.select(F.struct(*right.columns).alias("_row")).scalar()  # one aggregate row
-        return left.withColumn("_row", row).select(*left.columns, "_row.*")
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """``keys`` plus ``n`` and ``q0, q1, ...``: linearly interpolated quantiles, nulls ignored."""
     rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
@@ -54,7 +46,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     )
     segment = reduce(lambda a, b: a + b, [(x > F.col(f"_e{2 * i + 1}")).cast("int") for i in range(len(probs))])
     counted = (
-        join_null_safe(rows, stats, keys)
+        spread_join(rows, stats, keys, ["_x"], null_safe=True)
         .withColumn("_in", inside)
         .withColumn("_key", F.when(F.col("_in"), x))
         .withColumn("_seg", F.when(~F.col("_in"), segment))

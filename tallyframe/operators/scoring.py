@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import clip, col_of
-from tallyframe.operators.quantiles import grouped_quantiles, join_null_safe
+from tallyframe.operators.quantiles import grouped_quantiles
+from tallyframe.operators.skew import spread_join
 
 
 def brier(y, p) -> Column:
@@ -118,7 +119,7 @@ def calibration_by_group(df: DataFrame, keys: Sequence[str], div: int = 4) -> Da
     """Scores per group, with ``min(10, max(2, n div div))`` bins in each group."""
     size = df.groupBy(*keys).agg(F.count("*").alias("_size"))
     bins = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.col("_size") / div).cast("int")))
-    sized = join_null_safe(df, size.withColumn("_bins", bins).drop("_size"), keys)
+    sized = spread_join(df, size.withColumn("_bins", bins).drop("_size"), keys, df.columns, null_safe=True)
     y, p = F.col("outcome").cast("double"), F.col("win_probability")
     err = F.abs(F.col("actual_share") - F.col("predicted_share"))
     inside = F.coalesce(F.col("actual_share").between(F.col("lower"), F.col("upper")), F.lit(False)).cast("double")
@@ -171,7 +172,7 @@ def psi(reference: DataFrame, current: DataFrame, value: str, keys: Sequence[str
         current.select(*keys, x.alias("_x"), F.lit(0).alias("_ref"))
     ).where(F.col("_x").isNotNull())
     inner = F.slice(F.col("_edges"), 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
-    binned = join_null_safe(both, edges, keys).withColumn("_bin", F.size(F.filter(inner, lambda e: e <= F.col("_x"))))
+    binned = spread_join(both, edges, keys, ["_x"], null_safe=True).withColumn("_bin", F.size(F.filter(inner, lambda e: e <= F.col("_x"))))
     counts = binned.groupBy(*keys, "_bin").agg(
         F.max(F.size("_edges")).alias("_m"), F.sum("_ref").alias("_r"), F.sum(1 - F.col("_ref")).alias("_c"),
         F.sum(F.when(F.col("_ref") == 1, F.col("_x"))).alias("_sr"), F.sum(F.when(F.col("_ref") == 0, F.col("_x"))).alias("_sc"),

@@ -141,7 +141,7 @@ def assign_folds(df: DataFrame, date_column: str, min_train: int = 3) -> DataFra
     """
     days = df.select(F.to_date(date_column).alias("_day")).distinct()
     ranks = days.withColumn("_rank", F.row_number().over(Window.orderBy("_day")) - 1)  # one row per day
-    out = df.withColumn("_day", F.to_date(date_column)).join(ranks, "_day")
+    out = df.withColumn("_day", F.to_date(date_column)).join(F.broadcast(ranks), "_day")
     return out.withColumn("test_fold", F.when(F.col("_rank") >= min_train, F.col("_rank"))).withColumn(
         "train_from", F.greatest(F.col("_rank") + 1, F.lit(min_train))
     ).drop("_day", "_rank")

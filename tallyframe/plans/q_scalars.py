@@ -347,18 +347,18 @@ _ALIAS_SQL = ", ".join(f"('{c}', '{a}')" for c, names in cd.ALIASES.items() for
 WITH al(canonical, alias) AS (VALUES {_ALIAS_SQL}),
  n AS (SELECT conv_id, turn, trim(regexp_replace(lower(strip_accents(t)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM (SELECT conv_id, turn,
    CASE conv_id % 7 WHEN 0 THEN 'José Lula ' || role WHEN 1 THEN 'Jair Messias Bolsonaro' WHEN 2 THEN 'AÉCIO Neves da Cunha' WHEN 3 THEN 'Ciro Haddad ' || turn
-   WHEN 4 THEN 'Marina Silva / ' || role ELSE substr(text, 1, 40) END AS t FROM conversations)),
+   WHEN 4 THEN 'Marina Silva / ' || role ELSE text END AS t FROM conversations)),
  c AS (SELECT conv_id, turn, norm, (SELECT max(canonical) FROM al WHERE alias = norm) AS exact,
   (SELECT max({{'n': len(string_split(alias, ' ')), 'c': canonical}}) FROM al WHERE len(list_filter(string_split(alias, ' '), lambda x: NOT list_contains(string_split(norm, ' '), x))) = 0) AS best FROM n)
-SELECT conv_id, turn, coalesce(exact, best.c, replace(norm, ' ', '_')) AS canonical FROM c""")
+SELECT conv_id, turn, md5(coalesce(exact, best.c, replace(norm, ' ', '_'))) AS canonical_md5 FROM c""")
 def _(spark, d):
     c = F.col("conv_id") % 7
     name = (
         F.when(c == 0, F.concat(F.lit("José Lula "), "role")).when(c == 1, F.lit("Jair Messias Bolsonaro"))
         .when(c == 2, F.lit("AÉCIO Neves da Cunha")).when(c == 3, F.concat(F.lit("Ciro Haddad "), F.col("turn").cast("string")))
-        .when(c == 4, F.concat(F.lit("Marina Silva / "), "role")).otherwise(F.substring("text", 1, 40))
+        .when(c == 4, F.concat(F.lit("Marina Silva / "), "role")).otherwise(F.col("text"))
     )
-    return v.table(spark, d, "conversations").select("conv_id", "turn", cd.canonical_candidate(name).alias("canonical"))
+    return v.table(spark, d, "conversations").select("conv_id", "turn", F.md5(cd.canonical_candidate(name)).alias("canonical_md5"))
 
 
 @query("J02_feature_frame", f"""
