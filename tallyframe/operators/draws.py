@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.compose import closed
 from tallyframe.functions.numeric import clip, hash_normal
-from tallyframe.operators.skew import join_dimension
+from tallyframe.operators.skew import join_dimension, spread_work
 
 BLOCK = 4096
 
@@ -29,7 +29,8 @@ def spread_draws(keys_df: DataFrame, n: int) -> DataFrame:
     if n <= BLOCK:
         return keys_df.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
     blocks = -(-n // BLOCK)
-    out = keys_df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).repartition("_block")
+    rows = keys_df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    out = spread_work(rows, "_block")
     start = F.col("_block") * BLOCK
     return out.withColumn(
         "draw_id", F.explode(F.sequence(start, F.least(start + (BLOCK - 1), F.lit(n - 1).cast("bigint"))))
@@ -85,16 +86,20 @@ def add_predictive_error(draws: DataFrame, roots: DataFrame, keys: Sequence[str]
     ).drop("_w", "root")
 
 
-def blend_state_prior(draws: DataFrame, priors: DataFrame, counts: DataFrame, keys: Sequence[str], national: str = "BR") -> DataFrame:
+def blend_state_prior(
+    draws: DataFrame, priors: DataFrame, counts: DataFrame, keys: Sequence[str], slate: DataFrame, national: str = "BR"
+) -> DataFrame:
     """State draws pulled to national level plus historical lean, by their number of state polls.
 
-    States whose prior lacks a candidate keep their draws. ``priors`` without
-    national shares are read as absolute state shares.
+    States whose prior lacks a candidate of the ``slate`` (keys, candidate_id)
+    keep their draws. ``priors`` without national shares are read as absolute
+    state shares.
     """
     keys = list(keys)
     place = [*keys, "geo"]
-    slate = draws.select(*keys, "candidate_id").distinct().groupBy(*keys).agg(F.count("*").alias("_k"))
-    p = priors.withColumnRenamed("uf", "geo").join(draws.select(*keys, "candidate_id").distinct(), [*keys, "candidate_id"], "left_semi")
+    slate = slate.select(*keys, "candidate_id").distinct()
+    p = priors.withColumnRenamed("uf", "geo").join(slate, [*keys, "candidate_id"], "left_semi")
+    slate = slate.groupBy(*keys).agg(F.count("*").alias("_k"))
     nat = F.col("national_prior_share") if "national_prior_share" in priors.columns else F.lit(None).cast("double")
     w = Window.partitionBy(*place)
     strength = F.avg("prior_strength").over(w) if "prior_strength" in priors.columns else F.lit(3.0)

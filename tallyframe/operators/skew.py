@@ -41,6 +41,17 @@ def spread_join(
     return left.join(right, condition, how).drop("_salt", "_r__salt", *[f"_r_{k}" for k in keys])
 
 
+def spread_work(df: DataFrame, *by: str) -> DataFrame:
+    """Hash-partition rows that carry much work for few bytes.
+
+    The number is explicit, because adaptive execution merges partitions by
+    bytes and would give a few heavy rows to one task.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *by)
+
+
 def join_dimension(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
 ) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,14 +47,14 @@ def horizons(elections: Sequence[tuple], offsets: Sequence[int] = OFFSETS) -> Co
     items = []
     for row in elections:
         year, day, start = row[0], row[1], row[3]
-        for days in dict.fromkeys(offsets):
-            cutoff = F.date_sub(F.lit(day), days)
-            scorable = F.lit(True) if start is None else cutoff >= F.lit(start)
-            items.append(F.struct(
-                F.lit(int(year)).alias("election_year"), F.lit(int(days)).alias("days"),
-                cutoff.alias("cutoff"), F.lit(day).alias("election_date"), scorable.alias("scorable"),
-            ))
-    return F.array(*items)
+        for days in dict.fromkeys(int(o) for o in offsets):
+            cutoff = day - timedelta(days=days)
+            scorable = start is None or cutoff >= start
+            items.append(
+                f"named_struct('election_year', {int(year)}, 'days', {days}, 'cutoff', DATE'{cutoff}', "
+                f"'election_date', DATE'{day}', 'scorable', {str(scorable).lower()})"
+            )
+    return F.expr(f"array({', '.join(items)})")
 
 
 def next_election(field_date, elections: Sequence[tuple]) -> Column:

@@ -16,6 +16,7 @@ from tallyframe.functions.compose import closed
 from tallyframe.functions.numeric import METHODS
 from tallyframe.operators import baselines as bl, candidates as cd, draws as dr, fits as ft
 from tallyframe.operators import priors as pr, regression as rg, results as rs, scoring as sc, snapshots as sn
+from tallyframe.operators.skew import join_dimension
 from tallyframe.session import cut_lineage
 
 KEYS = ["election_year", "days_before_election"]
@@ -45,7 +46,7 @@ def study_inputs(polls: DataFrame, results: DataFrame, elections: Sequence[tuple
     dates = snaps.select(*KEYS, "snapshot_date", "scorable").distinct()
     first_round = results.where(F.col("round") == 1)
     # Votes per (year, place, candidate) are few; they are copied to the horizons, polls are not.
-    votes = first_round.groupBy("year", "round", "uf", "candidate_name", "party").agg(F.sum("votes").alias("votes"))
+    votes = cut_lineage(first_round.groupBy("year", "round", "uf", "candidate_name", "party").agg(F.sum("votes").alias("votes")))
     years = votes.select("year").unionByName(dates.select(F.col("election_year").alias("year")))
     earlier = rs.previous_year(years)
     have = votes.agg(F.collect_set("year")).scalar()
@@ -87,20 +88,22 @@ def fitted_draws(inputs: Inputs, n: int, seed: int) -> tuple[DataFrame, DataFram
     return draws, dr.cholesky(ft.residual_covariance(fits, KEYS), KEYS), ft.state_poll_counts(obs, KEYS)
 
 
-def predictive_draws(draws: DataFrame, roots: DataFrame, counts: DataFrame, priors: DataFrame, seed: int, variant: str | None = None) -> DataFrame:
+def predictive_draws(draws: DataFrame, roots: DataFrame, counts: DataFrame, priors: DataFrame, slate: DataFrame, seed: int, variant: str | None = None) -> DataFrame:
     """Draws blended with state priors and given their predictive error, per prior variant if there is one."""
     keys = KEYS if variant is None else [*KEYS, variant]
     if variant is not None:
         names = priors.select(*keys).distinct()
-        draws, roots, counts = (x.join(names, KEYS) for x in (draws, roots, counts))
-    return dr.add_predictive_error(dr.blend_state_prior(draws, priors, counts, keys), roots, keys, seed)
+        draws = join_dimension(draws, names.groupBy(*KEYS).agg(F.collect_list(variant).alias("_v")), KEYS, ["draw_id", "geo"])
+        draws = draws.withColumn(variant, F.explode("_v")).drop("_v")
+        roots, counts, slate = (x.join(names, KEYS) for x in (roots, counts, slate))
+    return dr.add_predictive_error(dr.blend_state_prior(draws, priors, counts, keys, slate), roots, keys, seed)
 
 
 def run_backtest(polls: DataFrame, results: DataFrame, elections: Sequence[tuple], offsets: Sequence[int] = sn.OFFSETS, n: int = 4000, seed: int = 42, states_only: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Forecast records of every snapshot, and their metrics per snapshot and per state."""
     inputs = study_inputs(polls, results, elections, offsets, states_only)
     draws, roots, counts = fitted_draws(inputs, n, seed)
-    final = predictive_draws(draws, roots, counts, inputs.priors, seed + 1)
+    final = predictive_draws(draws, roots, counts, inputs.priors, inputs.candidates, seed + 1)
     records = cut_lineage(dr.forecast_records(final, inputs.actual, inputs.dates, KEYS))
     return records, sc.snapshot_metrics(records), sc.state_metrics(records)
 
@@ -130,8 +133,8 @@ def compare_models(polls: DataFrame, results: DataFrame, elections: Sequence[tup
     draws, roots, counts = fitted_draws(inputs, n, seed)
     draws = cut_lineage(draws)
     neutral = pr.neutral_priors(inputs.priors, inputs.candidates, KEYS, 0.75, "neutral_ablation", national=False)
-    full = predictive_draws(draws, roots, counts, inputs.priors, seed + 1)
-    flat = dr.blend_state_prior(draws, neutral, counts, KEYS).where(F.col("geo") != "BR")
+    full = predictive_draws(draws, roots, counts, inputs.priors, inputs.candidates, seed + 1)
+    flat = dr.blend_state_prior(draws, neutral, counts, KEYS, inputs.candidates).where(F.col("geo") != "BR")
     model = ["model", *KEYS]
     parts = [
         baseline_draws(base, KEYS, n, seed + 2).withColumnRenamed("method", "model"),
@@ -164,7 +167,7 @@ def ablate_priors(polls: DataFrame, results: DataFrame, elections: Sequence[tupl
     priors = inputs.priors.withColumn("model", F.lit("historical_state_lean")).unionByName(
         pr.neutral_priors(inputs.priors, inputs.candidates, KEYS).withColumn("model", F.lit("neutral_state_prior"))
     )
-    final = predictive_draws(draws, roots, counts, priors, seed + 1, "model").where(F.col("geo") != "BR")
+    final = predictive_draws(draws, roots, counts, priors, inputs.candidates, seed + 1, "model").where(F.col("geo") != "BR")
     return dr.score_draws(final, inputs.actual, [*KEYS, "model"])
 
 
@@ -173,7 +176,7 @@ def sensitivity_grid(polls: DataFrame, results: DataFrame, elections: Sequence[t
     inputs = study_inputs(polls, results, elections, offsets, states_only, absent="zero")
     draws, roots, counts = fitted_draws(inputs, n, seed)
     priors = with_strengths(inputs.priors, strengths, "grid_strength")
-    final = predictive_draws(draws, roots, counts, priors, seed + 1, "grid_strength").where(F.col("geo") != "BR")
+    final = predictive_draws(draws, roots, counts, priors, inputs.candidates, seed + 1, "grid_strength").where(F.col("geo") != "BR")
     return dr.score_draws(final, inputs.actual, [*KEYS, "grid_strength"]).withColumnRenamed("grid_strength", "prior_strength")
 
 
@@ -193,7 +196,7 @@ def robustness_records(polls: DataFrame, results: DataFrame, elections: Sequence
     priors = inputs.priors.withColumn("model", F.lit("hierarchical_full")).unionByName(
         pr.neutral_priors(inputs.priors, inputs.candidates, KEYS).withColumn("model", F.lit("neutral_state_prior"))
     )
-    model = predictive_draws(draws, roots, counts, priors, seed + 1, "model")
+    model = predictive_draws(draws, roots, counts, priors, inputs.candidates, seed + 1, "model")
     model = model.where((F.col("model") == "hierarchical_full") | (F.col("geo") != "BR"))
     lean = dr.project_state_lean(recency.drop("geo"), inputs.priors, KEYS)
     columns = ["model", *KEYS, "draw_id", "geo", "candidate_id", "share"]
@@ -231,7 +234,7 @@ def predict(
     fits, rel, obs = ft.fit_snapshots(polls, keys, as_of, states=states, calibration=calibration)
     draws, undecided = ft.posterior_draws(fits, keys, n, seed)
     if priors is not None:
-        draws = dr.blend_state_prior(draws, priors, ft.state_poll_counts(obs, keys), keys)
+        draws = dr.blend_state_prior(draws, priors, ft.state_poll_counts(obs, keys), keys, fundamentals)
     draws = cut_lineage(draws)
     national = dr.posterior_summary(draws.where(F.col("geo") == "BR"), keys)
     trend = fits.where(F.col("response") == "support").select(*keys, F.explode(F.arrays_zip("slate", "trend_14d")).alias("t")).select(

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import draws as dr, priors as pr, results as rs
+from tallyframe.operators import draws as dr, results as rs
 from tallyframe.operators.candidates import fallback_transfer, pair_features
 from tallyframe.plans import views as v
-from tallyframe.plans.q_priors import SQL_VEC
 from tallyframe.plans.q_scalars import R
-from tallyframe.plans.q_scores import snapshots
 from tallyframe.plans.registry import query, r6
 
 
@@ -85,7 +83,7 @@ def _(spark, d):
     n = v.table(spark, d, "nation").join(v.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     counts = n.where(F.col("r_name") != "EUROPE").groupBy(F.lit(1).alias("race"), F.col("r_name").alias("uf")).agg(F.count_if(F.col("n_nationkey") % 2 == 1).alias("polls"))
     priors = region_priors(spark, d).withColumn("prior_share", F.when((F.col("uf") != "ASIA") | (F.col("candidate_id") != "N"), F.col("prior_share")))
-    return dr.blend_state_prior(keyed(al), priors, counts, ["race"]).select("draw_id", "geo", "candidate_id", r6("share"))
+    return dr.blend_state_prior(keyed(al), priors, counts, ["race"], flag_fund(spark, d)).select("draw_id", "geo", "candidate_id", r6("share"))
 
 
 @query("D04_project_state_lean", f"""
@@ -302,5 +300,3 @@ def _(spark, d):
     from tallyframe.operators.regression import winner_accuracy
     return winner_accuracy(v.fund(spark, d), ["race"], "search_share", "incumbency").select(r6("accuracy"), "races")
 
-
-assert SQL_VEC and snapshots and pr

@@ -11,8 +11,9 @@ from tallyframe.plans import jobs, views as v
 from tallyframe.plans.q_models import structural
 from tallyframe.plans.q_priors import SQL_VEC, calibration_input
 from tallyframe.plans.q_scalars import R
-from tallyframe.plans.q_scores import CALENDAR, snapshots
+from tallyframe.plans.q_scores import CALENDAR, stored_polls, stored_snapshots
 from tallyframe.plans.registry import query, r6
+from tallyframe.session import cut_lineage
 
 KEYS = ["election_year", "days_before_election"]
 
@@ -27,7 +28,7 @@ SQL_OBS = SQL_VEC.format(floor="0.01e0") + """, ob AS (SELECT *, ln(x / last_val
 
 
 def obs(spark, d):
-    return ft.observations(snapshots(spark, d), KEYS, "snapshot_date")
+    return cut_lineage(ft.observations(stored_snapshots(spark, d), KEYS, "snapshot_date"))
 
 
 @query("E01_house_effect_stats", f"""
@@ -75,14 +76,14 @@ def _(spark, d):
 
 @query("E02_fit_snapshots")
 def _(spark, d):
-    fits, _, _ = ft.fit_snapshots(snapshots(spark, d), KEYS, "snapshot_date")
+    fits, _, _ = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date")
     return ft.coefficients(fits, KEYS).select(*KEYS, "response", "term", "dim", r6("estimate"))
 
 
 @query("E02_calibrated_reliability")
 def _(spark, d):
     from tallyframe.operators.calibration import pollster_calibration
-    _, rel, _ = ft.fit_snapshots(snapshots(spark, d), KEYS, "snapshot_date", calibration=pollster_calibration(calibration_input(spark, d)))
+    _, rel, _ = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date", calibration=pollster_calibration(calibration_input(spark, d)))
     return rel.select(*KEYS, "institute", r6("reliability"))
 
 
@@ -92,25 +93,25 @@ DRAWS = 400
 
 @query("B10_run_backtest")
 def _(spark, d):
-    _, metrics, _ = jobs.run_backtest(v.polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, 42, states_only=False)
+    _, metrics, _ = jobs.run_backtest(stored_polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, 42, states_only=False)
     return metrics
 
 
 @query("B11_compare_models")
 def _(spark, d):
-    records = jobs.compare_models(v.polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
+    records = jobs.compare_models(stored_polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
     return jobs.comparison_metrics(records)[1]
 
 
 @query("B12_ablate_priors")
 def _(spark, d):
-    s = jobs.ablate_priors(v.polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
+    s = jobs.ablate_priors(stored_polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
     return s.groupBy("model").agg(*[F.avg(c).alias(c) for c in ("vote_share_mae", "coverage", "winner_brier")], F.count("*").alias("observations"))
 
 
 @query("B13_sensitivity_grid")
 def _(spark, d):
-    s = jobs.sensitivity_grid(v.polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
+    s = jobs.sensitivity_grid(stored_polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
     return s.groupBy("prior_strength").agg(*[F.avg(c).alias(c) for c in ("vote_share_mae", "coverage", "winner_brier", "interval_width")], F.count("*").alias("observations"))
 
 
@@ -122,7 +123,7 @@ def _(spark, d):
     from tallyframe.operators.priors import build_state_priors
     from tallyframe.operators.results import with_vote_share
     as_of = date(1998, 1, 1)
-    p = v.polls(spark, d).where(F.col("field_date").between(F.lit(date(1997, 10, 1)), F.lit(as_of))).withColumn("election_id", F.lit("E98")).withColumn("as_of", F.lit(as_of))
+    p = stored_polls(spark, d).where(F.col("field_date").between(F.lit(date(1997, 10, 1)), F.lit(as_of))).withColumn("election_id", F.lit("E98")).withColumn("as_of", F.lit(as_of))
     r = with_vote_share(v.results(spark, d).where(F.col("year") == 1997), ["year", "uf"]).withColumn("election_id", F.lit("E98"))
     cand = p.select("election_id", "candidate_id", "candidate_name").distinct()
     priors = build_state_priors(r, cand, ["election_id"], states_only=False).join(

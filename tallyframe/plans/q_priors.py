@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tallyframe.operators import baselines as bl, calibration as ca, priors as pr, polls as po, results as rs
 from tallyframe.plans import views as v
 from tallyframe.plans.q_scalars import R
-from tallyframe.plans.q_scores import CALENDAR, SQL_SNAP, snapshots
+from tallyframe.plans.q_scores import SQL_SNAP, stored_polls, stored_snapshots
 from tallyframe.plans.registry import query, r6
+from tallyframe.session import cut_lineage
 
 SQL_PRIOR = """prev AS (SELECT "year" + 1 AS "year", uf, replace(candidate_name, ' ', '_') AS canonical, upper(party) AS party, votes,
   votes / sum(votes) OVER (PARTITION BY "year", uf) AS vote_share FROM sparse_results),
@@ -28,7 +29,7 @@ SQL_PRIOR = """prev AS (SELECT "year" + 1 AS "year", uf, replace(candidate_name,
 
 
 def prior_inputs(spark, d):
-    s = v.sparse_results(spark, d)
+    s = cut_lineage(v.sparse_results(spark, d))
     prev = rs.with_vote_share(s, ["year", "uf"]).withColumn("year", F.col("year") + 1)
     cand = s.groupBy("year", "candidate_name").agg(F.max("party").alias("party")).withColumn("candidate_id", F.translate("candidate_name", " ", "_"))
     new = s.select("year").distinct().select("year", F.lit("Novo Nome").alias("candidate_name"), F.lit("UNKNOWN").alias("party"), F.lit("novo_nome").alias("candidate_id"))
@@ -74,7 +75,7 @@ WITH {SQL_VEC.format(floor="0.01e0")}, lt2 AS (SELECT election_year, days, max(f
 SELECT election_year, days AS days_before_election, method, i, j, {R("ci", "center_i")},
  {R("0.75e0 * CASE WHEN np > 1 THEN cov WHEN i = j THEN 0.0004e0 ELSE 0 END + CASE WHEN i = j THEN 0.25e0 * greatest(ci * (1 - ci) / greatest(mn, 500), 1e-6) + 1e-7 ELSE 0 END", "covariance")} FROM cv""", ("polls",))
 def _(spark, d):
-    b = bl.polling_baseline(snapshots(spark, d), ["election_year", "days_before_election"], "snapshot_date")
+    b = bl.polling_baseline(stored_snapshots(spark, d), ["election_year", "days_before_election"], "snapshot_date")
     return b.select("election_year", "days_before_election", "method", "i", "j", r6("center_i"), r6("covariance"))
 
 
@@ -89,7 +90,7 @@ WITH RECURSIVE {SQL_VEC.format(floor="1e-4")}, ob AS (SELECT election_year, days
 SELECT election_year, days AS days_before_election, candidate_id, CAST(rn AS BIGINT) AS polls, {R("m", "mean")}, {R("p + 0.000625e0 * greatest(eday - field_date, 0) + 1e-8", "variance")}
 FROM (SELECT *, row_number() OVER (PARTITION BY election_year, days, candidate_id ORDER BY rn DESC) AS k FROM kf) WHERE k = 1""", ("polls",))
 def _(spark, d):
-    f = bl.local_level(snapshots(spark, d), ["election_year", "days_before_election"], "snapshot_date", "election_date")
+    f = bl.local_level(stored_snapshots(spark, d), ["election_year", "days_before_election"], "snapshot_date", "election_date")
     return f.select("election_year", "days_before_election", "candidate_id", "polls", r6("mean"), r6("variance"))
 
 
@@ -98,7 +99,7 @@ def _(spark, d):
 
 def calibration_input(spark, d):
     """Polls beside the mean share of their year and candidate, which stands in for the result."""
-    p = v.polls(spark, d).withColumn("election_id", F.year("field_date"))
+    p = stored_polls(spark, d).withColumn("election_id", F.year("field_date"))
     res = p.groupBy("election_id", "candidate_id").agg(F.avg("share").alias("result_share"))
     return p.withColumnRenamed("share", "poll_share").join(res, ["election_id", "candidate_id"])
 
@@ -164,5 +165,3 @@ def _(spark, d):
     out = ca.apply_isotonic(ca.fit_isotonic(f), f)
     return out.groupBy(r6("win_probability"), r6("calibrated")).agg(F.count("*").alias("n"))
 
-
-assert CALENDAR

@@ -12,7 +12,7 @@ from tallyframe.plans import views as v
 from tallyframe.plans.q_scalars import R
 from tallyframe.plans.q_tables import SQL_REC, record_metrics
 from tallyframe.plans.registry import query, r6
-from tallyframe.session import scratch_dir
+from tallyframe.session import cut_lineage, scratch_dir
 
 CALENDAR = tuple(
     (y, date(y, 1, 1), None, None if y == 1996 else date(y - 1, 11, 15)) for y in range(1996, 2002)
@@ -27,8 +27,17 @@ SQL_SNAP = f"""hz AS (SELECT y AS election_year, make_date(y, 1, 1) AS eday, d A
  snap AS (SELECT el.*, substr(sha1(sig), 1, 12) AS slate FROM el JOIN sg USING (election_year, days, poll_id) JOIN lt USING (election_year, days, sig))"""
 
 
+def stored_polls(spark, d):
+    """The poll view written once, for queries that read it along several paths."""
+    return cut_lineage(v.polls(spark, d))
+
+
 def snapshots(spark, d):
-    return sn.build_snapshots(v.polls(spark, d), CALENDAR)
+    return sn.build_snapshots(stored_polls(spark, d), CALENDAR)
+
+
+def stored_snapshots(spark, d):
+    return cut_lineage(snapshots(spark, d))
 
 
 @query("B01_build_snapshots", f"""WITH {SQL_SNAP} SELECT election_year, days AS days_before_election, poll_id, candidate_id, strftime(cutoff, '%Y-%m-%d') AS snapshot_date,

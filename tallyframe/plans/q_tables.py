@@ -8,7 +8,7 @@ from tallyframe.operators import polls as po, quality as qu, results as rs
 from tallyframe.plans import views as v
 from tallyframe.plans.q_scalars import R
 from tallyframe.plans.registry import query, r6
-from tallyframe.session import scratch_dir
+from tallyframe.session import cut_lineage, scratch_dir
 from tallyframe.sources import readers as rd
 
 # ---- readers ---------------------------------------------------------------
@@ -353,7 +353,7 @@ def _(spark, d):
 WITH k AS (SELECT institute, count(DISTINCT candidate_id) AS n FROM polls GROUP BY institute)
 SELECT poll_id, candidate_id FROM polls JOIN (SELECT poll_id, institute, count(DISTINCT candidate_id) AS m FROM polls GROUP BY ALL) USING (poll_id, institute) JOIN k USING (institute) WHERE m = n""", ("polls",))
 def _(spark, d):
-    return po.complete_polls(v.polls(spark, d), ["institute"]).select("poll_id", "candidate_id")
+    return po.complete_polls(cut_lineage(v.polls(spark, d)), ["institute"]).select("poll_id", "candidate_id")
 
 
 def gate_polls(spark, d):
@@ -450,7 +450,7 @@ WITH m AS (SELECT *, median(share) OVER (PARTITION BY candidate_id, uf) AS med F
  z AS (SELECT *, CASE WHEN coalesce(mad, 0) = 0 THEN 0 ELSE 0.67448975e0 * (share - med) / mad END AS rz FROM k)
 SELECT poll_id, candidate_id, {R("rz", "robust_z")}, abs(rz) > 2 AS is_outlier FROM z""", ("polls",))
 def _(spark, d):
-    return qu.flag_outliers(v.polls(spark, d), threshold=2.0).select("poll_id", "candidate_id", r6("robust_z"), "is_outlier")
+    return qu.flag_outliers(cut_lineage(v.polls(spark, d)), threshold=2.0).select("poll_id", "candidate_id", r6("robust_z"), "is_outlier")
 
 
 @query("Q08_table_fingerprint", """

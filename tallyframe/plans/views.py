@@ -17,6 +17,12 @@ from tallyframe.functions.numeric import hash_normal
 SEED = 42
 
 
+def fill_slots(df: DataFrame) -> DataFrame:
+    """Spread a small input over all slots before a costly projection (large inputs have splits enough)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -191,7 +197,7 @@ def draws(spark: SparkSession, d: str) -> DataFrame:
             + 0.15 * hash_normal(F.lit(SEED), geo, key, F.lit(dim))
         )
 
-    rows = table(spark, d, "orders").select(key, F.explode(centers.scalar()).alias("g"))
+    rows = fill_slots(table(spark, d, "orders").select(key)).select(key, F.explode(centers.scalar()).alias("g"))
     rows = rows.select(key.alias("draw_id"), geo.alias("geo"),
                        F.exp(latent(0)).alias("e0"), F.exp(latent(1)).alias("e1"))
     total = F.col("e0") + F.col("e1") + 1.0
@@ -210,7 +216,7 @@ def national_draws(spark: SparkSession, d: str) -> DataFrame:
         *[F.sum(F.when(F.col("l_returnflag") == x, F.col("l_quantity"))).alias(f"q_{x}") for x in "ANR"]
     ).select(F.struct(F.log(F.col("q_A") / F.col("q_R")).alias("m0"), F.log(F.col("q_N") / F.col("q_R")).alias("m1")).alias("c"))
     key = F.col("o_orderkey")
-    rows = table(spark, d, "orders").select(key, c.scalar().alias("c"))
+    rows = fill_slots(table(spark, d, "orders").select(key)).select(key, c.scalar().alias("c"))
     e = [F.exp(F.col(f"c.m{i}") + 0.3 * hash_normal(F.lit(SEED), F.lit("nat"), key, F.lit(i))) for i in (0, 1)]
     rows = rows.select(key.alias("draw_id"), e[0].alias("e0"), e[1].alias("e1"))
     total = F.col("e0") + F.col("e1") + 1.0

@@ -41,7 +41,6 @@ def scratch_dir(spark: SparkSession, label: str | None = None) -> str:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="tallyframe-")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     if label is None:
         return root
@@ -49,6 +48,12 @@ def scratch_dir(spark: SparkSession, label: str | None = None) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and go on from the written table.
+
+    The table outlives any executor, is computed once (a checkpoint would compute
+    it twice), and its readers prune columns and know its size when they choose
+    a join.
+    """
+    path = scratch_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
