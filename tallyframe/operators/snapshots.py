@@ -57,6 +57,29 @@ def horizons(elections: Sequence[tuple], offsets: Sequence[int] = OFFSETS) -> Co
     return F.expr(f"array({', '.join(items)})")
 
 
+def calendar_days(spark: SparkSession, elections: Sequence[tuple], offsets: Sequence[int] = OFFSETS, max_age: int = MAX_AGE) -> DataFrame:
+    """One row per horizon and day of its age window: elections x offsets x 91 rows, whatever the data."""
+    h = spark.range(1).select(F.explode(horizons(elections, offsets)).alias("h")).select("h.*")
+    return h.withColumn("field_date", F.explode(F.sequence(F.date_sub("cutoff", max_age), F.col("cutoff"))))
+
+
+def match_horizons(
+    polls: DataFrame, elections: Sequence[tuple], offsets: Sequence[int] = OFFSETS, max_age: int = MAX_AGE, election_column: str | None = None
+) -> DataFrame:
+    """Every poll row once per horizon whose window holds it, as struct ``horizon``.
+
+    The range join becomes an equality on the day, against a calendar whose size
+    the study fixes; that is why it may be broadcast.
+    """
+    days = calendar_days(polls.sparkSession, elections, offsets, max_age)
+    fields = [c for c in days.columns if c != "field_date"]
+    days = days.select(F.col("field_date").alias("_day"), F.col("election_year").alias("_election"), F.struct(*fields).alias("horizon"))
+    on = F.to_date("field_date") == F.col("_day")
+    if election_column is not None:
+        on = on & (F.col(election_column) == F.col("_election"))
+    return polls.join(F.broadcast(days), on).drop("_day", "_election")
+
+
 def next_election(field_date, elections: Sequence[tuple]) -> Column:
     """Year of the first election on or after a date."""
     items = F.array(*[F.struct(F.lit(r[1]).alias("d"), F.lit(int(r[0])).alias("y")) for r in elections])
@@ -72,21 +95,14 @@ def build_snapshots(
 ) -> DataFrame:
     """All snapshots of all elections in one job; the horizon is a column.
 
-    A poll row meets its horizons by filtering the literal calendar array, so the
-    range join is a projection. Only (poll, candidate, date) keys are shuffled to
-    find slates; the latest slate per horizon is at most one row per calendar
-    entry and therefore safe to broadcast.
+    A poll row meets its horizons by a hash join with the days of the calendar.
+    Only (poll, candidate, date) keys are shuffled to find slates; the latest
+    slate per horizon is at most one row per calendar entry and therefore safe
+    to broadcast.
     """
-    calendar = horizons(elections, offsets)
-
-    def match(h):
-        hit = in_age_window(F.col("field_date"), h["cutoff"], max_age)
-        return hit if election_column is None else hit & (h["election_year"] == F.col(election_column))
-
-    rows = polls.withColumn("field_date", F.to_date("field_date"))
-    rows = rows.withColumn("_h", F.explode(F.filter(calendar, match)))
+    rows = match_horizons(polls.withColumn("field_date", F.to_date("field_date")), elections, offsets, max_age, election_column)
     key = ["_year", "_days"]
-    rows = rows.withColumn("_year", F.col("_h.election_year")).withColumn("_days", F.col("_h.days"))
+    rows = rows.withColumnRenamed("horizon", "_h").withColumn("_year", F.col("_h.election_year")).withColumn("_days", F.col("_h.days"))
     slates = (
         rows.groupBy(*key, "poll_id", "candidate_id").agg(F.max("field_date").alias("field_date"))
         .groupBy(*key, "poll_id")

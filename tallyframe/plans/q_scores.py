@@ -72,9 +72,8 @@ def _(spark, d):
 
 @query("J07_cutoff_join", f"WITH {SQL_SNAP} SELECT election_year, days AS days_before_election, count(*) AS n, {R('sum(share)', 'total')} FROM el GROUP BY ALL", ("polls",))
 def _(spark, d):
-    h = F.filter(sn.horizons(CALENDAR), lambda e: sn.in_age_window(F.col("field_date"), e["cutoff"]))
-    return v.polls(spark, d).select("share", F.explode(h).alias("h")).groupBy(
-        F.col("h.election_year").alias("election_year"), F.col("h.days").alias("days_before_election")).agg(F.count("*").alias("n"), r6(F.sum("share"), "total"))
+    return sn.match_horizons(v.polls(spark, d), CALENDAR).groupBy(
+        F.col("horizon.election_year").alias("election_year"), F.col("horizon.days").alias("days_before_election")).agg(F.count("*").alias("n"), r6(F.sum("share"), "total"))
 
 
 @query("J01_meta_signature", """

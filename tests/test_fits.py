@@ -128,9 +128,11 @@ def test_independent_errors_agree_with_house_effect_regression(spark, monkeypatc
     obs = ft.observations(polls, ["k"], "as_of")
     xtx, xty = ft.house_effect_stats(obs, ["k"])
     ridge = {(r["term"], r["dim"]): r["estimate"] for r in ft.solve_house_effects(xtx, xty, ["k"]).collect()}
-    cells = ft._cells(obs, ["k"]).where("response = 'support'").withColumn("reliability", F.lit(1.0)).toPandas()
-    system = ft._System(cells, None, [])
-    beta, _ = system.solve()
+    cells = ft._cells(obs, ["k"]).withColumn("states", F.array().cast("array<string>"))
+    cells = cells.withColumn("slate", F.array(F.lit("A"))).withColumn("ahead", F.lit(0.0)).toPandas()
+    row = ft._reduce_cells(cells, ["k"], None).set_index("response").loc["support"].to_dict()
+    system = ft._Reduced(row)
+    beta, _ = system.solve({i: 1.0 for i in system.institutes})
     for i, t in enumerate(system.terms):
         for d in range(beta.shape[1]):
             assert beta[i, d] == pytest.approx(ridge[(t, d)], abs=1e-9)
