@@ -298,6 +298,19 @@ def _(spark, d):
     return ln.number_versions(v.table(spark, d, "events"), "event_type", "user_id", "event_id", F.floor(F.col("event_id") / 4096)).select("event_type", "user_id", "version")
 
 
+@query("S09_write_reports", f"""
+SELECT 'snapshot' AS report, CAST(election_year AS VARCHAR) || '/' || days_before_election || '/' || level AS unit, count(*) AS observations, {R("avg(pow(win_probability - outcome, 2))", "brier")} {SCORED} GROUP BY election_year, days_before_election, level
+UNION ALL SELECT 'state', CAST(election_year AS VARCHAR) || '/' || uf, count(*), {R("avg(pow(win_probability - outcome, 2))", "brier")} {SCORED} AND level = 'state' GROUP BY election_year, uf""", ("forecasts",))
+def _(spark, d):
+    from tallyframe.sources.sinks import write_reports
+    root, f = scratch_dir(spark, "reports"), v.forecasts(spark, d)
+    write_reports({"by_snapshot": sc.snapshot_metrics(f), "by_state": sc.state_metrics(f)}, root)
+    a, b = spark.read.parquet(f"{root}/by_snapshot"), spark.read.parquet(f"{root}/by_state")
+    year = F.col("election_year").cast("string")
+    a = a.select(F.lit("snapshot").alias("report"), F.concat_ws("/", year, F.col("days_before_election").cast("string"), "level").alias("unit"), "observations", r6("brier"))
+    return a.unionByName(b.select(F.lit("state").alias("report"), F.concat_ws("/", year, "uf").alias("unit"), "observations", r6("winner_brier", "brier")))
+
+
 @query("S10_file_manifest")
 def _(spark, d):
     return ln.file_manifest(spark, d)
