@@ -153,8 +153,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS)
         if n >= k:
             out.append(np.unique(runs[a : a + n - k + 1]))
         elif n:
-            short = (h[a : a + n] * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n) * _PLACE[k]
-            out.append(mix64(np.array([short], dtype=np.uint64)))
+            parts = np.append(h[a : a + n] * _PLACE[:n], _PLACE[k:] * np.uint64(n))
+            out.append(mix64(parts.sum(dtype=np.uint64, keepdims=True)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import exact_dedup, mixing, sharding, url_filter
+from tallyframe.llm import (
+    bpe,
+    edit_fingerprint,
+    exact_dedup,
+    jaccard,
+    mixing,
+    quality_kn,
+    secret_scan,
+    sharding,
+    toxicity,
+    url_filter,
+)
 
 SHARDS = 24
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # The rules of the URL query.
 URL_RULES = [
@@ -84,10 +96,75 @@ c as (select *, least(floor(e * place + u) - floor(e * (place - 1) + u), ceil(e)
 select doc_id, size::bigint as size, source_size::bigint as source_size, target, copies * size::bigint as taken, copies from c
 """
 
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet")
+
+
+def op1_quality_kn(spark: SparkSession, d: str) -> DataFrame:
+    return quality_kn.judge(_documents(spark, d), _labels(spark, d))
+
+
+def op2_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = secret_scan.scan(_documents(spark, d).select("doc_id", "text"))
+    kinds = F.array(*[F.lit(k) for k in secret_scan.KINDS])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    ordered = F.array_sort(F.concat("base", "random"), lambda x, y: F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int"))
+                           .otherwise(x["kind"] - y["kind"]))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(ordered).alias("spans"),
+    )
+
+
+OP6_SQL = r"""
+with recursive d as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+    from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+             else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from d),
+e as (select doc_id, len(s) as n, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id < b.doc_id
+      group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l as (select a, b from p union all select b, a from p),
+r as (select doc_id as a, doc_id as b from d union select r.a, l.b from r join l on r.b = l.a)
+select s.doc_id, len(s)::bigint as n_shingles, min(r.b) as component_id from s join r on s.doc_id = r.a group by s.doc_id, s
+"""
+
+
+def op6_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.near_components(_documents(spark, d))
+
+
+def op8_edit_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return edit_fingerprint.edit_probe(_documents(spark, d))
+
+
+def op9_bpe(spark: SparkSession, d: str) -> DataFrame:
+    coded = bpe.encode(_documents(spark, d).select("doc_id", "text"), VOCABULARY, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    scored = toxicity.score(_documents(spark, d), _labels(spark, d))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "clauses")
+
+
 QUERIES = {
+    "op1_quality_kn": op1_quality_kn,
+    "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
+    "op8_edit_fingerprint": op8_edit_fingerprint,
+    "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL}
