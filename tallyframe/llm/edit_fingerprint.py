@@ -58,6 +58,19 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, lengths, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def four_bytes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The four bytes from each place on as a number, zeros after the end of a text."""
+    gram = data.astype(np.uint64)
+    for k in (1, 2, 3):
+        later = np.zeros(len(data), dtype=np.uint64)
+        later[:-k] = data[k:]
+        for back in range(1, k + 1):
+            late = offsets[1:] - back
+            later[late[late >= offsets[:-1]]] = 0
+        gram |= later << np.uint64(8 * k)
+    return gram
+
+
 def fingerprint_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Fingerprints of the texts, one row of ``BITS / 8`` bytes each."""
     n = len(offsets) - 1
@@ -68,8 +81,7 @@ def fingerprint_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         order = np.argsort(-lengths, kind="stable")
         place, end, text = starts[order].copy(), (starts + lengths)[order], text[order]
         steps = 2 * lengths[order] + SLACK
-        wide = np.concatenate([data, np.zeros(4, dtype=np.uint8)]).astype(np.uint64)
-        gram = wide[:-4] | wide[1:-3] << np.uint64(8) | wide[2:-2] << np.uint64(16) | wide[3:-1] << np.uint64(24)
+        gram = four_bytes(data, offsets)
         padded = np.concatenate([data, np.zeros(1, dtype=np.uint8)])
         active = len(place) - np.searchsorted(steps[::-1], np.arange(STEPS), side="right")
         sampled = {j: i for i, j in enumerate(SAMPLED)}
