@@ -92,6 +92,13 @@ def parse_locale_number(c) -> Column:
     return plain.try_cast("double")
 
 
+def parse_vote_count(c) -> Column:
+    """Number of votes: groups of three digits after dots are thousands, as votes are whole numbers."""
+    kept = F.regexp_replace(col_of(c).cast("string"), "[^0-9,.-]", "")
+    grouped = kept.rlike(r"^\d{1,3}(\.\d{3})+$")
+    return F.when(grouped, F.replace(kept, F.lit("."), F.lit("")).try_cast("double")).otherwise(parse_locale_number(c))
+
+
 # Month names in the two languages of the published tables.
 MONTHS_PT = (
     "janeiro", "fevereiro", "marco", "abril", "maio", "junho",

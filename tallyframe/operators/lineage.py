@@ -24,6 +24,10 @@ RUN_SCHEMA = (
 )
 
 
+# Fixed value: largest page of run records.
+LATEST_ROWS = 1000
+
+
 def file_manifest(spark: SparkSession, *paths: str) -> DataFrame:
     """Path, size and SHA-256 of every file; files are hashed in parallel, one per row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
@@ -31,8 +35,10 @@ def file_manifest(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def latest(df: DataFrame, order: Sequence[str], limit: int = 100) -> DataFrame:
-    """Newest rows; the limit is kept between 1 and 1000."""
-    return df.orderBy(*[F.desc(c) for c in order]).limit(max(1, min(int(limit), 1000)))
+    """Newest rows, at most ``LATEST_ROWS`` at a time; another limit is an error."""
+    if not 1 <= int(limit) <= LATEST_ROWS:
+        raise ValueError(f"limit must be between 1 and {LATEST_ROWS}: {limit}")
+    return df.orderBy(*[F.desc(c) for c in order]).limit(int(limit))
 
 
 def append_records(df: DataFrame, path: str, payload: Sequence[str], run_id: str = "run_id") -> None:

@@ -157,11 +157,18 @@ def complete_polls(polls: DataFrame, keys: Sequence[str]) -> DataFrame:
     return polls.join(kept.select(*keys, "poll_id"), [*keys, "poll_id"], "left_semi")
 
 
-def incomplete_polls(polls: DataFrame, keys: Sequence[str], limit: int = 5) -> DataFrame:
-    """First polls that lack a candidate of their key, for the error message."""
+def incomplete_polls(polls: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All polls that lack a candidate of their key."""
     sig = poll_signature(polls, keys)
     kept = key_slates(polls, keys).withColumnRenamed("slate", "signature")
-    return spread_join(sig, kept, [*keys, "signature"], ["poll_id"], "left_anti").select(*keys, "poll_id").orderBy("poll_id").limit(limit)
+    return spread_join(sig, kept, [*keys, "signature"], ["poll_id"], "left_anti").select(*keys, "poll_id")
+
+
+def require_complete(polls: DataFrame, keys: Sequence[str]) -> None:
+    """Fail with the first offenders if any poll lacks a candidate of its key."""
+    first = incomplete_polls(polls, keys).orderBy("poll_id").limit(5).collect()  # for the error text only
+    if first:
+        raise ValueError(f"polls without every candidate of their key: {[r['poll_id'] for r in first]}")
 
 
 def alr_array(shares: str = "shares") -> Column:

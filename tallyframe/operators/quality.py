@@ -52,14 +52,14 @@ def available_as_of(df: DataFrame, cutoff, column: str = "release_date") -> Data
     return df.where(F.col(column) <= F.lit(cutoff).cast("date"))
 
 
-def leakage_rows(df: DataFrame, column: str, cutoff, order: Sequence[str], limit: int = 10) -> DataFrame:
-    """First rows that are undated or later than the cutoff; must be empty."""
-    late = F.col(column).isNull() | (F.col(column) > F.lit(cutoff).cast("date"))
-    return df.where(late).orderBy(*order).limit(limit)
+def leakage_rows(df: DataFrame, column: str, cutoff) -> DataFrame:
+    """Rows that are undated or later than the cutoff; must be empty."""
+    return df.where(F.col(column).isNull() | (F.col(column) > F.lit(cutoff).cast("date")))
 
 
 def assert_not_after(df: DataFrame, column: str, cutoff, order: Sequence[str]) -> None:
-    bad = [r.asDict() for r in leakage_rows(df, column, cutoff, order).select(*order).collect()]
+    first = leakage_rows(df, column, cutoff).select(*order).orderBy(*order).limit(10)  # for the error text only
+    bad = [r.asDict() for r in first.collect()]
     if bad:
         raise ValueError(f"temporal leakage in {column}: {bad}")
 

@@ -108,6 +108,33 @@ def fit_turnout(df: DataFrame, prior_sd: float = 1.25) -> LinearFit:
     return LinearFit(names, beta, covariance, means, scales, max(float(np.sqrt(sse / n)), 0.03), int(n))
 
 
+def turnout_gradient(fit: LinearFit, df: DataFrame, prior_sd: float = 1.25) -> DataFrame:
+    """Gradient of the penalised squares at the fit, per term and row of the data: zero at the solution."""
+    q = len(TURNOUT_FEATURES) + 1
+    x = _standard(TURNOUT_FEATURES, fit.means, fit.scales)
+    x += [(F.col("uf").cast("string") == n[3:]).cast("double") for n in fit.names[q:]]
+    beta, names = (F.array(*[F.lit(v) for v in values]) for values in ([float(b) for b in fit.beta], fit.names))
+    rows = df.where(F.col("turnout").isNotNull()).select(F.array(*x).alias("_x"), logit(F.col("turnout").cast("double")).alias("_y"))
+    rest = F.aggregate(F.zip_with("_x", beta, lambda a, b: a * b), F.col("_y"), lambda s, v: s - v)
+    rows = rows.withColumn("_r", rest).select("_r", F.posexplode("_x").alias("i", "_v")).select("i", (F.col("_v") * F.col("_r")).alias("g"))
+    pull = F.element_at(beta, F.col("i") + 1) * F.when(F.col("i") == 0, 1 / 25.0).otherwise(1.0 / prior_sd**2)
+    return rows.groupBy("i").agg(F.sum("g").alias("g")).select(F.element_at(names, F.col("i") + 1).alias("term"), ((F.col("g") - pull) / fit.rows).alias("gradient"))
+
+
+def transfer_gradient(fit: TransferFit, df: DataFrame, prior_sd: float = 1.0) -> DataFrame:
+    """Gradient of both penalised likelihoods at the fit, per term and row of the data: zero at the solution."""
+    x = _standard(TRANSFER_FEATURES, fit.conditional.means, fit.conditional.scales)
+    a, b, z = (F.col(c).cast("double") for c in ("to_a", "to_b", "abstain"))
+    parts = []
+    for name, one, took, of in (("conditional", fit.conditional, a, F.greatest(a + b, F.lit(1.0))), ("abstention", fit.abstention, z, F.greatest(a + b + z, F.lit(1.0)))):
+        rest = took - of * sigmoid(_dot(one.beta, x))
+        sums = df.agg(*[F.sum(c * rest).alias(f"g{i}") for i, c in enumerate(x)])
+        pull = [float(v) * (1 / 25.0 if i == 0 else 1.0 / prior_sd**2) for i, v in enumerate(one.beta)]
+        terms = F.array(*[F.struct(F.lit(t).alias("term"), ((F.col(f"g{i}") - pull[i]) / one.rows).alias("gradient")) for i, t in enumerate(one.names)])
+        parts.append(sums.select(F.lit(name).alias("model"), F.explode(terms).alias("t")).select("model", "t.term", "t.gradient"))
+    return parts[0].unionByName(parts[1])
+
+
 def _root(fit: LinearFit) -> np.ndarray:
     values, vectors = np.linalg.eigh((fit.covariance + fit.covariance.T) / 2)
     return vectors * np.sqrt(np.clip(values, 0.0, None))

@@ -45,6 +45,14 @@ def _(spark, d):
     return ft.solve_house_effects(xtx, xty, KEYS).select(*KEYS, "term", "dim", r6("estimate"))
 
 
+@query("E01_house_effect_residual", f"""
+WITH {SQL_OBS} SELECT DISTINCT tm.election_year, tm.days AS days_before_election, term, CAST(dim AS INTEGER) AS dim, 0e0 AS residual
+FROM tm JOIN ob ON ob.election_year = tm.election_year AND ob.days = tm.days AND ob.poll_id = tm.poll_id WHERE NOT ref""", ("polls",))
+def _(spark, d):
+    xtx, xty = ft.house_effect_stats(obs(spark, d), KEYS)
+    return ft.house_effect_residual(xtx, xty, ft.solve_house_effects(xtx, xty, KEYS), KEYS).select(*KEYS, "term", "dim", r6("residual"))
+
+
 @query("E03_reliability", f"""
 WITH {SQL_OBS}, rs AS (SELECT election_year, days, poll_id, any_value(institute) AS institute, sum(pow(y, 2)) AS ss, count(*) AS n FROM ob WHERE NOT ref GROUP BY ALL),
  md AS (SELECT election_year, days, median(ss / n) + 1e-6 AS m FROM rs GROUP BY ALL)
@@ -87,34 +95,39 @@ def _(spark, d):
     return rel.select(*KEYS, "institute", r6("reliability"))
 
 
-STUDY = CALENDAR[2:5]
-DRAWS = 400
+STUDY = CALENDAR
 
 
 @query("B10_run_backtest")
 def _(spark, d):
-    _, metrics, _ = jobs.run_backtest(stored_polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, 42, states_only=False)
+    _, metrics, _ = jobs.run_backtest(stored_polls(spark, d), v.results(spark, d), STUDY, states_only=False)
     return metrics
 
 
 @query("B11_compare_models")
 def _(spark, d):
-    records = jobs.compare_models(stored_polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
+    records = jobs.compare_models(stored_polls(spark, d), v.results(spark, d), STUDY, states_only=False)
     return jobs.comparison_metrics(records)[1]
 
 
 @query("B12_ablate_priors")
 def _(spark, d):
-    s = jobs.ablate_priors(stored_polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
+    s = jobs.ablate_priors(stored_polls(spark, d), v.results(spark, d), STUDY, states_only=False)
     return s.groupBy("model").agg(*[F.avg(c).alias(c) for c in ("vote_share_mae", "coverage", "winner_brier")], F.count("*").alias("observations"))
 
 
 @query("B13_sensitivity_grid")
 def _(spark, d):
-    s = jobs.sensitivity_grid(stored_polls(spark, d), v.results(spark, d), STUDY, (30, 7, 1), DRAWS, states_only=False)
+    s = jobs.sensitivity_grid(stored_polls(spark, d), v.results(spark, d), STUDY, states_only=False)
     return s.groupBy("prior_strength").agg(*[F.avg(c).alias(c) for c in ("vote_share_mae", "coverage", "winner_brier", "interval_width")], F.count("*").alias("observations"))
 
 
+@query("B13_robustness_records")
+def _(spark, d):
+    s = jobs.robustness_records(stored_polls(spark, d), v.results(spark, d), STUDY, states_only=False)
+    return s.groupBy("model", "level").agg(*[F.avg(c).alias(c) for c in ("vote_share_mae", "coverage", "winner_brier", "interval_width")], F.count("*").alias("observations"))
+
+
 FEATURES = ("poll_mean", "rejection", "incumbency", "search_share_guarded", "media_sentiment_guarded", "digital_signal_reliability")
 
 

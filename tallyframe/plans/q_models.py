@@ -25,6 +25,14 @@ def _(spark, d):
     return fit.frame(spark).select("term", r6("estimate"), r6("standard_error"))
 
 
+@query("E08_turnout_gradient", f"""
+SELECT unnest({['intercept', *rg.TURNOUT_FEATURES]}) AS term, 0e0 AS gradient
+UNION ALL SELECT DISTINCT 'uf=' || n_name, 0e0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def _(spark, d):
+    t = turnout_training(spark, d)
+    return rg.turnout_gradient(rg.fit_turnout(t), t).select("term", r6("gradient"))
+
+
 @query("E08_predict_turnout")
 def _(spark, d):
     t = turnout_training(spark, d)
@@ -52,6 +60,13 @@ def _(spark, d):
     return out.select("model", "term", r6("estimate"), r6("standard_error"))
 
 
+@query("E09_transfer_gradient", f"""
+SELECT model, term, 0e0 AS gradient FROM (SELECT unnest(['conditional', 'abstention']) AS model), (SELECT unnest({['intercept', *rg.TRANSFER_FEATURES]}) AS term)""")
+def _(spark, d):
+    t = transfer_training(spark, d)
+    return rg.transfer_gradient(rg.fit_transfer(t), t).select("model", "term", r6("gradient"))
+
+
 @query("E09_predict_transfer")
 def _(spark, d):
     from tallyframe.operators.candidates import pair_features

@@ -159,7 +159,13 @@ def _(spark, d):
     return ca.calibrated_precision(meta, [], "as_of", ca.pollster_variance(calibration_input(spark, d))).select("poll_id", r6("base_precision"))
 
 
-@query("E12_isotonic", None, ())
+@query("E12_isotonic", f"""
+WITH p AS (SELECT win_probability AS x, sum(outcome) AS s, count(*) AS w FROM forecasts WHERE outcome IS NOT NULL GROUP BY 1),
+ o AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM p),
+ m AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS v FROM o a JOIN o b ON b.i >= a.i),
+ lo AS (SELECT b, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM m),
+ f AS (SELECT b AS i, max(v) AS f FROM lo GROUP BY b)
+SELECT win_probability, calibrated, CAST(sum(w) AS BIGINT) AS n FROM (SELECT {R("x", "win_probability")}, {R("f", "calibrated")}, w FROM o JOIN f USING (i)) GROUP BY ALL""", ("forecasts",))
 def _(spark, d):
     f = v.forecasts(spark, d).where(F.col("outcome").isNotNull())
     out = ca.apply_isotonic(ca.fit_isotonic(f), f)

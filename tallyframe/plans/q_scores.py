@@ -255,12 +255,12 @@ def _(spark, d):
 @query("M13_cluster_bootstrap", f"""
 WITH {SQL_REC}, {SQL_PAIR}, vs AS (SELECT list(d ORDER BY election_year) AS v FROM pr),
  m AS (SELECT id, avg(v[CAST(('0x' || substr(sha256('42:' || id || ':' || i), 1, 8))::UBIGINT % len(v) AS INTEGER) + 1]) AS m
-  FROM (SELECT unnest(range(2000)) AS id), (SELECT v, unnest(range(len(v))) AS i FROM vs) GROUP BY id)
+  FROM (SELECT unnest(range(20000)) AS id), (SELECT v, unnest(range(len(v))) AS i FROM vs) GROUP BY id)
 SELECT {R("(SELECT avg(d) FROM pr)", "mean_difference")}, {R("quantile_cont(m, 0.025e0)", "lower")}, {R("quantile_cont(m, 0.975e0)", "upper")},
- {R("avg(CAST(m < 0 AS DOUBLE))", "probability_improvement")}, count(*) AS draws FROM m""", ("forecasts",))
+ {R("avg(CAST(m < 0 AS DOUBLE))", "probability_improvement")}, {R("avg(CAST(m > 0 AS DOUBLE))", "probability_positive")}, count(*) AS draws FROM m""", ("forecasts",))
 def _(spark, d):
-    b = rb.cluster_bootstrap(paired(spark, d), 2000, 42, cluster="election_year")
-    return b.select(r6("mean_difference"), r6("lower"), r6("upper"), r6("probability_improvement"), "draws")
+    b = rb.cluster_bootstrap(paired(spark, d), 20_000, 42, cluster="election_year")
+    return b.select(r6("mean_difference"), r6("lower"), r6("upper"), r6("probability_improvement"), r6("probability_positive"), "draws")
 
 
 @query("M14_loeo_select", f"""
@@ -325,20 +325,34 @@ def _(spark, d):
     return ln.read_records(spark, path).select("run_id", "sha256")
 
 
-@query("G01_register_versions")
+@query("S11_find_record", """SELECT CAST(event_id AS VARCHAR) AS run_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') AS sha256 FROM events
+ WHERE event_id = (SELECT max(event_id) FROM events WHERE event_type = 'click')""")
+def _(spark, d):
+    path = scratch_dir(spark, "records")
+    e = v.table(spark, d, "events").withColumn("run_id", F.col("event_id").cast("string"))
+    ln.append_records(e, path, ["user_id", "event_type"])
+    last = e.where(F.col("event_type") == "click").agg(F.max("event_id").cast("string").alias("i")).first()["i"]
+    return ln.find_record(spark, path, last).select("run_id", "sha256")
+
+
+@query("G01_register_versions", """
+SELECT 'results' AS dataset_name, 'v000001' AS version, count(*) AS row_count, CAST(NULL AS VARCHAR) AS parent_version, 1 AS contents FROM results
+UNION ALL SELECT 'results', 'v000002', count(*), 'v000001', 1 FROM results WHERE "year" > 1996""", ("results",))
 def _(spark, d):
     reg = ln.Registry(spark, scratch_dir(spark, "registry"))
     r = v.results(spark, d)
     reg.register("results", r, "2001-01-01", metadata={"kind": "check"})
     reg.register("results", r.orderBy(F.desc("votes")))
     reg.register("results", r.where(F.col("year") > 1996), parent_version="v000001")
-    return reg.list_versions("results").select("dataset_name", "version", "sha256", "row_count", "parent_version")
+    return reg.list_versions("results").groupBy("dataset_name", "version", "row_count", "parent_version").agg(F.count_distinct("sha256").cast("int").alias("contents"))
 
 
-@query("G02_run_lineage")
+@query("G02_run_lineage", """
+SELECT 'E-1998' AS election_id, 'v000001' AS results_version, true AS same_content, 'BLOCKED' AS publication_status UNION ALL SELECT 'E-1998', 'v000001', true, 'BLOCKED'""")
 def _(spark, d):
     reg = ln.Registry(spark, scratch_dir(spark, "registry"))
     r = v.results(spark, d)
     ver = reg.register("results", r)
     run = reg.record_run("E-1998", 1998, "1998-01-01", "1", {"results": ver["version"]}, r, "historical", "BLOCKED")
-    return reg.get_run(run).unionByName(reg.list_runs(5)).select("election_id", "input_versions", "output_sha256", "publication_status")
+    return reg.get_run(run).unionByName(reg.list_runs(5)).select(
+        "election_id", F.col("input_versions")["results"].alias("results_version"), (F.col("output_sha256") == ver["sha256"]).alias("same_content"), "publication_status")

@@ -296,7 +296,7 @@ def _(spark, d):
 @query("T04_latest_runs", "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
 def _(spark, d):
     from tallyframe.operators.lineage import latest
-    return latest(v.table(spark, d, "events"), ["ts", "event_id"], 5000).select("event_id", "user_id", "event_type")
+    return latest(v.table(spark, d, "events"), ["ts", "event_id"], 1000).select("event_id", "user_id", "event_type")
 
 
 @query("T05_best_model", f"""WITH {SQL_REC} SELECT model, level, {R("avg(vote_share_mae)", "vote_share_mae")} FROM rec GROUP BY ALL ORDER BY avg(vote_share_mae), model, level LIMIT 1""", ("forecasts",))
@@ -314,10 +314,10 @@ def _(spark, d):
     return qu.available_as_of(e, "2024-01-15").select("event_id")
 
 
-@query("P02_leakage_rows", "SELECT event_id FROM events WHERE event_type = 'error' OR CAST(ts AS DATE) > DATE '2024-01-15' ORDER BY event_id LIMIT 10")
+@query("P02_leakage_rows", "SELECT event_id FROM events WHERE event_type = 'error' OR CAST(ts AS DATE) > DATE '2024-01-15' ")
 def _(spark, d):
     e = v.table(spark, d, "events").withColumn("release_date", F.when(F.col("event_type") != "error", F.to_date("ts")))
-    return qu.leakage_rows(e, "release_date", "2024-01-15", ["event_id"]).select("event_id")
+    return qu.leakage_rows(e, "release_date", "2024-01-15").select("event_id")
 
 
 @query("P03_age_window", "SELECT poll_id, candidate_id FROM polls WHERE field_date BETWEEN DATE '1998-01-01' - 90 AND DATE '1998-01-01'", ("polls",))
@@ -356,6 +356,13 @@ def _(spark, d):
     return po.complete_polls(cut_lineage(v.polls(spark, d)), ["institute"]).select("poll_id", "candidate_id")
 
 
+@query("P08_incomplete_polls", """
+WITH k AS (SELECT institute, count(DISTINCT candidate_id) AS n FROM polls GROUP BY institute)
+SELECT institute, poll_id FROM (SELECT poll_id, institute, count(DISTINCT candidate_id) AS m FROM polls GROUP BY ALL) JOIN k USING (institute) WHERE m < n""", ("polls",))
+def _(spark, d):
+    return po.incomplete_polls(cut_lineage(v.polls(spark, d)), ["institute"])
+
+
 def gate_polls(spark, d):
     p = v.table(spark, d, "lineitem")
     return p.select(

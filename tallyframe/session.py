@@ -32,7 +32,9 @@ def get_session(
 def scratch_dir(spark: SparkSession, label: str | None = None) -> str:
     """Folder every executor can reach: the one in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a temporary folder is made.
+    Only a local master may do without: a temporary folder is made there. On a cluster a folder of one machine
+    would lose rows without a word, so a missing setting is an error. Tables of a session share one subfolder, which
+    a retention rule can delete.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -40,11 +42,14 @@ def scratch_dir(spark: SparkSession, label: str | None = None) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tallyframe-")
         spark.sparkContext.setCheckpointDir(root)
     if label is None:
         return root
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tallyframe-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

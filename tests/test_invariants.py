@@ -153,6 +153,33 @@ def test_incomplete_polls_are_listed_and_left_out(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "poll_id string, candidate_id string").withColumn("k", F.lit(1))
     assert [r["poll_id"] for r in po.incomplete_polls(df, ["k"]).collect()] == ["b"]
     assert {r["poll_id"] for r in po.complete_polls(df, ["k"]).collect()} == {"a"}
+    with pytest.raises(ValueError, match="b"):
+        po.require_complete(df, ["k"])
+    po.require_complete(df.where("poll_id = 'a'"), ["k"])
+
+
+def test_vote_counts_read_thousands(spark):
+    texts = ["71.000 votos", "999.000", "1.234.000", "71,5", "71.5", "1.2345", "x", None]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.parse_vote_count("t").alias("v")).orderBy("i")
+    assert [r["v"] for r in out.collect()] == [71000.0, 999000.0, 1234000.0, 71.5, 71.5, 1.2345, None, None]
+
+
+def test_latest_refuses_other_limits(spark):
+    from tallyframe.operators.lineage import latest
+
+    for limit in (0, 1001):
+        with pytest.raises(ValueError):
+            latest(spark.range(3), ["id"], limit)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tallyframe.session import scratch_dir
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(SimpleNamespace(sparkContext=context, conf={}))
 
 
 # ---- results and priors -----------------------------------------------------------------
