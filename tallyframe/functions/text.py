@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -32,6 +33,15 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, _LIGATURES = _decompositions()
 
 
+# The same letters for names on the driver (headers, tokens); combining marks go.
+_PLAIN = {**str.maketrans(_FROM, _TO), **{ord(k): v for k, v in _LIGATURES.items()}, **dict.fromkeys(range(0x300, 0x370))}
+
+
+def plain_words(name: str, word: str) -> list[str]:
+    """Parts of a header or token that match ``word``, accents off."""
+    return re.findall(word, name.translate(_PLAIN))
+
+
 def strip_accents(c) -> Column:
     """Drop combining marks and decompose accented Latin letters."""
 

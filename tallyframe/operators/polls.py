@@ -19,6 +19,7 @@ DEFAULTS = {
     "scope": "national",
     "uf": "BR",
 }
+# Columns every poll table has.
 REQUIRED = (
     "poll_id", "field_date", "institute", "candidate_id", "candidate_name",
     "share", "sample_size", "margin_error",

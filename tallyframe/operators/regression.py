@@ -19,6 +19,7 @@ from tallyframe.operators.draws import normals, spread_draws
 from tallyframe.operators.polls import require_columns
 from tallyframe.operators.snapshots import group_kfold
 
+# Feature names of the three models, an input contract.
 TURNOUT_FEATURES = (
     "historical_turnout", "abstention_trend", "registration_growth",
     "mobility_index", "weather_severity", "competitiveness",

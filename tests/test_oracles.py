@@ -11,7 +11,9 @@ import check  # noqa: E402
 from tallyframe.plans.catalog import ORACLES, QUERIES  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"E02_calibrated_reliability", "B11_compare_models", "B12_ablate_priors", "B13_sensitivity_grid", "E11_evaluate_oof"}
+# Whole studies: about a minute each. TEST_SLOW=1 runs them.
+SLOW = {"E02_calibrated_reliability", "B10_run_backtest", "B11_compare_models", "B12_ablate_priors", "B13_sensitivity_grid",
+        "B13_robustness_records", "E11_evaluate_oof"}
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
