@@ -103,11 +103,12 @@ def quality_score(variance: DataFrame) -> DataFrame:
 
 def with_prior_variance(meta: DataFrame, variance: DataFrame) -> DataFrame:
     """Mean of the three level variances of every poll; unknown levels use the global one."""
-    entries = variance.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "level"), "variance")))).scalar()
-    overall = variance.agg(F.max("global_variance")).scalar()
-    out = meta.withColumn("_m", entries).withColumn("_g", overall)
-    level = [F.coalesce(F.try_element_at("_m", F.concat(F.lit(f"{k}|"), F.col(k).cast("string"))), F.col("_g")) for k in LEVELS]
-    return out.withColumn("prior_variance", (level[0] + level[1] + level[2]) / 3.0).drop("_m", "_g")
+    out = meta.withColumn("_g", variance.agg(F.max("global_variance")).scalar())
+    for k in LEVELS:
+        own = variance.where(F.col("kind") == k).select(F.col("level").alias(f"_l_{k}"), F.col("variance").alias(f"_v_{k}"))
+        out = out.join(own, F.col(k).cast("string") == F.col(f"_l_{k}"), "left")
+    level = [F.coalesce(f"_v_{k}", "_g") for k in LEVELS]
+    return out.withColumn("prior_variance", (level[0] + level[1] + level[2]) / 3.0).drop("_g", *[f"_{x}_{k}" for k in LEVELS for x in "lv"])
 
 
 def calibrated_precision(meta: DataFrame, keys, as_of: str, variance: DataFrame | None = None, half_life: float = 24.0) -> DataFrame:
