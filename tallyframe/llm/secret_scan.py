@@ -4,7 +4,8 @@ A token is a run of 20 or more of ``[A-Za-z0-9+/_=-]`` that mixes digits with le
 its letters (hex, base32, base36, base64), and three tests are made against a uniform alphabet of that encoding:
 chi-squared of the letter counts, runs above and below the middle of the alphabet, and lag-1 serial correlation. Their
 p-values are combined by Fisher's rule. Long words of letters only are tested alike, as the text's own null: a token's
-p-value is the share of null words no longer than it that look as random or more. Benjamini-Hochberg over all tokens
+p-value is the share of null words of its length (with shorter ones, until there are ``NULL_WORDS``) that look as
+random or more. Benjamini-Hochberg over all tokens
 of the corpus then gives the flagged classes (length by evidence). Both tables have a fixed number of cells, so they
 are of the same size for any input; counts cover all documents.
 
@@ -38,6 +39,7 @@ TOKEN_BYTES = 20
 LENGTHS = 32
 GRADES = 64
 RATE = 0.01
+NULL_WORDS = 500
 
 _HEX, _TOKEN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -173,8 +175,13 @@ def flagged_cells(tokens: dict[int, int], null: dict[int, int], rate: float = RA
     table = np.zeros((LENGTHS, GRADES), dtype=np.int64)
     for cell, n in null.items():
         table[cell // GRADES, cell % GRADES] = n
-    upto = table.cumsum(axis=0)  # null words no longer than this class
-    as_random = upto.cumsum(axis=1)
+    near = np.zeros_like(table)  # null words of this length, and of shorter ones until there are enough
+    for c in range(LENGTHS):
+        low = c
+        while low and table[low : c + 1].sum() < NULL_WORDS:
+            low -= 1
+        near[c] = table[low : c + 1].sum(axis=0)
+    as_random = near.cumsum(axis=1)
     p = (1 + as_random) / (1 + as_random[:, -1:])
     order = sorted(tokens, key=lambda c: p[c // GRADES, c % GRADES])
     total, seen, cut = sum(tokens.values()), 0, -1.0
