@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,10 +92,12 @@ class Registry:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
 
     def _read(self, table: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
 
     def list_versions(self, dataset: str | None = None) -> DataFrame:
         rows = self._read("dataset_versions", VERSION_SCHEMA)

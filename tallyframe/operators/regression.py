@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.numeric import clip, logit, sigmoid
+from tallyframe.functions.numeric import clip, logit, num, sigmoid
 from tallyframe.operators import scoring as sc
 from tallyframe.operators.draws import normals, spread_draws
 from tallyframe.operators.polls import require_columns
@@ -34,6 +34,10 @@ WINNER_FEATURES = (
 )
 
 
+# Fixed value: number of states; a system has one term for each.
+STATES = 27
+
+
 class LinearFit(NamedTuple):
     """Coefficients and their covariance; ``names`` lists intercept, features and state levels."""
 
@@ -51,7 +55,7 @@ class LinearFit(NamedTuple):
 
 
 def _moments(df: DataFrame, features: Sequence[str], floor: float) -> tuple[dict, dict]:
-    x = {f: F.col(f).cast("double") for f in features}
+    x = {f: num(f) for f in features}
     row = df.agg(*[F.avg(c).alias(f"m_{f}") for f, c in x.items()], *[F.stddev_pop(c).alias(f"s_{f}") for f, c in x.items()]).first()
     means = {f: float(row[f"m_{f}"] or 0.0) for f in features}
     return means, {f: max(float(row[f"s_{f}"] or 0.0), floor) for f in features}
@@ -60,7 +64,7 @@ def _moments(df: DataFrame, features: Sequence[str], floor: float) -> tuple[dict
 def _standard(features: Sequence[str], means: dict, scales: dict) -> list[Column]:
     """Intercept and standardised features; a missing value takes the mean."""
     return [F.lit(1.0)] + [
-        (F.coalesce(F.col(f).cast("double"), F.lit(means[f])) - F.lit(means[f])) / F.lit(scales[f]) for f in features
+        (F.coalesce(num(f), F.lit(means[f])) - F.lit(means[f])) / F.lit(scales[f]) for f in features
     ]
 
 
@@ -80,13 +84,15 @@ def fit_turnout(df: DataFrame, prior_sd: float = 1.25) -> LinearFit:
     require_columns(df, (*TURNOUT_FEATURES, "uf", "turnout"), "turnout training data")
     means, scales = _moments(df, TURNOUT_FEATURES, 1e-6)
     q = len(TURNOUT_FEATURES) + 1
-    rows = df.where(F.col("turnout").isNotNull()).select(
-        F.col("uf").cast("string").alias("uf"), logit(F.col("turnout").cast("double")).alias("y"),
+    rows = df.where(num("turnout").isNotNull()).select(
+        F.col("uf").cast("string").alias("uf"), logit(num("turnout")).alias("y"),
         *[c.alias(f"x{i}") for i, c in enumerate(_standard(TURNOUT_FEATURES, means, scales))],
     )
     products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(q) for j in range(i, q)]
     targets = [F.sum(F.col(f"x{i}") * F.col("y")).alias(f"t{i}") for i in range(q)]
-    parts = rows.groupBy("uf").agg(*products, *targets, F.sum(F.col("y") * F.col("y")).alias("yy")).orderBy("uf").collect()
+    parts = rows.groupBy("uf").agg(*products, *targets, F.sum(F.col("y") * F.col("y")).alias("yy")).orderBy("uf").limit(STATES + 1).collect()
+    if len(parts) > STATES:
+        raise ValueError(f"turnout training data has more than {STATES} states")
     ufs = [r["uf"] for r in parts]
     p = q + len(ufs)
     xtx, xty, yy = np.zeros((p, p)), np.zeros(p), 0.0
@@ -115,7 +121,7 @@ def turnout_gradient(fit: LinearFit, df: DataFrame, prior_sd: float = 1.25) -> D
     x = _standard(TURNOUT_FEATURES, fit.means, fit.scales)
     x += [(F.col("uf").cast("string") == n[3:]).cast("double") for n in fit.names[q:]]
     beta, names = (F.array(*[F.lit(v) for v in values]) for values in ([float(b) for b in fit.beta], fit.names))
-    rows = df.where(F.col("turnout").isNotNull()).select(F.array(*x).alias("_x"), logit(F.col("turnout").cast("double")).alias("_y"))
+    rows = df.where(num("turnout").isNotNull()).select(F.array(*x).alias("_x"), logit(num("turnout")).alias("_y"))
     rest = F.aggregate(F.zip_with("_x", beta, lambda a, b: a * b), F.col("_y"), lambda s, v: s - v)
     rows = rows.withColumn("_r", rest).select("_r", F.posexplode("_x").alias("i", "_v")).select("i", (F.col("_v") * F.col("_r")).alias("g"))
     pull = F.element_at(beta, F.col("i") + 1) * F.when(F.col("i") == 0, 1 / 25.0).otherwise(1.0 / prior_sd**2)
@@ -296,6 +302,9 @@ def evaluate_oof(df: DataFrame, key: str, k: int = 5, features: Sequence[str] =
     """Out-of-fold scores of the winner model beside the normalised poll baseline; races stay whole."""
     folded = group_kfold(df, key, k).persist()
     try:
+        filled = folded.select("fold").distinct().count()
+        if filled != k:
+            raise ValueError(f"{filled} of {k} folds have races; use fewer folds")
         parts = None
         for fold in range(k):
             test = folded.where(F.col("fold") == fold)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import recency_weight, sample_weight
@@ -299,16 +301,38 @@ def _(spark, d):
 
 
 @query("S09_write_reports", f"""
-SELECT 'snapshot' AS report, CAST(election_year AS VARCHAR) || '/' || days_before_election || '/' || level AS unit, count(*) AS observations, {R("avg(pow(win_probability - outcome, 2))", "brier")} {SCORED} GROUP BY election_year, days_before_election, level
-UNION ALL SELECT 'state', CAST(election_year AS VARCHAR) || '/' || uf, count(*), {R("avg(pow(win_probability - outcome, 2))", "brier")} {SCORED} AND level = 'state' GROUP BY election_year, uf""", ("forecasts",))
+SELECT 'snapshot' AS report, CAST(election_year AS VARCHAR) || '/' || days_before_election || '/' || level AS unit, count(*) AS observations, {R("avg(pow(win_probability - outcome, 2))", "value")} {SCORED} GROUP BY election_year, days_before_election, level
+UNION ALL SELECT 'state', CAST(election_year AS VARCHAR) || '/' || uf, count(*), {R("avg(pow(win_probability - outcome, 2))", "value")} {SCORED} AND level = 'state' GROUP BY election_year, uf
+UNION ALL SELECT 'calibration_by_uf', CAST(election_year AS VARCHAR) || '/' || uf, count(*), {R("avg(pow(win_probability - outcome, 2))", "value")} {SCORED} AND level = 'state' GROUP BY election_year, uf
+UNION ALL SELECT 'calibration_by_election', CAST(election_year AS VARCHAR) || '/' || level, count(*), {R("avg(pow(win_probability - outcome, 2))", "value")} {SCORED} GROUP BY election_year, level
+UNION ALL SELECT 'bins', CAST(len(list_filter(range(1, 10), lambda i: win_probability >= i * (1e0 / 10))) AS VARCHAR), count(*), {R("avg(outcome)", "value")} {SCORED} GROUP BY 2
+UNION ALL SELECT 'forecasts', 'all', count(*), {R("avg(win_probability)", "value")} FROM forecasts
+UNION ALL SELECT 'scoreable', 'all', count(*), {R("avg(win_probability)", "value")} {SCORED}""", ("forecasts",))
 def _(spark, d):
     from tallyframe.sources.sinks import write_reports
-    root, f = scratch_dir(spark, "reports"), v.forecasts(spark, d)
-    write_reports({"by_snapshot": sc.snapshot_metrics(f), "by_state": sc.state_metrics(f)}, root)
-    a, b = spark.read.parquet(f"{root}/by_snapshot"), spark.read.parquet(f"{root}/by_state")
+    root, f = scratch_dir(spark, "reports"), cut_lineage(v.forecasts(spark, d))
+    scored = sc.scored(f)
+    states = scored.where(F.col("level") == "state")
+    write_reports({
+        "forecasts": f, "scoreable": scored, "snapshot": sc.snapshot_metrics(f), "state": sc.state_metrics(f),
+        "calibration_by_election": sc.calibration_by_group(scored, ["election_year", "level"]),
+        "calibration_by_uf": sc.calibration_by_group(states, ["election_year", "uf"]), "bins": sc.reliability_bins(scored),
+    }, root)
     year = F.col("election_year").cast("string")
-    a = a.select(F.lit("snapshot").alias("report"), F.concat_ws("/", year, F.col("days_before_election").cast("string"), "level").alias("unit"), "observations", r6("brier"))
-    return a.unionByName(b.select(F.lit("state").alias("report"), F.concat_ws("/", year, "uf").alias("unit"), "observations", r6("winner_brier", "brier")))
+    units = {
+        "snapshot": (F.concat_ws("/", year, F.col("days_before_election").cast("string"), "level"), "brier"), "state": (F.concat_ws("/", year, "uf"), "winner_brier"),
+        "calibration_by_uf": (F.concat_ws("/", year, "uf"), "brier"), "calibration_by_election": (F.concat_ws("/", year, "level"), "brier"),
+        "bins": (F.col("bin").cast("string"), "observed_frequency"),
+    }
+    parts = [
+        spark.read.parquet(f"{root}/{name}").withColumnRenamed("count", "observations").select(F.lit(name).alias("report"), unit.alias("unit"), "observations", r6(value, "value"))
+        for name, (unit, value) in units.items()
+    ]
+    parts += [
+        spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("observations"), r6(F.avg("win_probability"), "value")).select(F.lit(name).alias("report"), F.lit("all").alias("unit"), "observations", "value")
+        for name in ("forecasts", "scoreable")
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("S10_file_manifest")
