@@ -76,6 +76,17 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.balanced_shards(_documents(spark, d), SHARDS)
 
 
+# CRC-32 is folded byte by byte over its table, which is made from the polynomial.
+OP5_SQL = r"""
+with k as (select list_transform(range(256), lambda i: list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, j: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as k),
+b as (select doc_id, strlen(coalesce(text, '')) + 8 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint) as b from documents),
+d as (select doc_id, size::bigint as size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, k[(xor(c, x) & 255) + 1])), 4294967295)::bigint as text_crc32 from b, k),
+s as (select *, sum(size) over w as upto, row_number() over w as place from d window w as (order by doc_id nulls first, text_crc32, size rows unbounded preceding)),
+p as (select *, least(23, (2 * upto - size) * 24 // (2 * (select sum(size) from d)))::int as shard from s)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (place - min(place) over (partition by shard))::bigint as slot, null::int as grown_shard from p
+"""
+
+
 def op7_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_counts(_documents(spark, d)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -167,4 +178,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_sharding": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL}
