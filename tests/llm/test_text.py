@@ -49,7 +49,8 @@ def symbols_brute(text):
     for m in re.finditer(rb"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", raw):
         part = m.group()
         if part.strip(b" \t\n\x0b\x0c\r"):
-            out += [quality_kn.AGAIN] if part == last else [int(quality_kn._CLASS[b]) for b in part]
+            again = quality_kn.AGAIN if len(part) <= quality_kn.SHORT else quality_kn.AGAIN_LONG
+            out += [again] if part == last else [int(quality_kn._CLASS[b]) for b in part]
             last = part
         else:
             out += [int(quality_kn._CLASS[b]) for b in part]
