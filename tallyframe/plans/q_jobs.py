@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tallyframe.operators import fits as ft, regression as rg
+from tallyframe.operators.polls import complete_polls
 from tallyframe.plans import jobs, views as v
 from tallyframe.plans.q_models import structural
 from tallyframe.plans.q_priors import SQL_VEC, calibration_input
@@ -137,6 +138,7 @@ def _(spark, d):
     from tallyframe.operators.results import with_vote_share
     as_of = date(1998, 1, 1)
     p = stored_polls(spark, d).where(F.col("field_date").between(F.lit(date(1997, 10, 1)), F.lit(as_of))).withColumn("election_id", F.lit("E98")).withColumn("as_of", F.lit(as_of))
+    p = cut_lineage(complete_polls(p, ["election_id"]))  # the fit refuses incomplete polls; P08_incomplete_polls lists them
     r = with_vote_share(v.results(spark, d).where(F.col("year") == 1997), ["year", "uf"]).withColumn("election_id", F.lit("E98"))
     cand = p.select("election_id", "candidate_id", "candidate_name").distinct()
     priors = build_state_priors(r, cand, ["election_id"], states_only=False).join(
