@@ -3,11 +3,13 @@
 A token is a run of 20 or more of ``[A-Za-z0-9+/_=-]`` that mixes digits with letters. Its encoding is inferred from
 its letters (hex, base32, base36, base64), and three tests are made against a uniform alphabet of that encoding:
 chi-squared of the letter counts, runs above and below the middle of the alphabet, and lag-1 serial correlation. Their
-p-values are combined by Fisher's rule. Long words of letters only are tested alike, as the text's own null: a token's
-p-value is the share of null words of its length (with shorter ones, until there are ``NULL_WORDS``) that look as
-random or more. Benjamini-Hochberg over all tokens
-of the corpus then gives the flagged classes (length by evidence). Both tables have a fixed number of cells, so they
-are of the same size for any input; counts cover all documents.
+p-values are combined by Fisher's rule. The null is the running text of all documents: what stands outside of such
+tokens, without the letters that the encoding lacks, cut into windows of nine lengths and tested alike. A
+token's p-value is the share of windows of its encoding and length (with shorter ones, until there are
+``NULL_WINDOWS``) that look as random or more. Where fewer than ``TAIL`` do, it is read from an exponential tail through
+the ``TAIL`` most random windows, so it has no floor by their number. Benjamini-Hochberg over all tokens
+of the corpus then gives the flagged classes (encoding by length by evidence). Both tables have a fixed number of
+cells, so they are of the same size for any input; counts cover all documents.
 
 Defined results: null text counts as empty; each row is scanned for itself; a document without finds has zero counts,
 empty spans and the hash of the empty text; an empty table gives an empty table; extra columns are ignored.
@@ -37,9 +39,10 @@ KINDS = ("assign", "access", "hex", "random")
 
 TOKEN_BYTES = 20
 LENGTHS = 32
-GRADES = 64
+GRADES = 128
 RATE = 0.01
-NULL_WORDS = 500
+NULL_WINDOWS = 200
+TAIL = 25
 
 _HEX, _TOKEN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -54,6 +57,28 @@ ENCODINGS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
+# The running text that an encoding is held against; where case is folded, one text serves both.
+NULLS = {"hex": 0, "base32": 1, "lower": 2, "upper": 2, "base36": 3, "base64": 4}
+_NULL_NAMES = ("hex", "base32", "lower", "base36", "base64")
+
+
+def _values(name: str) -> np.ndarray:
+    """Place in the alphabet of each byte of running text, -1 for bytes left out."""
+    out = np.full(256, -1, dtype=np.int16)
+    for v, c in enumerate(ENCODINGS[name]):
+        out[ord(c)] = v
+        if name != "base64":
+            out[ord(c.swapcase())] = v
+    if name == "base64":
+        out[[ord("-"), ord("_")]] = out[[ord("+"), ord("/")]]
+    return out
+
+
+_VALUES = {name: _values(name) for name in _NULL_NAMES}
+_KINDS = np.array([0, 21, 1, 13, 2, 31, 3, 8, 5])  # length classes of windows; others use the next below
+_SPANS = TOKEN_BYTES + 4 * _KINDS
+_ROUND = int(_SPANS.sum())
+_BEGINS = np.stack([np.cumsum(x) - x for x in (np.roll(_SPANS, -k) for k in range(len(_KINDS)))])
 
 SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 CELL = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -111,15 +136,85 @@ def uniformity(token: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def _normal_tails(z: np.ndarray) -> np.ndarray:
+    """``_normal_tail`` of many values, to a relative error of 2e-7 (rational Chebyshev approximation of erfc)."""
+    x = np.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    poly = np.zeros_like(t)
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = poly * t + c
+    tail = t * np.exp(-x * x + poly) / 2
+    return np.where(z < 0, 1 - tail, tail)
+
+
+def uniformities(values: np.ndarray, k: int) -> np.ndarray:
+    """``uniformity`` of windows of one length, one a row, given as places in an alphabet of ``k``."""
+    m, n = values.shape
+    counts = np.bincount((np.arange(m)[:, None] * k + values).ravel(), minlength=m * k).reshape(m, k)
+    chi = np.einsum("ij,ij->i", counts, counts) * (k / n) - n
+    df = k - 1
+    p_chi = _normal_tails(((np.maximum(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = 2 * values >= k
+    a = high.sum(axis=1)
+    b = n - a
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    mean = 1 + 2 * a * b / n
+    var = (mean - 1) * (mean - 2) / max(1, n - 1)
+    p_runs = np.where(var > 0, 2 * _normal_tails(np.abs(runs - mean) / np.sqrt(np.where(var > 0, var, 1))), 1.0)
+    p_runs = np.where((a == 0) | (b == 0), 2.0 ** (1 - n), p_runs)
+    off = values - values.mean(axis=1, keepdims=True)
+    spread = np.einsum("ij,ij->i", off, off)
+    serial = np.where(spread > 0, np.einsum("ij,ij->i", off[:, 1:], off[:, :-1]) / np.where(spread > 0, spread, 1), 1.0)
+    p_serial = 2 * _normal_tails(np.abs(serial * math.sqrt(n)))
+    half = -sum(np.log(np.maximum(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
 def grade(p: float) -> int:
     """Evidence classes, 0 the most random."""
     return min(GRADES - 1, int(-4 * math.log10(max(p, 1e-300))))
 
 
+def window_counts(data: np.ndarray, offsets: np.ndarray, tokens: np.ndarray) -> dict[int, int]:
+    """Windows of the running text by cell. ``tokens`` marks the bytes that do not belong to it."""
+    out: dict[int, int] = {}
+    for e, name in enumerate(_NULL_NAMES):
+        stream = _VALUES[name][data]
+        stays = (stream >= 0) & ~tokens
+        bounds = np.concatenate([[0], np.cumsum(stays)])[offsets]
+        stream = stream[stays]
+        begins: list[list[np.ndarray]] = [[] for _ in range(LENGTHS)]
+        sizes = np.diff(bounds)
+        phase = sizes % len(_KINDS)
+        # windows follow each other through a text in rounds of all lengths; the text's size says with which a round begins
+        for j in range(len(_KINDS)):
+            c = _KINDS[(j + phase) % len(_KINDS)]
+            first = _BEGINS[phase, j]
+            fit = np.maximum(0, (sizes - first - TOKEN_BYTES - 4 * c) // _ROUND + 1)
+            own = np.repeat(np.arange(len(sizes)), fit)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(fit) - fit, fit)
+            at, kind = bounds[own] + first[own] + nth * _ROUND, c[own]
+            for k in np.unique(kind):
+                begins[k].append(at[kind == k])
+        for c in range(LENGTHS):
+            if begins[c]:
+                at = np.concatenate(begins[c])
+                p = uniformities(stream[at[:, None] + np.arange(TOKEN_BYTES + 4 * c)].astype(np.int64), len(ENCODINGS[name]))
+                grades = np.minimum(GRADES - 1, (-4 * np.log10(np.maximum(p, 1e-300))).astype(np.int64))
+                for g, n in zip(*np.unique(np.maximum(grades, 0), return_counts=True)):
+                    out[(e * LENGTHS + c) * GRADES + int(g)] = int(n)
+    return out
+
+
 def _length_class(n: int) -> int:
     return min(LENGTHS - 1, (n - TOKEN_BYTES) // 4)
 
 
+def token_cell(word: str) -> int:
+    """Encoding, length and evidence of a token as one number."""
+    return (NULLS[infer_encoding(word)] * LENGTHS + _length_class(len(word))) * GRADES + grade(uniformity(word))
+
+
 def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of runs of true within texts, of at least ``least`` bytes."""
     if not len(mask):
@@ -134,12 +229,12 @@ def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray
 
 
 def scan_block(block: Block) -> tuple[list[list[dict]], list[list[dict]], dict[int, int]]:
-    """Base spans and graded tokens of each text, and the block's null counts by cell."""
+    """Base spans and graded tokens of each text, and the block's null windows by cell."""
     data, offsets = block.data, block.offsets
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
     base: list[list[dict]] = [[] for _ in range(len(block))]
     tokens: list[list[dict]] = [[] for _ in range(len(block))]
-    null: dict[int, int] = {}
+    inside = np.zeros(len(data) + 1, dtype=np.int32)
     low = data.tobytes().lower()
     raw = data.tobytes()
     for i in sorted({int(np.searchsorted(offsets, m.start(), side="right")) - 1 for m in HINT.finditer(low)}):
@@ -160,36 +255,50 @@ def scan_block(block: Block) -> tuple[list[list[dict]], list[list[dict]], dict[i
         word = raw[a:b].decode()
         digits = any(c.isdigit() for c in word)
         if digits and any(c.isalpha() for c in word):
+            inside[a] += 1
+            inside[b] -= 1
             i = int(np.searchsorted(offsets, a, side="right")) - 1
             start, end = int(points[a] - points[offsets[i]]), int(points[b] - points[offsets[i]])
             if not any(s["start"] < end and start < s["end"] for s in base[i]):
-                tokens[i].append({"cell": _length_class(b - a) * GRADES + grade(uniformity(word)), "start": start, "end": end})
-        elif word.isalpha():
-            cell = _length_class(b - a) * GRADES + grade(uniformity(word))
-            null[cell] = null.get(cell, 0) + 1
-    return base, tokens, null
+                tokens[i].append({"cell": token_cell(word), "start": start, "end": end})
+    return base, tokens, window_counts(data, offsets, np.cumsum(inside[:-1]) > 0)
+
+
+def null_shares(counts: np.ndarray) -> np.ndarray:
+    """Share of null windows that look as random as each grade or more; 1 without enough windows."""
+    seen = counts.cumsum()
+    total = int(seen[-1])
+    if total < TAIL:
+        return np.ones(len(counts))
+    share = (1 + seen) / (1 + total)
+    level = int(np.searchsorted(seen, TAIL))
+    beyond = level - np.arange(level)
+    # mean distance of the most random windows from the level, at least a grade; from the last grade on it is not known
+    scale = max(1 + float((counts[:level] * beyond).sum()) / seen[level], level / 16)
+    share[:level] = np.maximum(share[level] * np.exp(-beyond / scale), seen[:level] / (1 + total))
+    return share
 
 
 def flagged_cells(tokens: dict[int, int], null: dict[int, int], rate: float = RATE) -> list[int]:
-    """Benjamini-Hochberg over all tokens, given how many tokens and null words each cell (length by grade) has."""
-    table = np.zeros((LENGTHS, GRADES), dtype=np.int64)
+    """Benjamini-Hochberg over all tokens, given how many tokens and null windows each cell has (encoding by length by grade)."""
+    table = np.zeros((len(_NULL_NAMES), LENGTHS, GRADES), dtype=np.int64)
     for cell, n in null.items():
-        table[cell // GRADES, cell % GRADES] = n
-    near = np.zeros_like(table)  # null words of this length, and of shorter ones until there are enough
-    for c in range(LENGTHS):
-        low = c
-        while low and table[low : c + 1].sum() < NULL_WORDS:
-            low -= 1
-        near[c] = table[low : c + 1].sum(axis=0)
-    as_random = near.cumsum(axis=1)
-    p = (1 + as_random) / (1 + as_random[:, -1:])
-    order = sorted(tokens, key=lambda c: p[c // GRADES, c % GRADES])
+        table.reshape(-1)[cell] = n
+    p = np.ones(table.shape)
+    for e in range(len(_NULL_NAMES)):
+        for c in range(LENGTHS):  # windows of this length, and of shorter ones until there are enough
+            low = c
+            while low and table[e, low : c + 1].sum() < NULL_WINDOWS:
+                low -= 1
+            p[e, c] = null_shares(table[e, low : c + 1].sum(axis=0))
+    p = p.reshape(-1)
+    order = sorted(tokens, key=lambda c: p[c])
     total, seen, cut = sum(tokens.values()), 0, -1.0
     for cell in order:
         seen += tokens[cell]
-        if p[cell // GRADES, cell % GRADES] <= rate * seen / total:
-            cut = p[cell // GRADES, cell % GRADES]
-    return sorted(c for c in tokens if p[c // GRADES, c % GRADES] <= cut)
+        if p[cell] <= rate * seen / total:
+            cut = p[cell]
+    return sorted(c for c in tokens if p[c] <= cut)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
@@ -214,7 +323,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     found = cut_lineage(rows.mapInArrow(run, schema))
     null = found.where("null_cells is not null").select(F.explode("null_cells").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n"))
     seen = found.select(F.explode("tokens").alias("t")).groupBy(F.col("t.cell").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    cells = flagged_cells({r.cell: r.n for r in seen.collect()}, {r.cell: r.n for r in null.collect()}, rate)  # at most LENGTHS * GRADES rows each
+    cells = flagged_cells({r.cell: r.n for r in seen.collect()}, {r.cell: r.n for r in null.collect()}, rate)  # at most as many rows as cells
     flags = F.array(*[F.lit(c) for c in cells]).cast("array<int>")
     random = F.transform(
         F.filter("tokens", lambda t: F.array_contains(flags, t["cell"])),

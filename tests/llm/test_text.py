@@ -201,6 +201,41 @@ def test_false_discovery_control():
     assert secret_scan.flagged_cells({}, null) == [] and secret_scan.flagged_cells({5: 1}, {}) == []
 
 
+def test_windows_are_tested_as_tokens_are():
+    r = random.Random(6)
+    for n in (20, 44, 144):
+        words = ["".join(r.choice(secret_scan.ENCODINGS["base64"][: r.choice([12, 30, 64])]) for _ in range(n)) for _ in range(60)]
+        words = [w for w in words if secret_scan.infer_encoding(w) == "base64"]
+        values = np.array([[secret_scan.ENCODINGS["base64"].find(c) for c in w] for w in words])
+        assert secret_scan.uniformities(values, 64) == pytest.approx([secret_scan.uniformity(w) for w in words], rel=1e-5)
+    texts = ["", None, "the rain in Spain stays mainly in the plain 2024. " * 200, "x", "ab " * 30]
+    whole, parts = block_of(texts), [block_of([t]) for t in texts]
+    none = lambda b: np.zeros(len(b.data), dtype=bool)
+    total = Counter()
+    for b in parts:
+        total.update(secret_scan.window_counts(b.data, b.offsets, none(b)))
+    assert total == Counter(secret_scan.window_counts(whole.data, whole.offsets, none(whole)))
+    sizes = {c // secret_scan.GRADES % secret_scan.LENGTHS for c in total}
+    assert sizes == set(secret_scan._KINDS.tolist())  # every length has windows
+
+
+def test_few_secrets_among_many_mixed_tokens(spark):
+    r = random.Random(12)
+    syllables = "the er on an re he in ed nd ha at en es of or nt ea ti to it".split()
+    alphabet = secret_scan.ENCODINGS["base64"][:62]
+    keys = ["".join(r.choice(alphabet) for _ in range(48)) for _ in range(6)]
+
+    def run():
+        return "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
+
+    texts = [" ".join([*(run() for _ in range(150)), *(f"{run()}{run()}-{run()}{run()}-{r.randrange(2000, 2030)}-{run()}{run()}" for _ in range(5))]) for _ in range(80)]
+    texts = [t + " " + k for t, k in zip(texts, keys)] + texts[len(keys) :]
+    assert not any(len(w) >= 20 and w.isalpha() for t in texts for w in t.split(" ") if w not in keys)  # no long word serves as null
+    found = [(texts[x.doc_id][s.start : s.end]) for x in secret_scan.scan(h.table(spark, texts)).collect() for s in x.random]
+    assert len(set(found) & set(keys)) >= 5
+    assert len(set(found) - set(keys)) <= 1
+
+
 def test_secret_query_digest(spark, tmp_path):
     h.table(spark, [*SECRETS, None]).write.parquet(f"{tmp_path}/documents.parquet")
     for x in queries.op2_secret_scan(spark, str(tmp_path)).collect():
