@@ -7,7 +7,9 @@ embeddings differ in few places (small Hamming distance). At sampled steps the w
 the pointer; each of its bits votes on one fingerprint bit, and the sign of all votes of the text is that bit.
 
 ``likeness`` rescales the Hamming distance of two fingerprints: 1 for equal ones, near 0 for unrelated texts.
-``near_links`` bands sampled bits of the fingerprints and verifies candidates.
+``near_links`` bands sampled bits of the fingerprints and verifies all pairs of a bucket. Up to ``BUCKET`` classes are one
+bucket, so the search is exact; beyond, keys grow by a bit as the classes double, and bands are added so that a pair at
+the least likeness still shares one with probability ``RECALL``. ``near_components`` names each document's component.
 
 Defined results: a null or empty text is embedded as an empty walk (all its bits fixed); equal texts have equal
 fingerprints; any one text is walked to its end. In ``edit_probe`` rows of null id come last, rows of one id follow
@@ -17,16 +19,18 @@ each other by a hash of the text, and a single row is its own next document. Ext
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.llm.blocks import blocks, hash_words, mix64, salts, split_words
+from tallyframe.llm.components import components
 from tallyframe.llm.prefix import spread_count
 from tallyframe.session import cut_lineage
 
@@ -36,6 +40,8 @@ SEGMENT = 256
 CUT_WORDS = 8
 SLACK = 32
 STEPS = 2 * SEGMENT + SLACK
+BUCKET = 4096
+RECALL = 0.95
 SAMPLED = [*range(0, 32, 2), *range(32, 128, 8), *range(128, STEPS, 16)]
 
 _MOVE = (salts(STEPS * 256, 31) >> np.uint64(63)).astype(np.int64).reshape(STEPS, 256)
@@ -130,35 +136,121 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("fingerprint", T.StringType())]))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Bits in which two hex fingerprints differ."""
-    words = [F.bit_count(F.conv(F.substring(a, i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, i, 8), 16, 10).cast("long")))
-             for i in range(1, BITS // 4, 8)]
-    return sum(words[1:], words[0])
+def band_plan(classes: int, least: float) -> tuple[int, int]:
+    """Bits of a band's key, so that a bucket expects ``BUCKET`` classes at most, and the number of bands."""
+    bits = max(0, math.ceil(math.log2(max(classes, 1) / BUCKET)))
+    shared = ((1 + least) / 2) ** bits  # a pair at the least likeness has the same key
+    return bits, 1 if shared >= 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - shared))
 
 
-def near_links(prints: DataFrame, id_col: str = "doc_id", bands: int = 32, band_bits: int = 12, least: float = 0.6) -> DataFrame:
+def band_keys(prints: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """Key of each print (row) in each band (column): the band's number and its own draw of bits."""
+    bit = np.unpackbits(prints, axis=1)
+    out = np.zeros((len(prints), bands), dtype=np.int64)
+    for k in range(bands):
+        out[:, k] = k
+        for i in np.argsort(salts(BITS, 34 + k))[:bits]:
+            out[:, k] = out[:, k] << 1 | bit[:, i]
+    return out
+
+
+def close_pairs(prints: np.ndarray, side: np.ndarray, most: int, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows at most ``most`` bits apart and their distances; where rows of two sides meet, pairs across only.
+
+    With ``forest``, just enough of them to connect what they connect.
+    """
+    words = np.ascontiguousarray(prints).view(np.uint64)
+    two = side.any() and not side.all()
+    left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if two else (np.arange(len(words)),) * 2
+    columns = [np.ascontiguousarray(words[right, w]) for w in range(words.shape[1])]
+    group = np.arange(len(words))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 18) // max(1, len(right)))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        low = 0 if two else at  # earlier rows have met these
+        apart = np.zeros((len(rows), len(right) - low), dtype=np.uint16)
+        for w, column in enumerate(columns):
+            apart += np.bitwise_count(words[rows, w][:, None] ^ column[None, low:])
+        i, j = np.nonzero(apart <= most)
+        d = apart[i, j]
+        i, j = rows[i], right[low + j]
+        keep = i != j if two else i < j
+        i, j, d = i[keep], j[keep], d[keep]
+        if forest and len(i):
+            taken = []
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(i) > 0]))
+            for x, y in zip(begins, [*begins[1:], len(i)]):
+                others, first = np.unique(group[j[x:y]], return_index=True)
+                new = others != group[i[x]]
+                if new.any():
+                    taken.append(x + first[new])
+                    group[np.isin(group, others[new])] = group[i[x]]
+            chosen = np.concatenate(taken) if taken else np.zeros(0, dtype=np.int64)
+            i, j, d = i[chosen], j[chosen], d[chosen]
+        found.append((i, j, d))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def near_links(prints: DataFrame, id_col: str = "doc_id", bands: int | None = None, band_bits: int | None = None, least: float = 0.6,
+               forest: bool = False, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b, likeness) between representatives of different fingerprints whose sampled bits agree in some band.
 
-    Equal fingerprints are one class, named by its smallest id. In each band a class is compared with the two classes
-    that come first in its bucket by fingerprint order, so links grow with classes, not with pairs. Links are verified by Hamming distance.
+    Equal fingerprints are one class, named by its smallest id. All classes of a bucket are compared; one of more than
+    ``bucket`` classes is cut into blocks, and each pair of blocks is a task of its own. With ``forest``, each task gives
+    just enough links to connect what its links connect. Keys and bands follow the number of classes unless they are given.
     """
-    classes = cut_lineage(prints.groupBy("fingerprint").agg(F.min(id_col).alias("_id")).where(F.col("_id").isNotNull()))
-    order = np.argsort(np.resize(salts(BITS, 34), bands * band_bits) ^ salts(bands * band_bits, 35)) % BITS
-
-    def bit(i: int) -> Column:
-        digit = F.conv(F.substring("fingerprint", i // 4 + 1, 1), 16, 10).cast("int")
-        return F.shiftright(digit, 3 - i % 4).bitwiseAND(F.lit(1)).cast("string")
-
-    keys = F.array(*[F.concat(F.lit(f"{k}:"), *[bit(int(i)) for i in order[k * band_bits : (k + 1) * band_bits]]) for k in range(bands)])
-    rows = cut_lineage(classes.select("_id", "fingerprint", F.explode(keys).alias("_key")))
-    low = rows.groupBy("_key").agg(F.min(F.struct("fingerprint", "_id")).alias("x"), F.max(F.struct("fingerprint", "_id")).alias("y"))
-    heads = low.select("_key", F.explode(F.array("x", "y")).alias("h"))
-    pairs = rows.join(heads, "_key").where(F.col("_id") != F.col("h._id")).select(
-        F.least("_id", "h._id").alias("a"), F.greatest("_id", "h._id").alias("b"),
-        F.greatest(F.lit(0.0), 1 - 2 * hamming(F.col("fingerprint"), F.col("h.fingerprint")) / BITS).alias("likeness"),
-    )
-    return pairs.where(F.col("likeness") >= least).distinct()
+    classes = cut_lineage(prints.groupBy("fingerprint").agg(F.min(id_col).alias("_id")).where(F.col("_id").isNotNull())
+                          .select("_id", F.unhex("fingerprint").alias("_print")))
+    bits, count = band_plan(classes.count(), least)
+    bits = bits if band_bits is None else band_bits
+    count = count if bands is None else bands
+    most = math.floor((1 - least) * BITS / 2 + 1e-9)
+    kind = classes.schema["_id"]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+            keys = band_keys(raw, bits, count)
+            for k in range(count):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), batch.column(0), batch.column(1)], names=["_key", "_id", "_print"])
+
+    rows = classes.mapInArrow(keyed, T.StructType([T.StructField("_key", T.LongType()), kind, T.StructField("_print", T.BinaryType())]))
+    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(sizes.where(F.col("_n") > bucket).select("_key", F.ceil(F.col("_n") / bucket).cast("int").alias("_blocks")))
+    mine = F.pmod(F.xxhash64("_print"), F.col("_blocks")).cast("int")
+    other = F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    # large buckets are at most as many as classes * bands / bucket
+    placed = rows.join(F.broadcast(large), "_key", "left").withColumn("_mine", F.coalesce(mine, F.lit(0))).withColumn("_other", other).select(
+        "_key", F.least("_mine", "_other").alias("_x"), F.greatest("_mine", "_other").alias("_y"),
+        (F.col("_mine") > F.col("_other")).alias("_side"), "_id", "_print")
+    out = T.StructType([T.StructField("a", kind.dataType), T.StructField("b", kind.dataType), T.StructField("likeness", T.DoubleType())])
+
+    def search(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        raw = np.frombuffer(b"".join(table.column("_print").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+        if key[1].as_py() != key[2].as_py():
+            side = table.column("_side").to_numpy()
+            if not side.any() or side.all():  # the other block is empty
+                raw, side = raw[:0], side[:0]
+        else:
+            side = np.zeros(len(raw), dtype=bool)
+        i, j, d = close_pairs(raw, side, most, forest)
+        ids = table.column("_id")
+        return pa.Table.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(np.maximum(0.0, 1 - 2 * d.astype(np.float64) / BITS))], names=out.names)
+
+    pairs = placed.groupBy("_key", "_x", "_y").applyInArrow(search, out)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness").distinct()
+
+
+def near_components(prints: DataFrame, id_col: str = "doc_id", least: float = 0.6) -> DataFrame:
+    """One row per fingerprint: fingerprint, near_id (the smallest id that near links reach, null if all are null)."""
+    classes = cut_lineage(prints.groupBy("fingerprint").agg(F.min(id_col).alias("_id")).withColumn("_node", F.xxhash64("fingerprint")))
+    joined = components(near_links(classes.select("_node", "fingerprint"), "_node", least=least, forest=True))
+    named = cut_lineage(classes.join(joined, F.col("_node") == F.col("node"), "left")
+                        .select("fingerprint", "_id", F.coalesce("component", "_node").alias("_component")))
+    first = named.groupBy("_component").agg(F.min("_id").alias("near_id"))
+    return named.join(first, "_component").select("fingerprint", "near_id")
 
 
 def replace_tail(text: str, other: str) -> str:

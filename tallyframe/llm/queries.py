@@ -17,6 +17,7 @@ from tallyframe.llm import (
     toxicity,
     url_filter,
 )
+from tallyframe.session import cut_lineage
 
 SHARDS = 24
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -153,7 +154,8 @@ def op6_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_edit_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return edit_fingerprint.edit_probe(_documents(spark, d))
+    probe = cut_lineage(edit_fingerprint.edit_probe(_documents(spark, d)))
+    return probe.join(edit_fingerprint.near_components(probe), "fingerprint", "left").select(*probe.columns, "near_id")
 
 
 def op9_bpe(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tallyframe.llm import edit_fingerprint as ef
-from tallyframe.llm import jaccard
+from tallyframe.llm import jaccard, queries
 from tallyframe.llm.blocks import hash_words, shingle_sets, split_words
 from tallyframe.llm.components import components
 
@@ -176,3 +176,49 @@ def test_near_links(spark):
     docs = h.table(spark, texts)
     links = {(x.a, x.b) for x in ef.near_links(ef.fingerprints(docs)).collect()}
     assert links <= {(2 * i, 2 * i + 1) for i in range(15)} and len(links) >= 13
+
+
+def planted_prints(r, n, groups, size, flips):
+    """Random fingerprints, and groups that lie ``flips`` bits from a centre each."""
+    bits = r.integers(0, 2, (n, ef.BITS), dtype=np.uint8)
+    for g in range(groups):
+        for k in range(1, size):
+            bits[g * size + k] = bits[g * size]
+            bits[g * size + k, r.choice(ef.BITS, flips, replace=False)] ^= 1
+    return np.packbits(bits, axis=1)
+
+
+@pytest.mark.parametrize("bucket", [ef.BUCKET, 700])
+def test_near_links_recall_against_all_pairs(spark, bucket):
+    prints = planted_prints(np.random.default_rng(5), 20_000, 150, 4, 20)
+    bits, bands = ef.band_plan(len(prints), 0.6)
+    assert bits == 3 and ef.band_plan(1000, 0.6) == (0, 1)
+    i, j, _ = ef.close_pairs(prints, np.zeros(len(prints), dtype=bool), 51, False)
+    want = {(int(a), int(b)) for a, b in zip(i, j)}
+    assert want >= {(4 * g + a, 4 * g + b) for g in range(150) for a in range(4) for b in range(a + 1, 4)}
+    table = spark.createDataFrame([(k, p.tobytes().hex()) for k, p in enumerate(prints)], "doc_id long, fingerprint string")
+    links = {(x.a, x.b): x.likeness for x in ef.near_links(table, bucket=bucket).collect()}
+    assert set(links) <= want and len(links) >= 0.95 * len(want)
+    assert all(v == pytest.approx(ef.likeness(prints[a : a + 1], prints[b : b + 1])[0]) for (a, b), v in links.items())
+
+
+def test_close_pairs_across_and_as_a_forest():
+    prints = planted_prints(np.random.default_rng(6), 300, 20, 6, 10)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
+    side = np.arange(300) % 2 > 0
+    for s in (np.zeros(300, dtype=bool), side):
+        want = {(a, b) for a in range(300) for b in range(300) if apart[a, b] <= 51 and (a < b if not s.any() else s[b] and not s[a])}
+        i, j, d = ef.close_pairs(prints, s, 51, False)
+        assert set(zip(i.tolist(), j.tolist())) == want and (apart[i, j] == d).all()
+        i, j, _ = ef.close_pairs(prints, s, 51, True)
+        assert set(zip(i.tolist(), j.tolist())) <= want and len(i) == 20 * 5
+
+
+def test_query_names_near_components(spark, tmp_path):
+    r = h.rng(13)
+    base = [h.words(r, 150) for _ in range(6)]
+    texts = [t for b in base for t in (b, h.mutate(r, b, 2), b)] + [None, ""]
+    h.table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {x.doc_id: x.near_id for x in queries.op8_edit_fingerprint(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts) and out[19] == 18
+    assert sum(out[3 * g + k] == 3 * g for g in range(6) for k in range(3)) >= 17
