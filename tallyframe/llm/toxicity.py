@@ -2,9 +2,9 @@
 
 Words are first mapped to classes: insult, threat, target, negation, report. Insults are stems with weights learned
 from labelled texts (how often a stem's words stand in toxic and in other texts); the other classes are fixed lists.
-A clause is then read by five transducers composed into one machine: negation turns the next insult's weight down for
+A clause is then read by one hand-written machine with a single reading (not a composition of transducers): negation turns the next insult's weight down for
 three words, reported speech does so for the rest of the clause, a target turns insults up, a threat followed by a
-target counts by itself. The weight of a clause is that of its best reading; a text's evidence is the sum over
+target counts by itself. The weight of a clause is the sum over its insults and threats; line ends do not end a clause. A text's evidence is the sum over
 matched clauses and their number per thousand words, turned into a probability by a logistic fit on the labels.
 
 Stems are learned, and the curve is fitted, on at most ``FIT_ROWS`` labelled texts (those of smallest hash), a bound
