@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import (
     bpe,
+    collocations,
     edit_fingerprint,
     exact_dedup,
+    hard_negatives,
     jaccard,
+    language_id,
     mixing,
     quality_kn,
     secret_scan,
@@ -168,6 +171,63 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "clauses")
 
 
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = r"""
+with e as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as s
+      from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p.b as positive_id, s.b as negative_id, p.s as positive_score, s.s as negative_score,
+             row_number() over (partition by p.a, p.b order by s.s desc, s.b) as rank
+      from p join s on p.a = s.a and not same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)
+select a as anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+
+def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, d))
+
+
+OP12_SQL = r"""
+with p as (
+    select coalesce(lang, 'und') as lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) as p
+    from documents),
+w as (select lang, list_filter(string_split_regex(p, '[ 	]+'), lambda x: x <> '') as w from p),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+      from w, (values (1), (2), (3), (4)) v(k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+t as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k >= 2 and f >= 30),
+x as (select lang, phrase, a, unnest(range(1, k)) as cut, k, w from c),
+s as (select x.lang, x.phrase, x.a, cut, l.f as l, r.f as r, (2000000::hugeint * x.a) // (l.f + r.f) as score
+      from x join f l on l.lang = x.lang and l.phrase = array_to_string(w[1:cut], ' ')
+             join f r on r.lang = x.lang and r.phrase = array_to_string(w[cut + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+i as (select lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda j: array_to_string(w[j:j + m - 1], ' '))))) as phrase
+      from c where k >= 3),
+m as (select lang, phrase, max(a) as most from i group by all),
+r as (select b.lang, row_number() over (partition by b.lang order by score desc, b.a desc, b.phrase) as rank, b.phrase, b.a, l, r, score
+      from b left join m on b.lang = m.lang and b.phrase = m.phrase where most is null or 100 * most < 80 * b.a)
+select r.lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from r join t using (lang) where rank <= 2000
+"""
+
+
+def op13_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language_id.identify(_documents(spark, d))
+
+
 QUERIES = {
     "op1_quality_kn": op1_quality_kn,
     "op2_secret_scan": op2_secret_scan,
@@ -179,5 +239,9 @@ QUERIES = {
     "op8_edit_fingerprint": op8_edit_fingerprint,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_sharding": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_sharding": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL,
+           "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL}
