@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import METHODS, poll_weight
 from tallyframe.operators.polls import alr_array, complete_vectors
+from tallyframe.operators.quantiles import grouped_quantiles
 from tallyframe.operators.skew import spread_join
 
 
@@ -25,7 +26,9 @@ def polling_baseline(
     polls = polls.where(F.col("field_date").isNotNull() & (F.col("field_date") <= F.col(as_of)))
     key = [*keys, as_of]
     v = complete_vectors(polls, key)
-    latest = v.groupBy(*key).agg(F.max("field_date").alias("_latest"), F.percentile("sample_size", F.lit(0.5)).alias("_median_n"))
+    sizes = v.select(*key, "field_date", "sample_size")
+    latest = grouped_quantiles(sizes, key, "sample_size", [0.5], [F.max("field_date").alias("_latest")])
+    latest = latest.select(*key, "_latest", F.col("q0").alias("_median_n"))
     v = spread_join(v, latest, key, ["poll_id"])
     for m in methods:
         v = v.withColumn(f"w_{m}", poll_weight(m, "field_date", as_of, "sample_size", "_latest", half_life))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import base_precision, clip
 from tallyframe.operators.polls import require_columns
+from tallyframe.operators.quantiles import grouped_quantiles
 from tallyframe.operators.skew import spread_join
 
 LEVELS = ("institute", "collection_mode", "target_population")
@@ -112,19 +113,13 @@ def with_prior_variance(meta: DataFrame, variance: DataFrame) -> DataFrame:
 
 
 def calibrated_precision(meta: DataFrame, keys, as_of: str, variance: DataFrame | None = None, half_life: float = 24.0) -> DataFrame:
-    """Base precision of every poll, optionally scaled by its median-normalised calibration.
-
-    Prior variances take one value per (institute, mode, population), so the
-    exact median holds a bounded number of distinct values per key.
-    """
+    """Base precision of every poll, optionally scaled by its median-normalised calibration."""
     out = meta.withColumn("base_precision", base_precision("field_date", as_of, "margin_error", half_life))
     if variance is None:
         return out
     out = with_prior_variance(out, variance).withColumn("_pen", 1.0 / F.greatest(F.col("prior_variance"), F.lit(0.05)))
-    if keys:
-        out = spread_join(out, out.groupBy(*keys).agg(F.percentile("_pen", F.lit(0.5)).alias("_med")), keys, ["poll_id"])
-    else:
-        out = out.withColumn("_med", out.agg(F.percentile("_pen", F.lit(0.5))).scalar())
+    median = grouped_quantiles(out.select(*keys, "_pen"), keys, "_pen", [0.5]).select(*keys, F.col("q0").alias("_med"))
+    out = spread_join(out, median, keys, ["poll_id"])
     return out.withColumn("base_precision", F.col("base_precision") * clip(F.col("_pen") / F.col("_med"), 0.25, 4.0)).drop("_pen", "_med")
 
 

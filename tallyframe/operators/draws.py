@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.compose import closed
 from tallyframe.functions.numeric import clip, hash_normal
+from tallyframe.operators.quantiles import grouped_quantiles
 from tallyframe.operators.skew import join_dimension, spread_work
 
 BLOCK = 4096
@@ -257,18 +258,12 @@ def runoff(votes: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def candidate_summary(votes: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Win and lead probability and first-round share of every candidate.
-
-    A group holds one value per draw, a number fixed by the caller.
-    """
+    """Win and lead probability and first-round share of every candidate."""
     keys = list(keys)
-    first = votes.groupBy(*keys, "candidate_id").agg(
+    first = grouped_quantiles(votes.select(*keys, "candidate_id", "leads", "national_share"), [*keys, "candidate_id"], "national_share", [0.05, 0.95], [
         F.avg(F.col("leads").cast("double")).alias("first_round_lead_probability"),
-        F.avg("national_share").alias("expected_first_round_share"),
-        F.percentile("national_share", F.lit(0.05)).alias("expected_first_round_share_low"),
-        F.percentile("national_share", F.lit(0.95)).alias("expected_first_round_share_high"),
-        F.count("*").alias("_n"),
-    )
+        F.avg("national_share").alias("expected_first_round_share"), F.count("*").alias("_n"),
+    ]).drop("n").withColumnsRenamed({"q0": "expected_first_round_share_low", "q1": "expected_first_round_share_high"})
     wins = second.groupBy(*keys, F.col("winner_id").alias("candidate_id")).agg(F.count("*").alias("_w"))
     return first.join(wins, [*keys, "candidate_id"], "left").withColumn(
         "win_probability", F.coalesce("_w", F.lit(0)) / F.col("_n")
@@ -287,10 +282,8 @@ def state_summary(final: DataFrame, turnout: DataFrame, keys: Sequence[str]) ->
         first["candidate_id"].alias("leading_candidate"), (-first["n"]).alias("leader_probability"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("candidate_id", "mean")))).alias("expected_shares"),
     )
-    t = turnout.groupBy(*place).agg(
-        F.avg("turnout").alias("expected_turnout"),
-        F.percentile("turnout", F.lit(0.05)).alias("turnout_low"), F.percentile("turnout", F.lit(0.95)).alias("turnout_high"),
-    )
+    t = grouped_quantiles(turnout.select(*place, "turnout"), place, "turnout", [0.05, 0.95], [F.avg("turnout").alias("expected_turnout")])
+    t = t.select(*place, "expected_turnout", F.col("q0").alias("turnout_low"), F.col("q1").alias("turnout_high"))
     return t.join(s, place)
 
 
@@ -299,11 +292,9 @@ def turnout_diagnostics(votes: DataFrame, second: DataFrame, electorate: DataFra
     keys = list(keys)
     total = electorate.groupBy(*keys).agg(F.sum("registered_voters").alias("_e"))
     t = votes.groupBy(*keys, "draw_id").agg(F.sum("votes").alias("_v")).join(total, keys)
-    rate = F.col("_v") / F.col("_e")
-    first = t.groupBy(*keys).agg(
-        F.avg(rate).alias("turnout_national_mean"), F.percentile(rate, F.lit(0.05)).alias("turnout_national_low"),
-        F.percentile(rate, F.lit(0.95)).alias("turnout_national_high"),
-    )
+    rate = t.select(*keys, (F.col("_v") / F.col("_e")).alias("_rate"))
+    first = grouped_quantiles(rate, keys, "_rate", [0.05, 0.95], [F.avg("_rate").alias("turnout_national_mean")])
+    first = first.select(*keys, "turnout_national_mean", F.col("q0").alias("turnout_national_low"), F.col("q1").alias("turnout_national_high"))
     lost = F.col("abstained_votes") / F.greatest(F.col("total_votes"), F.lit(1.0))
     return first.join(second.groupBy(*keys).agg(F.avg(lost).alias("runoff_additional_abstention")), keys)
 
@@ -313,11 +304,11 @@ def posterior_summary(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
     place = [*keys, "geo"]
     w = Window.partitionBy(*place, "draw_id").orderBy(F.desc("share"), "candidate_id")
     led = draws.withColumn("_lead", (F.row_number().over(w) == 1).cast("double"))
-    q = F.percentile("share", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return led.groupBy(*place, "candidate_id").agg(
-        F.avg("share").alias("mean_share"), q.alias("_q"), F.stddev_samp("share").alias("uncertainty"),
-        F.avg("_lead").alias("win_probability"),
-    ).select("*", F.col("_q")[1].alias("median_share"), F.col("_q")[0].alias("lower"), F.col("_q")[2].alias("upper")).drop("_q")
+    led = led.select(*place, "candidate_id", "share", "_lead")
+    out = grouped_quantiles(led, [*place, "candidate_id"], "share", [0.05, 0.5, 0.95], [
+        F.avg("share").alias("mean_share"), F.stddev_samp("share").alias("uncertainty"), F.avg("_lead").alias("win_probability"),
+    ])
+    return out.drop("n").withColumnsRenamed({"q0": "lower", "q1": "median_share", "q2": "upper"})
 
 
 def posterior_interval(df: DataFrame, keys: Sequence[str], value: str, level: float = 0.8) -> DataFrame:
@@ -325,10 +316,8 @@ def posterior_interval(df: DataFrame, keys: Sequence[str], value: str, level: fl
     if not 0 < level < 1:
         raise ValueError("level must be between 0 and 1")
     a = (1.0 - level) / 2.0
-    q = F.percentile(value, F.array(F.lit(a), F.lit(0.5), F.lit(1.0 - a)))
-    return df.groupBy(*keys).agg(q.alias("_q")).select(
-        *keys, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("high")
-    )
+    q = grouped_quantiles(df, keys, value, [a, 0.5, 1.0 - a])
+    return q.select(*keys, F.col("q0").alias("low"), F.col("q1").alias("median"), F.col("q2").alias("high"))
 
 
 def variance_decomposition(df: DataFrame, component: str, value: str, keys: Sequence[str]) -> DataFrame:

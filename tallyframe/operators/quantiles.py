@@ -1,10 +1,9 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, by distributed selection.
 
-``percentile`` keeps every distinct value of a group in one buffer, which suits
-groups with a bounded number of values (draws, sample sizes). For unbounded
-groups a mergeable sketch first brackets each quantile; then all rows outside
-the brackets collapse to counts on the map side and only the bracketed values
-(about one row in a thousand of a large group) are ranked. Ranks stay exact.
+A double's bits, put in numeric order, are a 64-bit number. Three rounds count rows by its first 20, then 42, then all 64
+bits: counts combine on the map side, running counts find the value ranges that hold a wanted rank, and only rows in
+those ranges go on to the next round. A round never sees more than 2^20 or 2^22 counts of one range, whatever the
+number of rows, and there is one path for all sizes.
 """
 
 from __future__ import annotations
@@ -16,54 +15,81 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.skew import spread_join
+from tallyframe.session import cut_lineage
 
-SKETCH = 10_000
-SMALL = 100_000
-
-
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """``keys`` plus ``n`` and ``q0, q1, ...``: linearly interpolated quantiles, nulls ignored."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    eps = 4.0 / SKETCH
-    brackets = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-eps, eps)]
-    stats = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
-        F.percentile_approx("_x", F.array(*[F.lit(b) for b in brackets]), SKETCH).alias("_b"),
-    )
-
-    def bound(i: int) -> Column:
-        p = brackets[i]
-        edge = "_min" if i % 2 == 0 else "_max"
-        exact_end = (p <= 0.0 and i % 2 == 0) or (p >= 1.0 and i % 2 == 1)
-        return F.col(edge) if exact_end else F.when(F.col("n") <= SMALL, F.col(edge)).otherwise(F.col("_b")[i])
-
-    stats = stats.select(*keys, "n", *[bound(i).alias(f"_e{i}") for i in range(len(brackets))])
-    x = F.col("_x")
-    inside = reduce(
-        lambda a, b: a | b, [x.between(F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}")) for i in range(len(probs))]
-    )
-    segment = reduce(lambda a, b: a + b, [(x > F.col(f"_e{2 * i + 1}")).cast("int") for i in range(len(probs))])
-    counted = (
-        spread_join(rows, stats, keys, ["_x"], null_safe=True)
-        .withColumn("_in", inside)
-        .withColumn("_key", F.when(F.col("_in"), x))
-        .withColumn("_seg", F.when(~F.col("_in"), segment))
-        .groupBy(*keys, "n", "_key", "_seg")
-        .agg(F.count("*").alias("_c"), F.max("_x").alias("_v"))
-    )
-    order = Window.partitionBy(*keys).orderBy("_v") if keys else Window.orderBy("_v")
-    ranked = counted.withColumn("_cum", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def at(rank: Column) -> Column:
-        hit = F.min(F.when(F.col("_cum") > rank, F.struct("_v", F.col("_key").isNull().alias("miss"))))
-        return F.when(hit["miss"], F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(hit["_v"])
-
-    out = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
-        frac = F.max(pos - F.floor(pos))
-        out.append((lo + (hi - lo) * frac).alias(f"q{i}"))
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *out)
+SHIFTS = (44, 22, 0)
+STEP = 22
+
+
+def _method(name: str, x: Column) -> Column:
+    return F.java_method(F.lit("java.lang.Double"), F.lit(name), x)
+
+
+def ordered_bits(x: Column) -> Column:
+    """Long that orders as the double does; both zeros are one, NaN is the largest."""
+    bits = _method("doubleToLongBits", x.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def from_bits(k: Column) -> Column:
+    return _method("longBitsToDouble", F.when(k < 0, k.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(k)).cast("double")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of two small tables on keys that may be null; without keys both have one row."""
+    if not keys:
+        return spread_join(a, b, [], [])
+    named = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return a.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], others: Sequence[Column] = ()) -> DataFrame:
+    """``keys`` plus ``n`` and ``q0, q1, ...``: linearly interpolated quantiles, nulls ignored, null keys kept.
+
+    ``others`` are named aggregates of the same rows (those with a null value included); they add their columns.
+    """
+    keys = list(keys)
+    columns = [c for c in df.columns if c not in keys] if others else []
+    fixed = cut_lineage(df.select(*keys, *columns, F.when(F.col(value).isNotNull(), ordered_bits(F.col(value))).alias("_k")))
+    rows = fixed.select(*keys, "_k").where(F.col("_k").isNotNull())
+    positions = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    ranks = [r for pos in positions for r in (F.floor(pos), F.ceil(pos))]
+    wanted = None
+    for shift in SHIFTS:
+        part = rows.select(*keys, "_k", F.shiftright("_k", shift).alias("_p"))
+        up = keys
+        if wanted is not None:
+            up = [*keys, "_up"]
+            part = part.withColumn("_up", F.shiftright("_p", STEP))
+            part = spread_join(part, wanted.select(*up), up, ["_k"], "left_semi", null_safe=True)
+        counts = part.groupBy(*up, "_p").agg(F.count(F.lit(1)).alias("_c"))
+        within = Window.partitionBy(*up)
+        counts = counts.withColumn("_cum", F.sum("_c").over(within.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+        if wanted is None:
+            asked = F.array(*[F.struct(F.lit(i).alias("i"), r.alias("r")) for i, r in enumerate(ranks)])
+            counts = counts.withColumn("_n", F.sum("_c").over(within)).withColumn("_asked", asked)
+        else:
+            counts = _same(counts, wanted, up)
+        before = F.col("_cum") - F.col("_c")
+        here = F.filter("_asked", lambda a: (a["r"] >= before) & (a["r"] < F.col("_cum")))
+        left = F.transform(here, lambda a: F.struct(a["i"].alias("i"), (a["r"] - before).alias("r")))
+        found = counts.withColumn("_asked", left).where(F.size("_asked") > 0)
+        found = found.select(*keys, F.col("_p").alias("_up"), "_n", "_asked")
+        wanted = found if shift == SHIFTS[-1] else cut_lineage(found)  # a row per group and wanted range at most
+    hits = wanted.select(*keys, "_n", from_bits(F.col("_up")).alias("_v"), F.explode("_asked").alias("_a"))
+
+    def at(i: int) -> Column:
+        return F.max(F.when(F.col("_a.i") == i, F.col("_v")))
+
+    def between(i: int) -> Column:
+        n = F.max("_n")
+        pos = F.lit(float(probs[i])) * (n - 1)
+        low, high = at(2 * i), at(2 * i + 1)
+        return F.when(low == high, low).otherwise(low + (high - low) * (pos - F.floor(pos)))
+
+    out = hits.groupBy(*keys).agg(F.max("_n").alias("n"), *[between(i).alias(f"q{i}") for i in range(len(probs))])
+    if not others:
+        return out
+    every = fixed.groupBy(*keys).agg(*others)
+    return _same(every, out, keys, "left")

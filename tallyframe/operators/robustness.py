@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import child_seed
+from tallyframe.operators.quantiles import grouped_quantiles
 
 
 def paired_difference(df: DataFrame, cluster: str, treatment: str, control: str, value: str, model: str = "model") -> DataFrame:
@@ -42,14 +43,13 @@ def cluster_bootstrap(paired: DataFrame, draws: int = 20_000, seed: int = 42, al
     )
     sampled = rows.select("v", (F.aggregate(picks, F.lit(0.0), lambda a, x: a + x) / n).alias("m"))
     mean = F.aggregate(F.first("v"), F.lit(0.0), lambda a, x: a + x) / F.size(F.first("v"))
-    return sampled.agg(
+    out = grouped_quantiles(sampled, [], "m", [alpha / 2, 1 - alpha / 2], [
         mean.alias("mean_difference"),
-        F.percentile("m", F.lit(alpha / 2)).alias("lower"),
-        F.percentile("m", F.lit(1 - alpha / 2)).alias("upper"),
         F.avg((F.col("m") < 0).cast("double")).alias("probability_improvement"),
         F.avg((F.col("m") > 0).cast("double")).alias("probability_positive"),
         F.count("*").alias("draws"),
-    )
+    ])
+    return out.select("mean_difference", F.col("q0").alias("lower"), F.col("q1").alias("upper"), "probability_improvement", "probability_positive", "draws")
 
 
 def _leave_one_out(df: DataFrame, group: Sequence[str], year: str, sums: dict[str, Column]) -> DataFrame:
