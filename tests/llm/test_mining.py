@@ -122,8 +122,9 @@ def test_collocations_equal_brute_force(spark):
 
 
 def test_collocations_over_several_shards_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "SHARD_PAIRS", 150)
-    monkeypatch.setattr(collocations, "BLOCK_BITS", 4)
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 150)
+    monkeypatch.setattr(collocations, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(collocations, "BATCH_ROWS", 16)
     rows = phrase_rows(h.rng(7))
     assert phrases(spark, rows) == phrase_brute(rows)
 
