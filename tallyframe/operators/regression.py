@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +14,9 @@ from tallyframe.functions.numeric import clip, logit, num, sigmoid
 from tallyframe.operators import scoring as sc
 from tallyframe.operators.draws import normals, spread_draws
 from tallyframe.operators.polls import require_columns
+from tallyframe.operators.quantiles import grouped_quantiles
 from tallyframe.operators.snapshots import group_kfold
+from tallyframe.session import cut_lineage
 
 # Feature names of the three models, an input contract.
 TURNOUT_FEATURES = (
@@ -238,6 +237,8 @@ def fit_transfer(df: DataFrame, prior_sd: float = 1.0, iterations: int = 80, tol
         _, hess, n = sums(betas)
     finally:
         rows.unpersist()
+    if not all(done):
+        raise RuntimeError(f"the transfer model did not converge in {iterations} steps")
     names = ("intercept", *TRANSFER_FEATURES)
     fits = [LinearFit(names, betas[m], np.linalg.pinv(hess[m] + prior), means, scales, 0.0, n) for m in (0, 1)]
     return TransferFit(fits[0], fits[1], used)
@@ -264,60 +265,188 @@ def winner_accuracy(df: DataFrame, keys: Sequence[str], p: str, won: str = "won"
     return best.agg(F.avg(F.col("_won").cast("double")).alias("accuracy"), F.count("*").alias("races"))
 
 
-def fit_winner(df: DataFrame, features: Sequence[str] = WINNER_FEATURES, target: str = "won", c: float = 0.65) -> PipelineModel:
-    """Balanced logistic model of winning on imputed, standardised features.
+class WinnerFit(NamedTuple):
+    """Logistic model of winning: intercept and coefficients of the standardised features that have values.
 
-    ``c`` is the inverse penalty of an unscaled sum of losses, hence the division
-    by the total weight, which equals the number of rows for balanced weights.
+    ``empty`` names features without a value in the training rows; they are left out.
+    """
+
+    features: tuple[str, ...]
+    empty: tuple[str, ...]
+    medians: tuple[float, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    beta: tuple[float, ...]
+    rows: int
+    positive: int
+
+    def logit(self) -> Column:
+        x = [F.lit(1.0)] + [
+            (F.coalesce(_finite(f), F.lit(m)) - F.lit(c)) / F.lit(s)
+            for f, m, c, s in zip(self.features, self.medians, self.means, self.scales)
+        ]
+        return _dot(self.beta, x)
+
+    def probability(self) -> Column:
+        return 1.0 / (1.0 + F.exp(-self.logit()))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(zip(("intercept", *self.features), self.beta)), "term string, estimate double")
+
+
+NEWTON = 100
+TOLERANCE = 1e-10
+
+
+def _finite(f: str | Column) -> Column:
+    x = num(f)
+    return F.when(~F.isnan(x), x)
+
+
+def _logistic_sums(rows: DataFrame, fits: dict[int, WinnerFit], betas: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Weighted loss, gradient and Hessian of every model over its training rows, in one pass.
+
+    ``rows``: fold, target, then the features by place. A task adds up its own rows; the sums of all tasks combine
+    in Spark, so the driver gets a row per model and number.
+    """
+    held = {m: (f, betas[m]) for m, f in fits.items()}
+    names = rows.columns[2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold, y, *values = (np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns)
+            place = dict(zip(names, values))
+            for m, (fit, beta) in held.items():
+                own = fold != m
+                x = [np.ones(int(own.sum()))]
+                for f, median, mean, scale in zip(fit.features, fit.medians, fit.means, fit.scales):
+                    v = place[f][own]
+                    x.append((np.where(np.isnan(v), median, v) - mean) / scale)
+                x, t = np.stack(x, axis=1), y[own]
+                w = np.where(t > 0, fit.rows / (2.0 * fit.positive), fit.rows / (2.0 * (fit.rows - fit.positive)))
+                eta = x @ beta
+                p = 0.5 * (1.0 + np.tanh(0.5 * eta))
+                loss = w @ (np.logaddexp(0.0, eta) - t * eta)
+                part = np.concatenate([[loss], x.T @ (w * (p - t)), ((x * (w * p * (1 - p))[:, None]).T @ x).ravel()])
+                sums[m] = sums.get(m, 0.0) + part
+        for m, part in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), m)), pa.array(np.arange(len(part))), pa.array(part)], names=["model", "at", "value"])
+
+    added = rows.mapInArrow(run, "model long, at long, value double").groupBy("model", "at").agg(F.sum("value").alias("value"))
+    whole = {m: np.zeros(1 + len(b) + len(b) ** 2) for m, b in betas.items()}
+    for r in added.collect():  # models x (terms + 1) squared numbers
+        whole[r["model"]][r["at"]] = r["value"]
+    out = {}
+    for m, v in whole.items():
+        q = len(betas[m])
+        out[m] = float(v[0]), v[1: q + 1], v[q + 1:].reshape(q, q)
+    return out
+
+
+def fit_winners(df: DataFrame, fold: Column, models: Sequence[int], features: Sequence[str] = WINNER_FEATURES, target: str = "won", c: float = 0.65) -> dict[int, WinnerFit]:
+    """Balanced, penalised logistic models, each trained on all rows outside its fold, all in the same jobs.
+
+    Features are imputed by the exact median of the model's rows and standardised; those without any value are left
+    out. The penalty is half the squared length of the coefficients (without the intercept) beside ``c`` times the sum of
+    the losses. Newton steps go on until they vanish; a model that does not converge is an error.
     """
     require_columns(df, (*features, target), "structural training data")
-    n = df.agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("pos")).first()
-    if not n["pos"] or n["pos"] == n["n"]:
-        raise ValueError("the winner model needs both classes")
-    weight = F.when(F.col(target) == 1, n["n"] / (2.0 * n["pos"])).otherwise(n["n"] / (2.0 * (n["n"] - n["pos"])))
-    data = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("label"), weight.alias("_weight"))
-    imputed = [f"{f}_imputed" for f in features]
-    stages = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=imputed),
-        VectorAssembler(inputCols=imputed, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="features", labelCol="label", weightCol="_weight", regParam=1.0 / (c * n["n"]),
-                           standardization=False, maxIter=200, tol=1e-9),
+    rows = cut_lineage(df.select(fold.cast("long").alias("_fold"), F.col(target).cast("double").alias("_y"), *[_finite(f).alias(f) for f in features]))
+    fits: dict[int, WinnerFit] = {}
+    inside = {m: F.col("_fold") != m for m in models}
+    own = F.explode(F.filter(F.array(*[F.lit(int(m)) for m in models]), lambda m: m != F.col("_fold"))).alias("_model")
+    cells = rows.select("*", own).select("_model", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("x")) for i, f in enumerate(features)])).alias("c"))
+    found = grouped_quantiles(cells.select("_model", "c.f", "c.x"), ["_model", "f"], "x", [0.5]).collect()  # models x features
+    median = {(r["_model"], r["f"]): r["q0"] for r in found}
+    sums = []
+    for m, t in inside.items():
+        sums += [F.count_if(t).alias(f"n_{m}"), F.count_if(t & (F.col("_y") > 0)).alias(f"p_{m}")]
+        for i, f in enumerate(features):
+            if (m, i) in median:
+                x = F.when(t, F.coalesce(f, F.lit(median[m, i])))
+                sums += [F.avg(x).alias(f"m_{m}_{i}"), F.stddev_pop(x).alias(f"s_{m}_{i}")]
+    row = rows.agg(*sums).first()
+    for m in models:
+        n, positive = row[f"n_{m}"], row[f"p_{m}"]
+        if not positive or positive == n:
+            raise ValueError("the winner model needs both classes")
+        used = [i for i in range(len(features)) if (m, i) in median]
+        fits[m] = WinnerFit(
+            tuple(features[i] for i in used), tuple(f for i, f in enumerate(features) if i not in used),
+            tuple(median[m, i] for i in used), tuple(row[f"m_{m}_{i}"] for i in used), tuple(row[f"s_{m}_{i}"] or 1.0 for i in used),
+            (0.0,) * (len(used) + 1), n, positive,
+        )
+    betas = {m: np.zeros(len(f.beta)) for m, f in fits.items()}
+    penalty = {m: np.diag([0.0] + [1.0 / c] * (len(b) - 1)) for m, b in betas.items()}
+    trial, scale, known, done = dict(betas), {m: 1.0 for m in betas}, {}, {}
+    steps: dict[int, np.ndarray] = {}
+    for _ in range(NEWTON):
+        sums_now = _logistic_sums(rows, {m: fits[m] for m in trial}, trial)
+        following = {}
+        for m, (loss, grad, hess) in sums_now.items():
+            b = trial[m]
+            value = loss + 0.5 * b @ penalty[m] @ b
+            if m in known and value > known[m] + 1e-9 * (1 + abs(known[m])):  # the step went too far: halve it
+                scale[m] /= 2
+                following[m] = betas[m] + scale[m] * steps[m]
+                continue
+            betas[m], known[m], scale[m] = b, value, 1.0
+            steps[m] = -np.linalg.solve(hess + penalty[m], grad + penalty[m] @ b)
+            if np.max(np.abs(steps[m])) < TOLERANCE:
+                done[m] = True
+            else:
+                following[m] = b + steps[m]
+        trial = following
+        if not trial:
+            break
+    if trial:
+        raise RuntimeError(f"the winner model did not converge in {NEWTON} steps")
+    return {m: f._replace(beta=tuple(float(x) for x in betas[m])) for m, f in fits.items()}
+
+
+def fit_winner(df: DataFrame, features: Sequence[str] = WINNER_FEATURES, target: str = "won", c: float = 0.65) -> WinnerFit:
+    """One model on all rows; see :func:`fit_winners`."""
+    return fit_winners(df, F.lit(0), [-1], features, target, c)[-1]
+
+
+def winner_gradient(fit: WinnerFit, df: DataFrame, target: str = "won", c: float = 0.65) -> DataFrame:
+    """Gradient of the penalised loss per term, relative to the number of rows; zero at the solution."""
+    y = F.col(target).cast("double")
+    w = F.when(y > 0, fit.rows / (2.0 * fit.positive)).otherwise(fit.rows / (2.0 * (fit.rows - fit.positive)))
+    r = w * (fit.probability() - y)
+    x = [F.lit(1.0)] + [(F.coalesce(_finite(f), F.lit(m)) - m0) / s for f, m, m0, s in zip(fit.features, fit.medians, fit.means, fit.scales)]
+    parts = [
+        F.struct(F.lit(name).alias("term"), ((F.sum(r * col) + (b / c if i else 0.0)) / fit.rows).alias("gradient"))
+        for i, (name, col, b) in enumerate(zip(("intercept", *fit.features), x, fit.beta))
     ]
-    return Pipeline(stages=stages).fit(data)
+    return df.agg(F.array(*parts).alias("g")).select(F.explode("g").alias("g")).select("g.term", "g.gradient")
 
 
-def score_winner(model: PipelineModel, df: DataFrame, keys: Sequence[str], out: str = "ml_probability") -> DataFrame:
+def score_winner(model: WinnerFit, df: DataFrame, keys: Sequence[str], out: str = "ml_probability") -> DataFrame:
     """Win probability of every candidate, normalised within its race."""
-    inputs = model.stages[0].getInputCols()
-    ready = df
-    for f in inputs:
-        ready = ready.withColumn(f, F.col(f).cast("double"))
-    scored = model.transform(ready).withColumn(out, vector_to_array("probability")[1])
-    drop = [f"{f}_imputed" for f in inputs] + ["_raw", "features", "rawPrediction", "probability", "prediction"]
-    return normalize_by_group(scored.drop(*drop), keys, out)
+    return normalize_by_group(df.withColumn(out, model.probability()), keys, out)
+
+
+def out_of_fold(df: DataFrame, key: str, k: int = 5, features: Sequence[str] = WINNER_FEATURES) -> DataFrame:
+    """``df`` with its fold and the probability of the model that did not see the fold, normalised within its race."""
+    folded = cut_lineage(group_kfold(df, key, k))
+    fits = fit_winners(folded, F.col("fold"), list(range(k)), features)
+    p = F.lit(None).cast("double")
+    for m, fit in fits.items():
+        p = F.when(F.col("fold") == m, fit.probability()).otherwise(p)
+    return normalize_by_group(folded.withColumn("probability", p), [key], "probability")
 
 
 def evaluate_oof(df: DataFrame, key: str, k: int = 5, features: Sequence[str] = WINNER_FEATURES) -> DataFrame:
     """Out-of-fold scores of the winner model beside the normalised poll baseline; races stay whole."""
-    folded = group_kfold(df, key, k).persist()
-    try:
-        filled = folded.select("fold").distinct().count()
-        if filled != k:
-            raise ValueError(f"{filled} of {k} folds have races; use fewer folds")
-        parts = None
-        for fold in range(k):
-            test = folded.where(F.col("fold") == fold)
-            scored = score_winner(fit_winner(folded.where(F.col("fold") != fold), features), test, [key], "oof")
-            part = scored.select(key, "candidate_id", "won", "poll_mean", F.col("oof").alias("probability"))
-            parts = part if parts is None else parts.unionByName(part)
-        scored = normalize_by_group(parts, [key], "poll_mean", "poll_baseline")
-        y = F.col("won").cast("double")
-        scores = scored.agg(
-            sc.brier(y, "probability").alias("model_brier"), sc.brier(y, "poll_baseline").alias("baseline_brier"),
-            sc.log_loss(y, "probability", 1e-6).alias("model_log_loss"), F.count("*").alias("observations"),
-        )
-        accuracy = winner_accuracy(scored, [key], "probability")
-        return scores.withColumn("accuracy", accuracy.select("accuracy").scalar()).withColumn("races", accuracy.select("races").scalar())
-    finally:
-        folded.unpersist()
+    parts = out_of_fold(df, key, k, features).select(key, "candidate_id", "won", "poll_mean", "probability")
+    scored = cut_lineage(normalize_by_group(parts, [key], "poll_mean", "poll_baseline"))
+    y = F.col("won").cast("double")
+    scores = scored.agg(
+        sc.brier(y, "probability").alias("model_brier"), sc.brier(y, "poll_baseline").alias("baseline_brier"),
+        sc.log_loss(y, "probability", 1e-6).alias("model_log_loss"), F.count("*").alias("observations"),
+    )
+    accuracy = winner_accuracy(scored, [key], "probability")
+    return scores.withColumn("accuracy", accuracy.select("accuracy").scalar()).withColumn("races", accuracy.select("races").scalar())

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import col_of
+from tallyframe.operators.skew import spread_join
+from tallyframe.session import cut_lineage
 
 # The default horizons in days before the election.
 OFFSETS = (180, 120, 90, 60, 30, 15, 7, 3, 1)
@@ -163,7 +165,54 @@ def assign_folds(df: DataFrame, date_column: str, min_train: int = 3) -> DataFra
     ).drop("_day", "_rank")
 
 
+def _packing(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int], list[list[int]]]]:
+    """Greedy packing of groups, largest first, each into the lightest fold (the first of equals).
+
+    ``sizes``: (size, number of groups) in descending order. Groups of one size fill the folds in bands: with ``c``
+    folds active, places ``starts[c - 1]`` and on take ``orders[c - 1]`` in turns. One entry per size.
+    """
+    loads, out = [0] * k, []
+    for size, n in sizes:
+        least = min(loads)
+        band = [(x - least) // size for x in loads]
+        place = sorted(range(k), key=lambda j: ((loads[j] - least) % size, j))
+        ahead = sorted(range(k), key=lambda j: band[j])
+        starts, orders = [], []
+        for c in range(1, k + 1):
+            active = set(ahead[:c])
+            starts.append(sum(max(0, band[ahead[c - 1]] - band[j]) for j in active))
+            orders.append([j for j in place if j in active])
+        out.append((size, starts, orders))
+        c = sum(x <= n for x in starts)
+        rounds, rest = divmod(n - starts[c - 1], c)
+        for i, j in enumerate(orders[c - 1]):
+            loads[j] += size * (band[ahead[c - 1]] - band[j] + rounds + (i < rest))
+    return out
+
+
 def group_kfold(df: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """Fold by hash of the group, so a group is never split and no count is needed."""
-    word = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return df.withColumn("fold", (word % k).cast("int"))
+    """Add ``fold``: groups stay whole and folds differ by one group's size at most.
+
+    Groups go, largest first, to the lightest fold; those of one size are taken in order of md5 and key. Only the
+    number of groups per size comes to the driver (at most the square root of twice the rows). A group's place
+    among those of its size is its place within an md5 prefix plus the groups of smaller prefixes.
+    """
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    groups = cut_lineage(df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_size")).withColumn("_md5", F.md5(
+        F.coalesce(F.col("_key").cast("string"), F.lit(""))))).withColumn("_prefix", F.substring("_md5", 1, 3))
+    counts = [(r["_size"], r["n"]) for r in groups.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_size")).collect()]
+    if sum(n for _, n in counts) < k:
+        raise ValueError(f"{k} folds need at least {k} groups")
+    packing = df.sparkSession.createDataFrame(_packing(counts, k), "_size long, _starts array<long>, _orders array<array<int>>")
+    prefixes = groups.groupBy("_size", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_size").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)  # 4096 prefixes
+    prefixes = prefixes.select("_size", "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_size", "_prefix").orderBy("_md5", F.col("_key").asc_nulls_first())
+    placed = groups.withColumn("_in", F.row_number().over(within) - 1).join(prefixes, ["_size", "_prefix"])
+    placed = spread_join(placed.withColumn("_place", F.col("_before") + F.col("_in")), packing, ["_size"], ["_md5"])
+    active = F.size(F.filter("_starts", lambda x: x <= F.col("_place")))
+    turn = F.pmod(F.col("_place") - F.element_at("_starts", active), active).cast("int")
+    folds = placed.select(F.coalesce(F.col("_key").cast("string"), F.lit("")).alias("_name"), F.col("_key").isNull().alias("_null"),
+                          F.element_at(F.element_at("_orders", active), turn + 1).alias("fold"))
+    named = df.withColumn("_name", name).withColumn("_null", F.col(key).isNull())
+    return spread_join(named, folds, ["_name", "_null"], df.columns).drop("_name", "_null")

@@ -75,6 +75,10 @@ def _(spark, d):
     return pairs.select("race", "source_id", "a_id", "b_id", r6("p_a"), r6("p_abstain"))
 
 
+STRUCTURAL_SQL = """SELECT year(l_shipdate) || '-' || s_nationkey AS election_id, p_brand AS candidate_id, CASE WHEN min(l_linenumber) > 1 THEN min(l_quantity) END AS media_sentiment_guarded
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"""
+
+
 def structural(spark, d):
     """Races (year, supplier state) with brands as candidates; the brand with most votes won."""
     from pyspark.sql import Window
@@ -96,6 +100,14 @@ def _(spark, d):
     return rg.score_winner(rg.fit_winner(s), s, ["election_id"]).select("election_id", "candidate_id", "won", r6("ml_probability"))
 
 
+@query("E10_winner_gradient", f"""
+WITH t AS ({STRUCTURAL_SQL}) SELECT term, 0e0 AS gradient FROM (SELECT unnest({['intercept', *rg.WINNER_FEATURES]}) AS term) f
+ WHERE term <> 'media_sentiment_guarded' OR EXISTS (SELECT 1 FROM t WHERE media_sentiment_guarded IS NOT NULL)""")
+def _(spark, d):
+    s = structural(spark, d)
+    return rg.winner_gradient(rg.fit_winner(s), s).select("term", r6("gradient"))
+
+
 @query("E11_evaluate_oof")
 def _(spark, d):
     return rg.evaluate_oof(structural(spark, d), "election_id").select(

@@ -115,7 +115,12 @@ def _(spark, d):
     return sn.assign_folds(v.table(spark, d, "events"), "ts", 3).select("event_id", "test_fold", "train_from")
 
 
-@query("B05_group_kfold", "SELECT event_id, CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::UBIGINT % 5 AS INTEGER) AS fold FROM events")
+@query("B05_group_kfold", """
+WITH RECURSIVE g AS (SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(CAST(user_id AS VARCHAR)), user_id) AS k FROM events GROUP BY user_id),
+ p(k, user_id, fold, loads) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::INTEGER, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT g.k, g.user_id, (list_position(loads, list_min(loads)) - 1)::INTEGER,
+   list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END) FROM p JOIN g ON g.k = p.k + 1)
+SELECT event_id, fold FROM events JOIN p USING (user_id)""")
 def _(spark, d):
     return sn.group_kfold(v.table(spark, d, "events"), "user_id").select("event_id", "fold")
 
