@@ -80,7 +80,7 @@ def with_strengths(priors: DataFrame, strengths: Sequence[float] = STRENGTHS, co
 def fitted_draws(inputs: Inputs, n: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One fit per snapshot; returns its draws, shock roots and state poll counts."""
     ahead = "days_before_election"
-    fits, _, obs = ft.fit_snapshots(
+    fits, _, obs, *_ = ft.fit_snapshots(
         inputs.snapshots.withColumn("_days_ahead", F.col(ahead)), KEYS, "snapshot_date", "_days_ahead",
         inputs.priors.select(*KEYS, "uf"),
     )
@@ -231,7 +231,7 @@ def predict(
     """Polls to win probabilities: fit, structural model, turnout, undecided voters and runoff."""
     keys = list(keys)
     states = None if priors is None else priors.select(*keys, "uf")
-    fits, rel, obs = ft.fit_snapshots(polls, keys, as_of, states=states, calibration=calibration)
+    fits, rel, obs, *_ = ft.fit_snapshots(polls, keys, as_of, states=states, calibration=calibration)
     draws, undecided = ft.posterior_draws(fits, keys, n, seed)
     if priors is not None:
         draws = dr.blend_state_prior(draws, priors, ft.state_poll_counts(obs, keys), keys, fundamentals)

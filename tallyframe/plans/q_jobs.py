@@ -85,14 +85,42 @@ def _(spark, d):
 
 @query("E02_fit_snapshots")
 def _(spark, d):
-    fits, _, _ = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date")
+    fits = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date").fits
     return ft.coefficients(fits, KEYS).select(*KEYS, "response", "term", "dim", r6("estimate"))
 
 
+SQL_SYSTEM = f"""
+WITH {SQL_OBS}, rs AS (SELECT unnest(['support', 'undecided']) AS response),
+ dm AS (SELECT DISTINCT election_year, days, response, CASE response WHEN 'support' THEN CAST(dim AS INTEGER) ELSE 0 END AS dim FROM ob, rs WHERE NOT ref)
+SELECT DISTINCT pl.election_year, pl.days AS days_before_election, response, 'cell|' || institute || '|' || uf || '|' || day AS equation, dim, 0e0 AS residual
+FROM pl JOIN dm USING (election_year, days)
+UNION ALL SELECT DISTINCT tm.election_year, tm.days, response, term, dim, 0e0 FROM tm JOIN dm USING (election_year, days)"""
+
+
+def _system(spark, d, calibration=None):
+    fit = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date", calibration=calibration)
+    cells, terms = ft.normal_residuals(fit, KEYS, calibration)
+    rk = [*KEYS, "response"]
+    name = F.concat_ws("|", F.lit("cell"), "institute", "uf", F.col("day").cast("string"))
+    return cells.select(*rk, name.alias("equation"), "dim", r6("residual")).unionByName(
+        terms.select(*rk, F.col("term").alias("equation"), "dim", r6("residual")))
+
+
+@query("E02_normal_residuals", SQL_SYSTEM, ("polls",))
+def _(spark, d):
+    return _system(spark, d)
+
+
+@query("E02_calibrated_residuals", SQL_SYSTEM, ("polls",))
+def _(spark, d):
+    from tallyframe.operators.calibration import pollster_calibration
+    return _system(spark, d, pollster_calibration(calibration_input(spark, d)))
+
+
 @query("E02_calibrated_reliability")
 def _(spark, d):
     from tallyframe.operators.calibration import pollster_calibration
-    _, rel, _ = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date", calibration=pollster_calibration(calibration_input(spark, d)))
+    rel = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date", calibration=pollster_calibration(calibration_input(spark, d))).reliability
     return rel.select(*KEYS, "institute", r6("reliability"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import fits as ft
+from tallyframe.operators import correlated, fits as ft
 
 AS_OF = date(2022, 9, 1)
 LEVELS = ("institute", "collection_mode", "target_population")
@@ -96,8 +96,8 @@ def dense_fit(rows, response, same=0.35, other=0.08):
 def fitted(spark):
     rows = make_polls()
     polls = spark.createDataFrame(rows, SCHEMA)
-    fits, rel, obs = ft.fit_snapshots(polls, ["k"], "as_of")
-    return rows, fits, rel, obs, polls
+    fit = ft.fit_snapshots(polls, ["k"], "as_of")
+    return rows, fit.fits, fit.reliability, fit, polls
 
 
 @pytest.mark.parametrize("response", ["support", "undecided"])
@@ -128,16 +128,79 @@ def test_independent_errors_agree_with_house_effect_regression(spark, monkeypatc
     obs = ft.observations(polls, ["k"], "as_of")
     xtx, xty = ft.house_effect_stats(obs, ["k"])
     ridge = {(r["term"], r["dim"]): r["estimate"] for r in ft.solve_house_effects(xtx, xty, ["k"]).collect()}
-    cells = ft._cells(obs, ["k"]).withColumn("states", F.array().cast("array<string>"))
-    cells = cells.withColumn("slate", F.array(F.lit("A"))).withColumn("ahead", F.lit(0.0)).toPandas()
-    row = ft._reduce_cells(cells, ["k"], None).set_index("response").loc["support"].to_dict()
-    system = ft._Reduced(row)
-    beta, _ = system.solve({i: 1.0 for i in system.institutes})
-    for i, t in enumerate(system.terms):
+    one = obs.select("k", "institute").distinct().withColumn("response", F.lit("support")).withColumn("reliability", F.lit(1.0))
+    cells = ft._cells(ft._weighted(obs, one, ["k"]), ["k"]).toPandas()
+    system, terms, _, sby, sbby = ft._key_cells(cells, cells.iloc[:0], [], False)
+    sums, p = system.normal_equations(sby, sbby), len(terms)
+    beta = np.linalg.solve(sums[:, :p] + np.diag([ft.prior_precision(t) for t in terms]), sums[:, p:])
+    for i, t in enumerate(terms):
         for d in range(beta.shape[1]):
             assert beta[i, d] == pytest.approx(ridge[(t, d)], abs=1e-9)
 
 
+def dense_system(counts, rho, geo, same):
+    """The same matrix, every entry spelled out, over cells that have polls."""
+    at = np.argwhere(counts > 0)
+    n = np.sqrt(counts[counts > 0])
+    k = np.array([[0.0 if abs(a[2] - b[2]) > 42 else rho[a[0], b[0]] * geo[a[1], b[1]] * math.exp(-abs(a[2] - b[2]) / 18) for b in at] for a in at])
+    return at, (1 - same) * np.eye(len(at)) + n[:, None] * k * n[None, :]
+
+
+def random_cells(seed, shape, most):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, most, shape).astype(float)
+    rho = np.where(np.eye(shape[0], dtype=bool), 0.35, 0.08)
+    return counts, rho, correlated.place_factors(shape[1]), rng.standard_normal((5, *shape)) * (counts > 0)
+
+
+@pytest.mark.parametrize("most_dense", [0, 3000])
+def test_matrix_free_solution_equals_dense(monkeypatch, most_dense):
+    monkeypatch.setattr(correlated, "DENSE", most_dense)
+    counts, rho, geo, b = random_cells(1, (3, 4, 60), 3)
+    system = correlated.CellSystem(counts, rho, geo, 0.35, 18.0, 42)
+    at, dense = dense_system(counts, rho, geo, 0.35)
+    assert np.linalg.eigvalsh(dense).min() > 1e-8 and not system.cut
+    x = system.solve(b)
+    np.testing.assert_allclose(x[:, counts > 0].T, np.linalg.solve(dense, b[:, counts > 0].T), atol=1e-9)
+
+
+@pytest.mark.parametrize("seed, shape, most", [(2, (2, 3, 91), 400), (3, (4, 12, 50), 40), (4, (1, 2, 10), 2)])
+@pytest.mark.parametrize("most_dense", [0, 3000])
+def test_indefinite_covariances_are_seen_and_made_positive(monkeypatch, most_dense, seed, shape, most):
+    monkeypatch.setattr(correlated, "DENSE", most_dense)
+    counts, rho, geo, b = random_cells(seed, shape, most)
+    at, dense = dense_system(counts, rho, geo, 0.35)
+    system = correlated.CellSystem(counts, rho, geo, 0.35, 18.0, 42)
+    assert system.cut == bool(np.linalg.eigvalsh(dense).min() < 1e-8)
+    live = counts > 0
+    unit = np.zeros((int(live.sum()), *shape))
+    unit[np.arange(live.sum()), at[:, 0], at[:, 1], at[:, 2]] = 1.0
+    matrix = system.product(unit)[:, live]
+    np.testing.assert_allclose(matrix, matrix.T, atol=1e-9)
+    assert np.linalg.eigvalsh(matrix).min() > 0.64
+    if not system.cut:
+        np.testing.assert_allclose(matrix, dense, atol=1e-9)
+    np.testing.assert_allclose(system.solve(b)[:, live].T, np.linalg.solve(matrix, b[:, live].T), rtol=1e-6, atol=1e-8)
+
+
+def test_many_institutes_need_no_matrix():
+    """50 institutes x 28 places x 91 days: 127,400 cells, whose matrix would take 130 GB."""
+    counts, rho, geo, b = random_cells(5, (50, 28, 91), 2)
+    geo[:, 0] = geo[0, :] = 0.30  # states only, for a positive covariance
+    geo[0, 0] = 1.0
+    counts[:, :, ::3] = 0
+    system = correlated.CellSystem(counts * (np.random.default_rng(6).random(counts.shape) < 0.05), rho, geo, 0.35, 18.0, 42)
+    b = b[:2] * (system.root > 0)
+    np.testing.assert_allclose(system.product(system.solve(b)), b, atol=1e-8)
+
+
+def test_table_residuals_of_the_solution_vanish(fitted):
+    _, _, _, fit, _ = fitted
+    for part in ft.normal_residuals(fit, ["k"]):
+        rows = [r["residual"] for r in part.collect()]
+        assert rows and max(map(abs, rows)) < 1e-8
+
+
 def test_draws_have_the_fitted_moments_and_do_not_depend_on_partitioning(spark, fitted):
     _, fits, _, _, _ = fitted
     draws, und = ft.posterior_draws(fits, ["k"], 5000, 11)
@@ -158,6 +221,6 @@ def test_draws_have_the_fitted_moments_and_do_not_depend_on_partitioning(spark,
 def test_future_polls_leave_the_fit_unchanged(spark, fitted):
     rows, fits, _, _, _ = fitted
     late = [(*r[:1], "z" + r[1], AS_OF + timedelta(days=3), *r[3:]) for r in rows[:9]]
-    other, _, _ = ft.fit_snapshots(spark.createDataFrame(rows + late, SCHEMA), ["k"], "as_of")
+    other = ft.fit_snapshots(spark.createDataFrame(rows + late, SCHEMA), ["k"], "as_of").fits
     a, b = (x.where("response = 'support'").first()["beta"] for x in (fits, other))
     np.testing.assert_allclose(np.array(a), np.array(b), atol=1e-10)
