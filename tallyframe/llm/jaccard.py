@@ -17,7 +17,8 @@ shingle hashes, classes by 128 bits of their sets and the size.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and are linked with nothing; a text
 of fewer words than a shingle has one element, the whole sequence; rows without id belong to no component (null)
-but are counted; rows that repeat an id and text are one document; an empty table gives an empty table.
+but are counted; rows that repeat an id and text are one document, rows that
+repeat an id with another text are another; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ BLOCK = 4096
 PROBES = 64
 MANY = 1 << 30
 SKIP = 0.03
-_FLAG = np.uint32(1 << 31)
 
 
 def required(n: int) -> int:
@@ -140,13 +140,35 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(keys)]]))
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    return len(arrays[0]).to_bytes(8, "little") + b"".join(x.tobytes() for x in arrays)
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers with their bytes in planes, compressed: planes of high bytes that agree take next to nothing."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    return (np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint64, n, 8 + 8 * n), np.frombuffer(blob, np.uint32, n, 8 + 16 * n))
+def _whole(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
+
+
+def _pack(key: np.ndarray, ref: np.ndarray, size: np.ndarray, flag: np.ndarray) -> bytes:
+    """Entries in order of ``key``: gaps of the keys, places in a table of the classes, that table, and the flags."""
+    names, first, place = np.unique(ref, return_index=True, return_inverse=True)
+    wide = np.uint16 if len(names) <= 1 << 16 else np.uint32
+    parts = [_planes(np.diff(key, prepend=np.uint64(0))), _planes(place.astype(wide)), _planes(np.diff(names, prepend=np.uint64(0))),
+             _planes(size[first].astype(np.uint32)), pa.compress(np.packbits(flag).tobytes(), codec="zstd", asbytes=True)]
+    head = np.array([len(key), len(names), *[len(x) for x in parts]], dtype=np.int64)
+    return head.tobytes() + b"".join(parts)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, m, *sizes = np.frombuffer(blob, np.int64, 7).tolist()
+    ends = np.cumsum([56, *sizes]).tolist()
+    keys, places, names, widths, flags = (blob[a:b] for a, b in zip(ends, ends[1:]))
+    place = _whole(places, n, np.uint16 if m <= 1 << 16 else np.uint32)
+    flag = np.unpackbits(np.frombuffer(pa.decompress(flags, -(-n // 8), codec="zstd", asbytes=True), dtype=np.uint8))[:n].astype(bool)
+    ref = np.cumsum(_whole(names, m, np.uint64), dtype=np.uint64)[place]
+    return np.cumsum(_whole(keys, n, np.uint64), dtype=np.uint64), ref, _whole(widths, m, np.uint32)[place], flag
 
 
 PAIR = "a long, b long, na int, nb int, c long"
@@ -184,20 +206,19 @@ def inverted_lists(docs: DataFrame, hot: np.ndarray, shards: int, text_col: str
         key, ref, size = key[order], ref[order], size[order]
         first, length = _runs(key)
         long = length > LIST
-        pairs = None
+        pairs, flag = None, np.zeros(len(key), dtype=bool)
         if long.any():  # one entry stands for the list
             x, y, nx, ny = _stars(key, ref, size, first[long], length[long])
             pairs = [{"a": int(i), "b": int(j), "na": int(k), "nb": int(m)} for i, j, k, m in zip(x.view(np.int64), y.view(np.int64), nx, ny)]
             keep = np.repeat(~long, length)
             keep[first[long]] = True
-            size = size.copy()
-            size[first[long]] |= _FLAG
-            key, ref, size = key[keep], ref[keep], size[keep]
+            flag[first[long]] = True
+            key, ref, size, flag = key[keep], ref[keep], size[keep], flag[keep]
         shard = (key % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        key, ref, size, shard = key[order], ref[order], size[order], shard[order]
+        key, ref, size, flag, shard = key[order], ref[order], size[order], flag[order], shard[order]
         first, length = _runs(shard)
-        blobs = [_pack([key[a : a + n], ref[a : a + n], size[a : a + n]]) for a, n in zip(first, length)]
+        blobs = [_pack(key[a : a + n], ref[a : a + n], size[a : a + n], flag[a : a + n]) for a, n in zip(first, length)]
         return pa.RecordBatch.from_arrays([
             pa.array(shard[first].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([pairs] + [None] * (len(blobs) - 1), pair),
         ], names=["shard", "blob", "pairs"])
@@ -239,10 +260,8 @@ def candidate_pairs(lists: DataFrame, shards: int) -> DataFrame:
             parts += [_unpack(b) for b in batch.column(1).to_pylist()]
         if not parts:
             return
-        key, ref, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        key, ref, size, flag = (np.concatenate([p[i] for p in parts]) for i in range(4))
         del parts
-        flag = size >= _FLAG
-        size = size & ~_FLAG
         order = np.lexsort((flag, ref, key))
         key, ref, size, flag = key[order], ref[order], size[order], flag[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (ref[1:] != ref[:-1]) | (flag[1:] != flag[:-1])])
@@ -367,6 +386,9 @@ def search_tasks(rows: DataFrame) -> DataFrame:
                     if task is not None:
                         yield close()
                     task, nodes, sets, asks, holds = t, [], [], [], []
+                if nodes and nodes[-1] == v:  # a class that several tasks have read
+                    asks[-1], holds[-1] = asks[-1] or a, holds[-1] or h
+                    continue
                 nodes.append(v)
                 sets.append(np.frombuffer(s, dtype=np.uint64))
                 asks.append(a)
@@ -378,34 +400,39 @@ def search_tasks(rows: DataFrame) -> DataFrame:
 
 
 def _class_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sets of the classes in clusters, each from one document: cluster, node, set.
+    """Sets of the classes in clusters: ``reps`` (f1, f2, id, node, cluster, _blocks) with ``set`` in place of the marks.
 
-    A Bloom filter of the ids keeps most other texts from the join.
+    A Bloom filter of the ids keeps most other texts from the join. A task gives a class once, whatever the number of
+    its rows that repeat; several tasks may give it, and the search takes it once.
     """
-    keyed = cut_lineage(reps.withColumn("_h", F.xxhash64("node")))
+    keyed = cut_lineage(reps.withColumn("_h", F.xxhash64("_id")))
     n = bloom.block_count(keyed.count())
     table = cut_lineage(bloom.build(keyed, "_h", n))
-    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).withColumn("_h", F.xxhash64("node"))
-    maybe = bloom.flag(rows, "_h", table, n, "_maybe").where("_maybe").select("node", "text")
-    met = maybe.join(keyed.select("node", "f1", "f2", "cluster"), "node").select("node", "f1", "f2", "cluster", "text")
-    schema = T.StructType([met.schema["node"], T.StructField("cluster", T.LongType()), T.StructField("set", T.BinaryType())])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).withColumn("_h", F.xxhash64("_id"))
+    maybe = bloom.flag(rows, "_h", table, n, "_maybe").where("_maybe").select("_id", "text")
+    met = maybe.join(keyed.drop("_h"), "_id").select("node", "f1", "f2", "cluster", "_blocks", "text")
+    schema = T.StructType([*[met.schema[c] for c in ("node", "cluster", "_blocks")], T.StructField("set", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for block in blocks(batches):
-            sets = shingle_sets(block.data, block.offsets)
+            names = block.rows.column(0).to_pylist()
             marks = list(zip(block.rows.column(1).to_pylist(), block.rows.column(2).to_pylist()))
-            same = [i for i, s in enumerate(sets) if set_marks(s) == marks[i]]  # another text of a repeated id is not the class's
+            same, sets = [], []
+            for i, s in enumerate(shingle_sets(block.data, block.offsets)):
+                if names[i] not in seen and set_marks(s) == marks[i]:  # another text of a repeated id is not the class's
+                    seen.add(names[i])
+                    same.append(i)
+                    sets.append(s.tobytes())
             picked = pa.array(same, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [block.rows.column(0).take(picked), block.rows.column(3).take(picked), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[block.rows.column(c).take(picked) for c in (0, 3, 4)], pa.array(sets, pa.binary())], names=schema.names)
 
-    return met.mapInArrow(run, schema).dropDuplicates(["cluster", "node"])
+    return met.mapInArrow(run, schema)
 
 
 def link_clusters(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Exact components inside clusters: node, component. ``sets`` has cluster, node and set."""
-    sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    sized = cut_lineage(sets.join(sizes, "cluster").withColumn("_blocks", F.ceil(F.col("_n") / block)))
+    """Exact components inside clusters: node, component. ``sets``: cluster, node, set, _blocks (of ``block`` classes)."""
+    sized = cut_lineage(sets)
     yes = F.lit(True)
     one = sized.where("_blocks = 1").select(F.col("cluster").cast("string").alias("task"), "node", "set", yes.alias("asks"), yes.alias("holds"))
     small = search_tasks(one).select("node", F.col("root").alias("component"))
@@ -417,7 +444,7 @@ def link_clusters(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     first = large.select("cluster", "node", "set", "_b", where).select(
         F.concat_ws(":", "cluster", "_t").alias("task"), "node", "set", (F.col("_b") == F.col("_t")).alias("asks"), yes.alias("holds"))
     links = cut_lineage(search_tasks(first).select(F.col("node").alias("a"), F.col("root").alias("b")))
-    label = cut_lineage(large.select("cluster", "node", "_blocks", "_b").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    label = cut_lineage(large.select("cluster", "node", "_blocks", "_b").distinct().join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
     share = label.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("_k"))
     main = share.groupBy("cluster").agg(F.max_by("component", "_k").alias("_main"), (F.sum("_k") - F.max("_k")).alias("_apart"))
     asked = label.join(main, "cluster").where("_apart > 0").withColumn("_asks", F.col("component") != F.col("_main"))
@@ -442,9 +469,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = cut_lineage(components(pairs))
     marks = ["n", "f1", "f2"]
     classes = cut_lineage(digests.where("n > 0").groupBy(*marks).agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("_k")))
-    reps = classes.join(clusters.select(F.col("node").alias("f1"), F.col("component").alias("cluster")), "f1").where("node is not null")
-    linked = link_clusters(_class_sets(docs, reps.select("node", "f1", "f2", "cluster"), id_col, text_col), block)
-    named = classes.join(linked, "node", "left").where("_k > 1 or component is not null")
+    key = F.concat_ws(":", "f1", "f2", "n").alias("key")
+    placed = cut_lineage(classes.join(clusters.select(F.col("node").alias("f1"), F.col("component").alias("cluster")), "f1").where("node is not null"))
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    reps = spread_join(placed, sizes.drop("_n"), ["cluster"], ["f1"]).select("f1", "f2", F.col("node").alias("_id"), key.alias("node"), "cluster", "_blocks")
+    linked = cut_lineage(link_clusters(_class_sets(docs, reps, id_col, text_col), block).withColumnRenamed("node", "key"))
+    # classes are named by their marks up to here, then by the smallest id of their component
+    least = linked.join(placed.select(key, "node"), "key").groupBy("component").agg(F.min("node").alias("_least"))
+    linked = linked.join(least, "component").select("key", F.col("_least").alias("component"))
+    named = classes.withColumn("key", key).join(linked, "key", "left").where("_k > 1 or component is not null")
     facts = named.select(*marks, F.coalesce("component", "node").alias("component"))
     rows = digests.select("_id", *marks)
     out = spread_join(rows, facts, marks, ["_id"], "left")

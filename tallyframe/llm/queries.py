@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from tallyframe.llm import (
 from tallyframe.session import cut_lineage
 
 SHARDS = 24
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 # The rules of the URL query.
 URL_RULES = [

@@ -78,6 +78,27 @@ def test_near_edges(spark):
     assert jaccard.drop_near_copies(both.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_one_id_with_several_texts(spark, block):
+    r = h.rng(21)
+    one, two = h.words(r, 60), h.words(r, 60)
+    texts = [one, h.mutate(r, one, 1), two, h.mutate(r, two, 1), h.mutate(r, one, 1), one]
+    ids = [7, 7, 7, 3, 9, 7]  # id 7 has two near texts of one cluster and one of another
+    out = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_components(h.table(spark, texts, ids), block=block).collect())
+    size = [len(h.shingles(t)) for t in texts]
+    assert out == sorted([(7, size[0], 7), (7, size[1], 7), (7, size[2], 3), (3, size[3], 3), (9, size[4], 7), (7, size[5], 7)])
+
+
+def test_list_entries_survive_packing():
+    r = np.random.default_rng(8)
+    for n in (1, 7, 5000):
+        key = np.sort(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        ref, size, flag = r.integers(0, 2**64, max(1, n // 3), dtype=np.uint64), r.integers(1, 2**31, max(1, n // 3)).astype(np.uint32), r.random(n) < 0.3
+        pick = r.integers(0, len(ref), n)
+        for a, b in zip(jaccard._unpack(jaccard._pack(key, ref[pick], size[pick], flag)), (key, ref[pick], size[pick], flag)):
+            assert (a == b).all()
+
+
 def test_search_equals_all_pairs():
     r = np.random.default_rng(3)
     sets = []
