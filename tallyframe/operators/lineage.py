@@ -18,6 +18,7 @@ VERSION_SCHEMA = (
     "source_uri string, as_of_date string, is_synthetic boolean, parent_version string, snapshot_path string, "
     "metadata_json string, created_at timestamp"
 )
+STORED_SCHEMA = VERSION_SCHEMA.replace("version string, sha256", "sha256")
 RUN_SCHEMA = (
     "run_id string, election_id string, election_year int, as_of_date string, model_version string, "
     "input_versions map<string,string>, output_sha256 string, dataset_type string, publication_status string, "
@@ -82,28 +83,34 @@ def number_versions(df: DataFrame, dataset: str, digest: str, created: str, buck
 class Registry:
     """Dataset versions and prediction runs in append-only Parquet tables under one folder.
 
-    One writer at a time registers (as with any file-based registry); readers are free.
+    A registration is appended with the hash of its content and without a number: versions are numbered, and
+    registrations of known content left out, when the table is read, in order of time. Several writers need no lock.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _append(self, table: str, row: tuple, schema: str) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
+        """A record is a folder of its own, so writers share no temporary files."""
+        self.spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{self.root}/{table}/{uuid.uuid4()}")
 
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+            return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.root}/{table}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
     def list_versions(self, dataset: str | None = None) -> DataFrame:
-        rows = self._read("dataset_versions", VERSION_SCHEMA)
+        rows = self._read("dataset_versions", STORED_SCHEMA)
         if dataset is not None:
             rows = rows.where(F.col("dataset_name") == dataset)
-        return rows.orderBy(F.desc("created_at"), F.desc("version"))
+        names = [c for c in rows.columns if c not in ("dataset_name", "sha256", "id", "created_at")]
+        first = rows.groupBy("dataset_name", "sha256").agg(F.min_by(F.struct("id", *names), F.struct("created_at", "id")).alias("r"))
+        numbers = number_versions(rows, "dataset_name", "sha256", "created_at", F.date_trunc("day", "created_at"))
+        known = first.join(numbers, ["dataset_name", "sha256"]).select("dataset_name", "sha256", "r.*", "created_at", "version")
+        return known.select(*[c.split()[0] for c in VERSION_SCHEMA.split(", ")]).orderBy(F.desc("created_at"), F.desc("version"))
 
     def register(
         self,
@@ -117,21 +124,19 @@ class Registry:
     ) -> dict:
         """Version of this content: the known one, or the next one with a Parquet snapshot."""
         mark = table_fingerprint(df).first()
-        known = self.list_versions(name)
-        same = known.where(F.col("sha256") == mark["fingerprint"]).first()
-        if same is not None:
-            return same.asDict()
-        version = f"v{known.count() + 1:06d}"
-        path = f"{self.root}/snapshots/{name}/{version}-{mark['fingerprint'][:12]}"
+        same = F.col("sha256") == mark["fingerprint"]
+        known = self.list_versions(name).where(same).first()
+        if known is not None:
+            return known.asDict()
+        key = str(uuid.uuid4())
+        path = f"{self.root}/snapshots/{name}/{mark['fingerprint'][:12]}-{key}"
         df.write.mode("errorifexists").parquet(path)
         schema = json.dumps({f.name: f.dataType.simpleString() for f in df.schema.fields}, sort_keys=True)
-        row = (
-            str(uuid.uuid4()), name, version, mark["fingerprint"], mark["row_count"], schema, source_uri,
-            as_of, is_synthetic, parent_version, path, json.dumps(metadata or {}, sort_keys=True),
-            datetime.now(UTC).replace(tzinfo=None),
-        )
-        self._append("dataset_versions", row, VERSION_SCHEMA)
-        return dict(zip([c.split()[0] for c in VERSION_SCHEMA.split(", ")], row))
+        self._append("dataset_versions", (
+            key, name, mark["fingerprint"], mark["row_count"], schema, source_uri, as_of, is_synthetic, parent_version, path,
+            json.dumps(metadata or {}, sort_keys=True), datetime.now(UTC).replace(tzinfo=None),
+        ), STORED_SCHEMA)
+        return self.list_versions(name).where(same).first().asDict()
 
     def record_run(
         self, election_id: str, election_year: int, as_of: str, model_version: str,

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import child_seed
 from tallyframe.operators.quantiles import grouped_quantiles
+from tallyframe.operators.skew import global_place, join_dimension
+from tallyframe.session import cut_lineage
 
 
 def paired_difference(df: DataFrame, cluster: str, treatment: str, control: str, value: str, model: str = "model") -> DataFrame:
@@ -22,34 +24,32 @@ def paired_difference(df: DataFrame, cluster: str, treatment: str, control: str,
 
 
 def cluster_bootstrap(paired: DataFrame, draws: int = 20_000, seed: int = 42, alpha: float = 0.05, column: str = "difference", cluster: str | None = None) -> DataFrame:
-    """Bootstrap of the mean difference over clusters; draws are spread over the tasks.
+    """Bootstrap of the mean difference over clusters.
 
-    The clusters are elections, one number each, and travel as one array. Slot
-    ``i`` of draw ``d`` takes the cluster a hash of (seed, d, i) names.
+    Slot ``i`` of draw ``d`` takes the cluster that a hash of (seed, d, i) names. Draws and slots are one range of
+    numbers spread over the tasks; the clusters, numbered in order, are joined to them, and slots add up per draw
+    on the map side. So neither the clusters nor a draw's slots are held in one place.
     """
     if draws < 100:
         raise ValueError("draws must be >= 100")
-    order = F.struct(F.col(cluster), F.col(column)) if cluster else F.struct(F.col(column).alias("k"), F.col(column))
-    values = paired.where(F.col(column).isNotNull()).agg(F.array_sort(F.collect_list(order)).alias("v"))
-    values = values.select(F.col(f"v.{column}").alias("v"))
-    checked = F.when(F.size("v") >= 2, F.col("v")).otherwise(
-        F.raise_error(F.lit("at least two independent clusters are required")).cast("array<double>")
-    )
-    rows = paired.sparkSession.range(draws).select("id", values.select(checked.alias("v")).scalar().alias("v"))
-    n = F.size("v")
-    picks = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.element_at("v", (child_seed(F.lit(seed), F.concat_ws(":", F.col("id").cast("string"), i.cast("string"))) % n + 1).cast("int")),
-    )
-    sampled = rows.select("v", (F.aggregate(picks, F.lit(0.0), lambda a, x: a + x) / n).alias("m"))
-    mean = F.aggregate(F.first("v"), F.lit(0.0), lambda a, x: a + x) / F.size(F.first("v"))
-    out = grouped_quantiles(sampled, [], "m", [alpha / 2, 1 - alpha / 2], [
-        mean.alias("mean_difference"),
+    spark = paired.sparkSession
+    order = [cluster, column] if cluster else [column]
+    values = cut_lineage(global_place(paired.where(F.col(column).isNotNull()).select(*order), order, "_pick").select("_pick", F.col(column).cast("double").alias("_v")))
+    whole = values.agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean")).first()
+    n = whole["n"]
+    if n < 2:
+        raise ValueError("at least two independent clusters are required")
+    slots = spark.range(draws * n).select(F.expr(f"id div {n}").alias("draw"), (F.col("id") % n).alias("slot"))
+    name = F.concat_ws(":", F.col("draw").cast("string"), F.col("slot").cast("string"))
+    picked = join_dimension(slots.withColumn("_pick", child_seed(F.lit(seed), name) % n), values, ["_pick"], ["draw", "slot"])
+    sampled = picked.groupBy("draw").agg(F.avg("_v").alias("m"))
+    out = grouped_quantiles(sampled.select("m"), [], "m", [alpha / 2, 1 - alpha / 2], [
         F.avg((F.col("m") < 0).cast("double")).alias("probability_improvement"),
         F.avg((F.col("m") > 0).cast("double")).alias("probability_positive"),
         F.count("*").alias("draws"),
     ])
-    return out.select("mean_difference", F.col("q0").alias("lower"), F.col("q1").alias("upper"), "probability_improvement", "probability_positive", "draws")
+    return out.select(F.lit(whole["mean"]).alias("mean_difference"), F.col("q0").alias("lower"), F.col("q1").alias("upper"),
+                      "probability_improvement", "probability_positive", "draws")
 
 
 def _leave_one_out(df: DataFrame, group: Sequence[str], year: str, sums: dict[str, Column]) -> DataFrame:

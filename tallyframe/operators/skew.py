@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import cut_lineage
@@ -64,3 +64,19 @@ def join_dimension(
     if fixed.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(fixed), list(keys), how)
     return spread_join(rows, fixed, keys, by, how)
+
+
+def global_place(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: the row's place (from 0) in the order of all rows, without one task that sees them all.
+
+    Rows are dealt into ranges and written with their range's number; a range is numbered by itself and moved by
+    the rows of earlier ranges, one count per range.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fixed = cut_lineage(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    counts = fixed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return fixed.withColumn(name, own).join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

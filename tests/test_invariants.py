@@ -300,6 +300,40 @@ def test_fingerprint_ignores_order_but_counts_copies(spark):
     assert digest != one(qu.table_fingerprint(a.fillna("n")))["fingerprint"]
 
 
+def test_concurrent_writers_get_distinct_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    frames = [spark.range(n).withColumnRenamed("id", "a") for n in (1, 2, 3, 2, 1, 4)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda df: ln.Registry(spark, str(tmp_path / "reg")).register("t", df), frames))
+    rows = ln.Registry(spark, str(tmp_path / "reg")).list_versions("t").collect()
+    assert sorted(r["version"] for r in rows) == [f"v{i:06d}" for i in range(1, 5)]
+    assert sorted(r["row_count"] for r in rows) == [1, 2, 3, 4]
+    assert all(spark.read.parquet(r["snapshot_path"]).count() == r["row_count"] for r in rows)
+
+
+@pytest.mark.parametrize("encoding, sep", [("utf-8", ";"), ("utf-8-sig", ","), ("latin-1", ";"), ("latin-1", ",")])
+def test_official_files_in_either_encoding(spark, tmp_path, encoding, sep):
+    lines = [["Ano da eleição", "SG_UF", "Município", "Votos nominais"], ["2022", "SP", "São Paulo", "7"], ["2022", "CE", "Crateús", "3"]]
+    path = tmp_path / "f.csv"
+    path.write_bytes("\n".join(sep.join(f'"{x}"' for x in line) for line in lines).encode(encoding))
+    df = rd.read_official_csv(spark, str(path))
+    assert df.columns == ["ANO_DA_ELEICAO", "SG_UF", "MUNICIPIO", "VOTOS_NOMINAIS"]
+    assert [r["MUNICIPIO"] for r in df.orderBy(F.desc("VOTOS_NOMINAIS")).collect()] == ["São Paulo", "Crateús"]
+    named = rd.read_official_csv(spark, str(path), {"uf": ["UF", "SG_UF"]})
+    assert named.columns == ["uf"] and named.count() == 2
+    with pytest.raises(ValueError, match="lacks columns"):
+        rd.read_official_csv(spark, str(path), {"uf": ["X"]})
+
+
+def test_bootstrap_of_many_clusters(spark):
+    paired = spark.range(100_000).select(F.col("id").alias("election_year"), (F.sin("id") - 0.2).alias("difference"))
+    out = one(rb.cluster_bootstrap(paired, 100, 3, cluster="election_year"))
+    values = paired.agg(F.avg("difference").alias("m"), F.stddev_samp("difference").alias("s")).first()
+    assert out["mean_difference"] == pytest.approx(values["m"]) and out["draws"] == 100
+    assert out["lower"] < values["m"] < out["upper"] and out["upper"] - out["lower"] == pytest.approx(4 * values["s"] / 100_000**0.5, rel=0.4)
+    assert out["probability_improvement"] == 1.0
+
+
 def test_registry_versions_and_runs(spark, tmp_path):
     reg = ln.Registry(spark, str(tmp_path / "reg"))
     df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
