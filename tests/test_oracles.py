@@ -11,9 +11,8 @@ import check  # noqa: E402
 from tallyframe.plans.catalog import ORACLES, QUERIES  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
-# Whole studies: about a minute each. TEST_SLOW=1 runs them.
-SLOW = {"E02_calibrated_reliability", "B10_run_backtest", "B11_compare_models", "B12_ablate_priors", "B13_sensitivity_grid",
-        "B13_robustness_records", "E11_evaluate_oof"}
+# Whole studies: a minute or two each. TEST_SLOW=1 runs them.
+SLOW = {"B10_run_backtest", "B11_compare_models", "B12_ablate_priors", "B13_sensitivity_grid", "B13_robustness_records"}
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
