@@ -345,6 +345,19 @@ def _(spark, d):
     return ln.file_manifest(spark, d)
 
 
+@query("S10_manifest_of_results", """
+WITH l AS (SELECT "year", concat_ws('|', uf, candidate_name, CAST(votes AS VARCHAR)) AS line FROM results),
+ f AS (SELECT "year", string_agg(line, chr(10) ORDER BY line) || chr(10) AS body FROM l GROUP BY ALL)
+SELECT CAST("year" AS INTEGER) AS election_year, strlen(body) AS bytes, sha256(body) AS sha256 FROM f""", ("results",))
+def _(spark, d):
+    root = scratch_dir(spark, "manifest")
+    line = F.concat_ws("|", "uf", "candidate_name", F.col("votes").cast("string"))
+    lines = v.results(spark, d).select("year", line.alias("line")).repartition("year").sortWithinPartitions("year", "line")
+    lines.write.partitionBy("year").text(root)  # one file per year
+    files = ln.file_manifest(spark, root).where(F.col("path").contains("/part-"))
+    return files.select(F.regexp_extract("path", r"year=(\d+)/", 1).cast("int").alias("election_year"), "bytes", "sha256")
+
+
 @query("S11_append_records", """SELECT CAST(event_id AS VARCHAR) AS run_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') AS sha256 FROM events""")
 def _(spark, d):
     path = scratch_dir(spark, "records")
