@@ -1,24 +1,31 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity by sharded joins.
 
-Texts are read as symbols: UTF-8 bytes in 64 classes, with a word equal to the one before it as a symbol of its own
-(one for words of up to ``SHORT`` bytes, which repeat in clean text too, and one for longer words, which hardly do).
-The model is of order three. Its counts come from all trusted texts; contexts, continuation counts and discounts are
-joined as tables keyed by gram. For scoring, documents are turned into postings (gram, document, count) by chunk, and
-postings meet the model shard by shard: shard ``gram mod SHARDS`` of a group of chunks is one join group, which holds
-a bounded number of texts' postings and one shard of the model. Partial sums then meet by chunk.
+Texts are read as UTF-8 bytes, all 256 of them, with a word equal to the one before it as a symbol of its own (one for
+words of up to ``SHORT`` bytes, which repeat in clean text too, and one for longer words, which hardly do). The model is
+of order ``ORDER``; its counts come from all trusted texts and its tables grow with them.
+
+No text is judged by a model that has seen it: a hash of the text puts it into one of two halves, and the texts of a half
+are scored by the model of the other half's trusted texts. So limits taken from trusted texts hold for all others, and equal
+texts have equal likelihoods. The number of the model stands in the key of a gram, above its symbols.
+
+Counts, contexts and back-off weights are tables joined by key. For scoring, documents are packed in chunks of at most
+``CHUNK_BYTES`` (or one longer text); a chunk asks for its distinct grams, their log-probabilities are worked out once for
+all chunks, level by level, and come back to the chunk, which sums them over its documents.
 
 A document's score is its mean negative log-probability, drawn toward its language's mean by ``PRIOR`` symbols so that
-short texts are not judged by chance. It is rejected above the ``QUANTILE`` of trusted texts of its language, plus
-``MARGIN`` times that quantile's distance from the mean over all trusted texts, so that unusual clean texts stay.
-A language without trusted texts uses all of them.
+short texts are not judged by chance. It is rejected above the ``QUANTILE`` of trusted texts of its language: the larger of
+the observed one and of the normal one for a further text, since a few texts hold no such quantile. A language without
+trusted texts uses all of them.
 
 Defined results: null and empty texts have perplexity of their language's mean and stay; without trusted texts every
 document stays, with null perplexity; repeated rows are scored each for itself; null languages are a language of their own.
+A model without any trusted text gives every symbol the same probability.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +39,22 @@ from tallyframe.llm.blocks import Block, blocks, hash_words, split_words
 from tallyframe.operators.skew import spread_join
 from tallyframe.session import cut_lineage
 
-SYMBOLS = 64
-ORDER = 3
-GRAMS = SYMBOLS**ORDER
-SHARDS = 16
-CHUNKS_PER_GROUP = 16
+ORDER = 5
+AGAIN, AGAIN_LONG = 256, 257
+SYMBOLS = 258
+BITS = 9
+MODEL = BITS * ORDER  # bit of a key that tells the model
+BEGIN = 10
+SHORT = 3
+CHUNK_BYTES = 16 << 20
 PRIOR = 40
 QUANTILE = 0.995
-MARGIN = 2.0
-
-_MARKS = b".,!?':/=|*#$%&"
-AGAIN_LONG, AGAIN, OTHER, BEGIN = 61, 62, 63, 27
-SHORT = 3
-
-
-def _classes() -> np.ndarray:
-    """Class of each byte: letters, then capitals, line end, digit, lead byte, space, 16 of continuation, marks, other."""
-    out = np.full(256, OTHER, dtype=np.uint8)
-    out[97:123] = np.arange(26)
-    out[65:91] = 26
-    out[10] = BEGIN
-    out[48:58] = 28
-    out[0xC0:] = 29
-    out[[9, 11, 12, 13, 32]] = 30
-    out[0x80:0xC0] = 31 + np.arange(64) % 16
-    out[list(_MARKS)] = 47 + np.arange(len(_MARKS))
-    return out
-
-
-_CLASS = _classes()
+NORMAL = NormalDist().inv_cdf(QUANTILE)
 
 
 def text_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts in a row, and where each text begins."""
-    symbols = _CLASS[data]
+    symbols = data.astype(np.uint16)
     words = split_words(data, offsets)
     h = hash_words(data, words)
     if len(h) < 2:
@@ -83,161 +72,173 @@ def text_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return symbols[keep[:-1] > 0], place[offsets]
 
 
-def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram ending at each symbol (line ends stand before a text), its text's number, and symbols per text."""
+def text_grams(data: np.ndarray, offsets: np.ndarray, models: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key of the gram ending at each symbol (line ends stand before a text), its text's number, and symbols per text."""
     symbols, bounds = text_symbols(data, offsets)
     sizes = np.diff(bounds)
-    s = symbols.astype(np.uint32)
+    s = symbols.astype(np.int64)
     text = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-    gram = s.copy()
-    for back in (1, 2):
-        earlier = np.full(len(s), BEGIN, dtype=np.uint32)
+    gram = s | np.repeat(models.astype(np.int64) << MODEL, sizes)
+    for back in range(1, ORDER):
+        earlier = np.full(len(s), BEGIN, dtype=np.int64)
         if len(s) > back:
             same = text[back:] == text[:-back]
             earlier[back:][same] = s[:-back][same]
-        gram |= earlier << np.uint32(6 * back)
+        gram |= earlier << (BITS * back)
     return gram, text, sizes
 
 
+def half(text_col: str = "text") -> Column:
+    """Half of a text, 0 or 1; also the number of the model that scores it."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(2)).cast("int")
+
+
 def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Counts over all rows: gram, n."""
+    """Counts over all rows: gram, n. The texts of a half train the other half's model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text_col):
-            found, n = np.unique(text_grams(block.data, block.offsets)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    return docs.select(F.col(text_col)).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more."""
-    seen = {r.n: r.k for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}  # four rows
-    k = [seen.get(i, 0) for i in range(1, 5)]
-    y = k[0] / (k[0] + 2 * k[1]) if k[0] else 0.5
-    return [min(max(i + 1 - (i + 2) * y * k[i + 1] / k[i], 0.05), i + 0.95) if k[i] else 0.5 for i in range(3)]
-
-
-def _level(counts: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
-    """Discounted share of each gram in its context, and each context's back-off weight."""
-    d = _discounts(counts)
-    off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    stats = counts.groupBy(F.expr(context).alias("_c")).agg(F.sum("n").alias("_all"), F.sum(off).alias("_off"))
-    shares = counts.withColumn("_c", F.expr(context)).join(stats, "_c").select("gram", ((F.col("n") - off) / F.col("_all")).alias("share"))
-    return shares, stats.select("_c", (F.col("_off") / F.col("_all")).alias("back"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Natural log-probability of the last symbol of every possible gram: gram, logp. ``counts`` has gram and n."""
-    pairs = counts.groupBy(F.expr(f"gram % {SYMBOLS * SYMBOLS}").alias("gram")).agg(F.count(F.lit(1)).alias("n"))  # continuations
-    singles = cut_lineage(pairs.groupBy(F.expr(f"gram % {SYMBOLS}").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    pairs = cut_lineage(pairs)
-    spark = counts.sparkSession
-    one, one_back = _level(singles, "0")
-    p1 = spark.range(SYMBOLS).select(F.col("id").cast("int").alias("gram")).join(one, "gram", "left").join(F.broadcast(one_back)).select(
-        F.col("gram").alias("_g1"), (F.coalesce("share", F.lit(0.0)) + F.col("back") / SYMBOLS).alias("p1"))  # one context row
-    two, two_back = _level(pairs, f"gram div {SYMBOLS}")
-    p2 = (
-        spark.range(SYMBOLS * SYMBOLS).select(F.col("id").cast("int").alias("gram")).join(two, "gram", "left")
-        .withColumn("_c", F.expr(f"gram div {SYMBOLS}")).join(two_back, "_c", "left").withColumn("_g1", F.expr(f"gram % {SYMBOLS}")).join(p1, "_g1")
-        .select(F.col("gram").alias("_g2"), (F.coalesce("share", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p1")).alias("p2"))
-    )
-    three, three_back = _level(counts, f"gram div {SYMBOLS}")
-    return (
-        spark.range(GRAMS).select(F.col("id").cast("int").alias("gram")).join(three, "gram", "left")
-        .withColumn("_c", F.expr(f"gram div {SYMBOLS}")).join(three_back, "_c", "left").withColumn("_g2", F.expr(f"gram % {SYMBOLS * SYMBOLS}")).join(p2, "_g2")
-        .select("gram", F.log(F.coalesce("share", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p2")).alias("logp"))
-    )
-
-
-def _pack(block: Block, codec: pa.Codec) -> tuple[list[bytes], np.ndarray]:
-    """Postings of a block by shard (gram, document, count; compressed), and symbols per document."""
-    gram, text, sizes = text_grams(block.data, block.offsets)
-    keys, n = np.unique((gram.astype(np.uint64) << np.uint64(32)) | text, return_counts=True) if len(sizes) > 4096 else _unique32(gram, text)
-    gram, text = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    out = []
-    for shard in range(SHARDS):
-        mine = gram % SHARDS == shard
-        parts = [np.diff(x[mine].astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32) for x in (gram, text)]
-        raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in [*parts, n[mine].astype(np.uint32)])
-        out.append(len(raw).to_bytes(4, "little") + codec.compress(raw, asbytes=True) if raw else b"")
-    return out, sizes
-
-
-def _unique32(gram: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort((gram << np.uint32(12)) | text)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    n = np.diff(np.concatenate([first, [len(keys)]]))
-    keys = keys[first].astype(np.uint64)
-    return (keys >> np.uint64(12)) << np.uint64(32) | (keys & np.uint64(4095)), n
-
-
-def _unpack(blob: bytes, codec: pa.Codec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = codec.decompress(blob[4:], int.from_bytes(blob[:4], "little"), asbytes=True)
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(3, 4, -1)
-    gram, text, n = (np.ascontiguousarray(p.T).view(np.uint32).ravel() for p in planes)
-    return np.cumsum(gram, dtype=np.uint32), np.cumsum(text, dtype=np.uint32), n
-
-
-def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: ``id_col``, lang, n_symbols, loglik."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+            models = block.rows.column(1).to_numpy(zero_copy_only=False)
+            found, n = np.unique(text_grams(block.data, block.offsets, models)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    rows = docs.select(F.col(text_col), (1 - half(text_col)).alias("model"))
+    return rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _suffix(gram: str, k: int) -> Column:
+    """Key of a gram's last ``k`` symbols."""
+    return F.col(gram).bitwiseAND(F.lit((1 << MODEL) | ((1 << BITS * k) - 1)))
+
+
+def _context(gram: str) -> Column:
+    """Key of what stands before the last symbol."""
+    return F.shiftright(gram, BITS)
+
+
+def _model(gram: str) -> Column:
+    return F.shiftright(gram, MODEL).cast("int")
+
+
+def count_levels(counts: DataFrame) -> list[DataFrame]:
+    """Counts of grams by order, from one to ``ORDER``: below the highest, how many symbols a gram continues."""
+    levels = [counts]
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(cut_lineage(levels[-1].groupBy(_suffix("gram", k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+    return levels[::-1]
+
+
+def _discounts(levels: list[DataFrame]) -> dict[tuple[int, int], list[float]]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and more, by level and model."""
+    seen: dict[tuple[int, int], dict[int, int]] = {}
+    rows = None
+    for k, level in enumerate(levels):
+        r = level.where("n <= 4").select(F.lit(k).alias("k"), _model("gram").alias("m"), "n")
+        rows = r if rows is None else rows.unionByName(r)
+    for r in rows.groupBy("k", "m", "n").count().collect():  # at most 4 x 2 x ORDER rows
+        seen.setdefault((r.k, r.m), {})[r.n] = r["count"]
+    out = {}
+    for k in range(len(levels)):
+        for m in (0, 1):
+            c = [seen.get((k, m), {}).get(i, 0) for i in range(1, 5)]
+            y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
+            out[k, m] = [min(max(i + 1 - (i + 2) * y * c[i + 1] / c[i], 0.05), i + 0.95) if c[i] else 0.5 for i in range(3)]
+    return out
+
+
+def log_probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Natural log-probability of the last symbol of every wanted gram: gram, logp.
+
+    ``counts`` has gram and n, ``wanted`` distinct grams. A context is followed and a gram preceded by at most ``SYMBOLS``
+    symbols, so no join key is hot.
+    """
+    levels = count_levels(counts)
+    discounts = _discounts(levels)
+    asked = [wanted.select("gram")]
+    for k in range(ORDER - 1, 0, -1):
+        asked.append(cut_lineage(asked[-1].select(_suffix("gram", k).alias("gram")).distinct()))
+    lower = None
+    for k, (level, need) in enumerate(zip(levels, asked[::-1])):
+        off = F.when(_model("gram") == 0, _by_count(discounts[k, 0])).otherwise(_by_count(discounts[k, 1]))
+        level = level.withColumn("_off", off).withColumn("_c", _context("gram"))
+        stats = cut_lineage(level.groupBy("_c").agg(F.sum("n").alias("_all"), F.sum("_off").alias("_rest")))
+        own = need.withColumn("_c", _context("gram")).join(stats, "_c", "left").join(level.select("gram", "n", "_off"), "gram", "left")
+        if lower is None:
+            own = own.withColumn("_low", F.lit(1.0 / SYMBOLS))
+        else:
+            own = own.withColumn("_s", _suffix("gram", k)).join(lower, "_s")
+        share = F.coalesce((F.col("n") - F.col("_off")) / F.col("_all"), F.lit(0.0))
+        back = F.coalesce(F.col("_rest") / F.col("_all"), F.lit(1.0))
+        lower = cut_lineage(own.select(F.col("gram").alias("_s"), (share + back * F.col("_low")).alias("_low")))
+    return lower.select(F.col("_s").alias("gram"), F.log("_low").alias("logp"))
+
+
+def _by_count(d: list[float]) -> Column:
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+def _chunks(found: Iterator[Block]) -> Iterator[list[Block]]:
+    """Blocks of a task by chunk."""
+    group, size = [], 0
+    for block in found:
+        if group and size + len(block.data) > CHUNK_BYTES:
+            yield group
+            group, size = [], 0
+        group.append(block)
+        size += len(block.data)
+    if group:
+        yield group
+
+
+def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document: ``id_col``, lang, n_symbols, loglik. ``counts`` are those of :func:`count_grams`."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), half(text_col).alias("half"), F.col(text_col).alias("text"))
     id_field = rows.schema["_id"]
+    longs, codec_level = pa.list_(pa.int64()), 1
     schema = T.StructType([
-        T.StructField("shard", T.IntegerType()), T.StructField("group", T.LongType()), T.StructField("chunk", T.LongType()),
-        T.StructField("blob", T.BinaryType()), T.StructField("ids", T.ArrayType(id_field.dataType)),
-        T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("sizes", T.ArrayType(T.LongType())),
+        T.StructField("chunk", T.LongType()), T.StructField("texts", T.BinaryType()), T.StructField("offsets", T.ArrayType(T.LongType())),
+        T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("langs", T.ArrayType(T.StringType())),
+        T.StructField("halves", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType())),
     ])
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, here = pa.Codec("zstd", 1), TaskContext.get().partitionId()
-        for k, block in enumerate(blocks(batches)):
-            blobs, sizes = _pack(block, codec)
-            group, chunk = (here << 24) + k // CHUNKS_PER_GROUP, (here << 32) + k
-            n = SHARDS + 1
-            lists = [pa.array([x.to_pylist()] + [None] * SHARDS, pa.list_(x.type)) for x in (block.rows.column(0), block.rows.column(1))]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([-1, *range(SHARDS)], pa.int32()), pa.array([group] * n, pa.int64()), pa.array([chunk] * n, pa.int64()),
-                pa.array([None, *blobs], pa.binary()), *lists, pa.array([sizes.tolist()] + [None] * SHARDS, pa.list_(pa.int64())),
-            ], names=schema.names)
-
-    postings = cut_lineage(rows.mapInArrow(post, schema))
-    # the model, one array of log-probabilities per shard, once for each group of chunks
-    packed = model.groupBy((F.col("gram") % SHARDS).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("gram", "logp"))).alias("m"))
-    packed = cut_lineage(packed.select("shard", F.expr("transform(m, x -> x.logp)").alias("logp")))
-    groups = postings.where("shard = -1").groupBy(F.col("group").alias("_g")).count()
-    models = groups.join(F.broadcast(packed)).select(F.col("shard"), F.col("_g").alias("group"), "logp")  # SHARDS rows for each group
-    names = schema.names
-
-    def part(left: pa.Table, right: pa.Table) -> pa.Table:
-        codec = pa.Codec("zstd", 1)
-        logp = right.column("logp").combine_chunks().flatten().to_numpy(zero_copy_only=False) if right.num_rows else None
-        blobs = []
-        for blob in left.column("blob").to_pylist():
-            if not blob or logp is None:
-                blobs.append(None)
-                continue
-            gram, text, n = _unpack(blob, codec)
-            blobs.append(np.bincount(text, weights=n * logp[gram // SHARDS]).astype("<f8").tobytes())
-        return left.select(names).set_column(names.index("blob"), "blob", pa.array(blobs, pa.binary()))
-
-    parts = postings.groupBy("shard", "group").cogroup(models.groupBy("shard", "group")).applyInArrow(part, schema)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, here = pa.Codec("zstd", codec_level), TaskContext.get().partitionId()
+        for k, group in enumerate(_chunks(blocks(batches))):
+            grams = None
+            chunk = (here << 32) + k
+            for i, block in enumerate(group):
+                new = np.unique(text_grams(block.data, block.offsets, block.rows.column(2).to_numpy(zero_copy_only=False))[0])
+                grams = new if grams is None else np.union1d(grams, new)
+                lists = [pa.array([block.rows.column(c).to_pylist()], pa.list_(block.rows.column(c).type)) for c in range(3)]
+                asked = pa.array([grams], longs) if i == len(group) - 1 else pa.array([None], longs)
+                blob = codec.compress(block.data.tobytes(), asbytes=True) if len(block.data) else b""
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()), pa.array([block.offsets.tolist()], longs), *lists, asked], names=schema.names
+                )
+
+    packed = cut_lineage(rows.mapInArrow(pack, schema))
+    asked = packed.where("grams is not null").select("chunk", F.explode("grams").alias("gram"))
+    wanted = cut_lineage(asked.select("gram").distinct())
+    answers = asked.join(log_probabilities(counts, wanted), "gram").select(F.col("chunk").alias("_chunk"), "gram", F.col("logp").cast("float").alias("logp"))
     out = T.StructType([id_field, T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("loglik", T.DoubleType())])
 
-    def whole(table: pa.Table) -> pa.Table:
-        sums, meta = None, None
-        for i, shard in enumerate(table.column("shard").to_pylist()):
-            if shard < 0:
-                meta = i
-        ids, langs, sizes = (table.column(c)[meta].values for c in ("ids", "langs", "sizes"))
-        sums = np.zeros(len(sizes))
-        for blob in table.column("blob").to_pylist():
-            if blob:
-                x = np.frombuffer(blob, dtype="<f8")
-                sums[: len(x)] += x
-        return pa.Table.from_arrays([ids, langs, sizes, pa.array(sums)], names=out.names)
-
-    return parts.groupBy("chunk").applyInArrow(whole, out).withColumnRenamed("_id", id_col)
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        codec = pa.Codec("zstd", codec_level)
+        gram, logp = (right.column(c).to_numpy() for c in ("gram", "logp"))
+        order = np.argsort(gram)
+        gram, logp = gram[order], logp[order].astype(np.float64)
+        parts = []
+        for row in range(left.num_rows):
+            blob, offsets, ids, langs, halves = (left.column(c)[row] for c in ("texts", "offsets", "ids", "langs", "halves"))
+            offsets = offsets.values.to_numpy()
+            raw = codec.decompress(blob.as_py(), int(offsets[-1]), asbytes=True) if offsets[-1] else b""
+            keys, text, sizes = text_grams(np.frombuffer(raw, dtype=np.uint8), offsets, halves.values.to_numpy())
+            sums = np.bincount(text, weights=logp[np.searchsorted(gram, keys)], minlength=len(sizes)) if len(keys) else np.zeros(len(sizes))
+            parts.append(pa.Table.from_arrays([ids.values, langs.values, pa.array(sizes.astype(np.int64)), pa.array(sums)], names=out.names))
+        return pa.concat_tables(parts)  # grams come with their chunk, so there are always rows
+
+    blocks_only = packed.select("chunk", "texts", "offsets", "ids", "langs", "halves")
+    return blocks_only.groupBy("chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(add, out).withColumnRenamed("_id", id_col)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -262,7 +263,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFra
     if counts.isEmpty():
         return docs.select(id_col, F.col("lang").cast("string").alias("lang"), F.lit(None).cast("long").alias("n_symbols"),
                            F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    scored = cut_lineage(score(docs, cut_lineage(kneser_ney(counts)), id_col))
+    scored = cut_lineage(score(docs, counts, id_col))
     good = scored.join(trusted, id_col, "left_semi").where("n_symbols > 0")
     by_lang = cut_lineage(good.groupBy("lang").agg((-F.sum("loglik") / F.sum("n_symbols")).alias("mean")))
     overall = good.agg((-F.sum("loglik") / F.sum("n_symbols")).alias("m")).scalar()
@@ -271,19 +272,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFra
         joined = spread_join(rows, by_lang, ["lang"], [id_col, "n_symbols"], "left", null_safe=True)
         mean = F.coalesce("mean", overall)
         x = (-F.coalesce("loglik", F.lit(0.0)) + PRIOR * mean) / (F.col("n_symbols") + PRIOR)
-        return joined.withColumn("_x", x).withColumn("_off", x - mean).drop("mean")
+        return joined.withColumn("_x", x).drop("mean")
 
     rated = cut_lineage(with_mean(good))
-
-    def high(c: str) -> Column:
-        return F.percentile_approx(c, F.lit(QUANTILE), F.lit(10000))
-
-    limits = cut_lineage(rated.groupBy("lang").agg(high("_x").alias("limit")))
-    spread = rated.agg((MARGIN * F.greatest(high("_off"), F.lit(0.0))).alias("s")).scalar()
-    any_limit = rated.agg(high("_x").alias("l")).scalar()
+    further = F.avg("_x") + NORMAL * F.stddev_samp("_x") * F.sqrt(1 + 1 / F.count("_x"))  # null for a single text
+    high = F.greatest(F.percentile_approx("_x", F.lit(QUANTILE), F.lit(10000)), further)
+    limits = cut_lineage(rated.groupBy("lang").agg(high.alias("limit")))
+    any_limit = rated.agg(high.alias("l")).scalar()
     out = spread_join(with_mean(scored), limits, ["lang"], [id_col, "n_symbols"], "left", null_safe=True)
-    limit = F.coalesce("limit", any_limit) + spread
-    return out.select(id_col, "lang", "n_symbols", F.exp("_x").alias("perplexity"), F.exp(limit).alias("threshold"), (F.col("_x") <= limit).alias("kept"))
+    limit = F.coalesce("limit", any_limit)
+    return out.select(id_col, "lang", "n_symbols", F.exp("_x").alias("perplexity"), F.exp(limit).alias("threshold"),
+                      ((F.col("n_symbols") == 0) | (F.col("_x") <= limit)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

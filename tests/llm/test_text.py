@@ -50,27 +50,23 @@ def symbols_brute(text):
         part = m.group()
         if part.strip(b" \t\n\x0b\x0c\r"):
             again = quality_kn.AGAIN if len(part) <= quality_kn.SHORT else quality_kn.AGAIN_LONG
-            out += [again] if part == last else [int(quality_kn._CLASS[b]) for b in part]
+            out += [again] if part == last else list(part)
             last = part
         else:
-            out += [int(quality_kn._CLASS[b]) for b in part]
+            out += list(part)
     return out
 
 
+def grams_brute(text):
+    x = [quality_kn.BEGIN] * (quality_kn.ORDER - 1) + symbols_brute(text)
+    return list(zip(*(x[i:] for i in range(quality_kn.ORDER))))
+
+
 def kn_brute(texts):
-    """log p of every gram by the textbook formulas."""
-    s = quality_kn.SYMBOLS
-    c3 = Counter()
-    for t in texts:
-        x = [quality_kn.BEGIN] * 2 + symbols_brute(t)
-        c3.update(zip(x, x[1:], x[2:]))
-    c2, c1 = Counter(), Counter()
-    for _, b, c in c3:
-        c2[b, c] += 1
-    for _, c in c2:
-        c1[c] += 1
-
-    def level(counts):
+    """log p of a gram by the textbook formulas."""
+    counts = Counter(g for t in texts for g in grams_brute(t))
+    levels = []
+    while True:
         k = [sum(v == i for v in counts.values()) for i in range(1, 5)]
         y = k[0] / (k[0] + 2 * k[1]) if k[0] else 0.5
         d = [min(max(i + 1 - (i + 2) * y * k[i + 1] / k[i], 0.05), i + 0.95) if k[i] else 0.5 for i in range(3)]
@@ -78,10 +74,32 @@ def kn_brute(texts):
         for g, n in counts.items():
             total[g[:-1]] += n
             off[g[:-1]] += d[min(n, 3) - 1]
-        return lambda g, low: (max(counts[g] - d[min(counts[g], 3) - 1], 0) / total[g[:-1]] if counts[g] else 0) + off[g[:-1]] / total[g[:-1]] * low if total[g[:-1]] else low
+        levels.insert(0, (counts, d, total, off))
+        if len(levels) == quality_kn.ORDER:
+            break
+        counts = Counter(g[1:] for g in counts)
+
+    def logp(gram):
+        p = 1 / quality_kn.SYMBOLS
+        for k, (counts, d, total, off) in enumerate(levels, 1):
+            g = gram[-k:]
+            if total[g[:-1]]:
+                p = (max(counts[g] - d[min(counts[g], 3) - 1], 0) if counts[g] else 0) / total[g[:-1]] + off[g[:-1]] / total[g[:-1]] * p
+        return math.log(p)
+
+    return logp
+
+
+def key(gram, model):
+    out = model
+    for x in gram:
+        out = (out << quality_kn.BITS) | x
+    return out
+
 
-    one, two, three = level(Counter({(c,): n for c, n in c1.items()})), level(c2), level(c3)
-    return lambda a, b, c: math.log(three((a, b, c), two((b, c), one((c,), 1 / s))))
+def halves(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("half", quality_kn.half()).collect()
+    return {x.i: x.half for x in rows}
 
 
 def test_symbols():
@@ -90,29 +108,48 @@ def test_symbols():
     block = block_of(texts)
     s, bounds = quality_kn.text_symbols(block.data, block.offsets)
     assert [s[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [symbols_brute(t) for t in texts]
+    models = np.arange(len(texts)) % 2
+    gram, text, _ = quality_kn.text_grams(block.data, block.offsets, models)
+    assert gram.tolist() == [key(g, i % 2) for i, t in enumerate(texts) for g in grams_brute(t)]
+    assert text.tolist() == [i for i, t in enumerate(texts) for _ in grams_brute(t)]
 
 
 def test_kneser_ney_equals_brute_force(spark):
     r = h.rng(3)
     good = [h.words(r, 40, 60) + "." for _ in range(40)]
-    docs = h.table(spark, good)
-    model = {x.gram: x.logp for x in quality_kn.kneser_ney(quality_kn.count_grams(docs)).collect()}
-    assert len(model) == quality_kn.GRAMS
-    want = kn_brute(good)
-    s = quality_kn.SYMBOLS
-    for _ in range(3000):
-        a, b, c = (r.randrange(s) for _ in range(3))
-        assert model[(a * s + b) * s + c] == pytest.approx(want(a, b, c), rel=1e-9)
-    for a, b in [(27, 27), (0, 1), (22, 28), (5, 5)]:
-        assert sum(math.exp(model[(a * s + b) * s + c]) for c in range(s)) == pytest.approx(1.0)
+    half = halves(spark, good)
+    assert set(half.values()) == {0, 1}
+    counts = quality_kn.count_grams(h.table(spark, good))
+    want = [kn_brute([t for i, t in enumerate(good) if half[i] != m]) for m in (0, 1)]
+    known = [g for t in good for g in grams_brute(t)]
+    asked = {(r.choice(known)[: quality_kn.ORDER - j] + tuple(r.randrange(quality_kn.SYMBOLS) for _ in range(j)), m) for j in range(3) for m in (0, 1) for _ in range(300)}
+    asked |= {(c[:-1] + (x,), m) for c in known[:2] for x in range(quality_kn.SYMBOLS) for m in (0, 1)}
+    wanted = spark.createDataFrame([(key(g, m),) for g, m in asked], "gram long")
+    got = {x.gram: x.logp for x in quality_kn.log_probabilities(counts, wanted).collect()}
+    assert len(got) == len(asked)
+    for g, m in asked:
+        assert got[key(g, m)] == pytest.approx(want[m](g), rel=1e-9)
+    for c in known[:2]:
+        for m in (0, 1):
+            assert sum(math.exp(got[key(c[:-1] + (x,), m)]) for x in range(quality_kn.SYMBOLS)) == pytest.approx(1.0)
+
+
+def test_likelihoods_equal_brute_force(spark, monkeypatch):
+    r = h.rng(6)
+    good = [h.words(r, 40, 60) + "." for _ in range(40)]
+    want_half = halves(spark, good)
+    want = [kn_brute([t for i, t in enumerate(good) if want_half[i] != m]) for m in (0, 1)]
     texts = h.awkward(r) + good[:3] + ["W1!! W2!!", "w1 w1 w1"]
-    scored = quality_kn.score(h.table(spark, texts).withColumn("shard", F.lit(1)), spark.createDataFrame(list(model.items()), "gram int, logp double"))
-    out = {x.doc_id: x for x in scored.collect()}
-    assert len(out) == len(texts)
-    for i, t in enumerate(texts):
-        x = [quality_kn.BEGIN] * 2 + symbols_brute(t)
-        assert out[i].n_symbols == len(x) - 2
-        assert out[i].loglik == pytest.approx(sum(want(*g) for g in zip(x, x[1:], x[2:])), rel=1e-9)
+    half = halves(spark, texts)
+    counts = quality_kn.count_grams(h.table(spark, good))
+    for size in (quality_kn.CHUNK_BYTES, 1):
+        monkeypatch.setattr(quality_kn, "CHUNK_BYTES", size)
+        out = {x.doc_id: x for x in quality_kn.score(h.table(spark, texts).withColumn("chunk", F.lit(1)), counts).collect()}
+        assert len(out) == len(texts)
+        for i, t in enumerate(texts):
+            assert out[i].n_symbols == len(symbols_brute(t))
+            assert out[i].loglik == pytest.approx(sum(want[half[i]](g) for g in grams_brute(t)), rel=1e-6)
+    assert quality_kn.score(h.table(spark, texts).limit(0), counts).count() == 0
 
 
 def test_quality_decisions(spark):
@@ -142,7 +179,42 @@ def test_quality_against_labels(spark):
     fit, held = labels.where(~toxicity.in_fold("doc_id")), labels.where(toxicity.in_fold("doc_id"))
     rows = quality_kn.judge(spark.read.parquet(f"{d}/documents.parquet"), fit).join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k"))
     kept = {x.quality: x.k for x in rows.collect()}
-    assert kept[1] > 0.97 and kept[0] < 0.25
+    assert kept[1] > 0.97 and kept[0] < 0.05
+
+
+def test_limits(spark, monkeypatch):
+    r = h.rng(8)
+    scored = [(i, r.choice(["en", "de", None, "fr"]) if i < 399 else "one", r.randrange(200) if i % 50 else 0) for i in range(400)]
+    scored = [(i, lang, n, -n * r.uniform(1.0, 2.0)) for i, lang, n in scored] + [(400, "new", 100, -185.0), (401, "new", 100, -400.0)]
+    monkeypatch.setattr(quality_kn, "score", lambda *a: spark.createDataFrame(scored, "doc_id long, lang string, n_symbols long, loglik double"))
+    docs = h.table(spark, ["some text"] * len(scored))
+    trusted = {i for i, *_ in scored if i < 400 and (i % 3 or i == 399)}
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i, *_ in scored], LABELS)
+    good = [x for x in scored if x[0] in trusted and x[2]]
+
+    def rate(rows):
+        return -sum(x[3] for x in rows) / sum(x[2] for x in rows)
+
+    langs = {lang: [x for x in good if x[1] == lang] for lang in {x[1] for x in good}}
+    mean = {lang: rate(rows) for lang, rows in langs.items()}
+
+    def value(x):
+        m = mean.get(x[1], rate(good))
+        return (-x[3] + quality_kn.PRIOR * m) / (x[2] + quality_kn.PRIOR)
+
+    def limit(rows):
+        v = sorted(value(x) for x in rows)
+        seen = v[math.ceil(quality_kn.QUANTILE * len(v)) - 1]
+        return max(seen, np.mean(v) + 2.575829303549 * np.std(v, ddof=1) * math.sqrt(1 + 1 / len(v))) if len(v) > 1 else seen
+
+    out = {x.doc_id: x for x in quality_kn.judge(docs, labels).collect()}
+    assert len(out) == len(scored)
+    for x in scored:
+        top = limit(langs.get(x[1], good))
+        assert out[x[0]].threshold == pytest.approx(math.exp(top)) and out[x[0]].perplexity == pytest.approx(math.exp(value(x)))
+        if abs(value(x) - top) > 1e-9:
+            assert out[x[0]].kept == (not x[2] or value(x) < top)
+    assert out[400].kept and not out[401].kept
 
 
 # secrets
