@@ -10,7 +10,8 @@ texts have equal likelihoods. The number of the model stands in the key of a gra
 
 Counts, contexts and back-off weights are tables joined by key. For scoring, documents are packed in chunks of at most
 ``CHUNK_BYTES`` (or one longer text); a chunk asks for its distinct grams, their log-probabilities are worked out once for
-all chunks, level by level, and come back to the chunk, which sums them over its documents.
+all chunks, level by level, and come back to the chunk (in units of 1 / ``UNIT``), which sums them over its documents.
+The texts of chunks are written in buckets and do not shuffle.
 
 A document's score is its mean negative log-probability, drawn toward its language's mean by ``PRIOR`` symbols so that
 short texts are not judged by chance. It is rejected above the ``QUANTILE`` of trusted texts of its language: the larger of
@@ -24,6 +25,7 @@ A model without any trusted text gives every symbol the same probability.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 from tallyframe.llm import bloom
 from tallyframe.llm.blocks import Block, blocks, hash_words, split_words
 from tallyframe.operators.skew import spread_join
-from tallyframe.session import cut_lineage
+from tallyframe.session import cut_lineage, scratch_dir
 
 ORDER = 5
 AGAIN, AGAIN_LONG = 256, 257
@@ -46,7 +48,10 @@ BITS = 9
 MODEL = BITS * ORDER  # bit of a key that tells the model
 BEGIN = 10
 SHORT = 3
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
+MAX_BUCKETS = 100_000  # the most that Spark takes; beyond, a bucket holds more chunks
+UNIT = 1 << 16
+ZSTD = 6
 PRIOR = 40
 QUANTILE = 0.995
 NORMAL = NormalDist().inv_cdf(QUANTILE)
@@ -72,13 +77,13 @@ def text_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return symbols[keep[:-1] > 0], place[offsets]
 
 
-def text_grams(data: np.ndarray, offsets: np.ndarray, models: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key of the gram ending at each symbol (line ends stand before a text), its text's number, and symbols per text."""
+def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram ending at each symbol (line ends stand before a text), its text's number, and symbols per text."""
     symbols, bounds = text_symbols(data, offsets)
     sizes = np.diff(bounds)
     s = symbols.astype(np.int64)
     text = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-    gram = s | np.repeat(models.astype(np.int64) << MODEL, sizes)
+    gram = s.copy()
     for back in range(1, ORDER):
         earlier = np.full(len(s), BEGIN, dtype=np.int64)
         if len(s) > back:
@@ -98,17 +103,18 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text_col):
-            models = block.rows.column(1).to_numpy(zero_copy_only=False)
-            found, n = np.unique(text_grams(block.data, block.offsets, models)[0], return_counts=True)
+            gram, text, _ = text_grams(block.data, block.offsets)
+            models = block.rows.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            found, n = np.unique(gram | models[text] << MODEL, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
     rows = docs.select(F.col(text_col), (1 - half(text_col)).alias("model"))
     return rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _suffix(gram: str, k: int) -> Column:
+def _suffix(gram: str, k: int, model: bool = True) -> Column:
     """Key of a gram's last ``k`` symbols."""
-    return F.col(gram).bitwiseAND(F.lit((1 << MODEL) | ((1 << BITS * k) - 1)))
+    return F.col(gram).bitwiseAND(F.lit((model << MODEL) | ((1 << BITS * k) - 1)))
 
 
 def _context(gram: str) -> Column:
@@ -177,24 +183,23 @@ def _by_count(d: list[float]) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-def _chunks(found: Iterator[Block]) -> Iterator[list[Block]]:
-    """Blocks of a task by chunk."""
-    group, size = [], 0
-    for block in found:
-        if group and size + len(block.data) > CHUNK_BYTES:
-            yield group
-            group, size = [], 0
-        group.append(block)
-        size += len(block.data)
-    if group:
-        yield group
+def _bucketed(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows written once to the shared folder in ``n`` buckets of ``key``: later grouping by it does not move them."""
+    spark = rows.sparkSession
+    path = scratch_dir(spark, "buckets")
+    name = f"buckets_{uuid.uuid4().hex}"
+    rows.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: ``id_col``, lang, n_symbols, loglik. ``counts`` are those of :func:`count_grams`."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), half(text_col).alias("half"), F.col(text_col).alias("text"))
     id_field = rows.schema["_id"]
-    longs, codec_level = pa.list_(pa.int64()), 1
+    longs = pa.list_(pa.int64())
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("texts", T.BinaryType()), T.StructField("offsets", T.ArrayType(T.LongType())),
         T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("langs", T.ArrayType(T.StringType())),
@@ -202,43 +207,59 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col:
     ])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, here = pa.Codec("zstd", codec_level), TaskContext.get().partitionId()
-        for k, group in enumerate(_chunks(blocks(batches))):
-            grams = None
-            chunk = (here << 32) + k
-            for i, block in enumerate(group):
-                new = np.unique(text_grams(block.data, block.offsets, block.rows.column(2).to_numpy(zero_copy_only=False))[0])
-                grams = new if grams is None else np.union1d(grams, new)
-                lists = [pa.array([block.rows.column(c).to_pylist()], pa.list_(block.rows.column(c).type)) for c in range(3)]
-                asked = pa.array([grams], longs) if i == len(group) - 1 else pa.array([None], longs)
-                blob = codec.compress(block.data.tobytes(), asbytes=True) if len(block.data) else b""
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()), pa.array([block.offsets.tolist()], longs), *lists, asked], names=schema.names
-                )
-
-    packed = cut_lineage(rows.mapInArrow(pack, schema))
-    asked = packed.where("grams is not null").select("chunk", F.explode("grams").alias("gram"))
+        codec, chunk, size = pa.Codec("zstd", ZSTD), TaskContext.get().partitionId() << 32, 0
+        grams = np.zeros(0, dtype=np.int64)
+
+        def row(blob, offsets, lists, asked) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()), pa.array([offsets], longs), *lists, pa.array([asked], longs)], names=schema.names)
+
+        types = [None, pa.string(), pa.int32()]
+        for block in blocks(batches):
+            types[0] = block.rows.column(0).type
+            if size and size + len(block.data) > CHUNK_BYTES:
+                yield row(None, None, [pa.array([None], pa.list_(t)) for t in types], grams)
+                chunk, size, grams = chunk + 1, 0, grams[:0]
+            size += len(block.data)
+            grams = np.union1d(grams, text_grams(block.data, block.offsets)[0])
+            blob = codec.compress(block.data.tobytes(), asbytes=True) if len(block.data) else b""
+            yield row(blob, block.offsets.tolist(), [pa.array([block.rows.column(c).to_pylist()], pa.list_(t)) for c, t in enumerate(types)], None)
+        if types[0] is not None:
+            yield row(None, None, [pa.array([None], pa.list_(t)) for t in types], grams)
+
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(rows.sparkSession.sparkContext.defaultParallelism, size // CHUNK_BYTES + 1), MAX_BUCKETS)
+    packed = _bucketed(rows.mapInArrow(pack, schema), buckets, "chunk")
+    asked = packed.where("grams is not null").select("chunk", F.posexplode("grams").alias("place", "gram"))
     wanted = cut_lineage(asked.select("gram").distinct())
-    answers = asked.join(log_probabilities(counts, wanted), "gram").select(F.col("chunk").alias("_chunk"), "gram", F.col("logp").cast("float").alias("logp"))
+    both = wanted.select(F.explode(F.array("gram", F.col("gram").bitwiseOR(F.lit(1 << MODEL)))).alias("gram"))
+    found = log_probabilities(counts, both)
+    # probabilities of both models in one number, each as a whole number of 1 / UNIT
+    cost = F.round(-F.col("logp") * UNIT).cast("long")
+    pair = found.groupBy(_suffix("gram", ORDER, model=False).alias("gram")).agg(F.sum(F.when(_model("gram") == 0, cost).otherwise(F.shiftleft(cost, 32))).alias("costs"))
+    answers = asked.join(pair, "gram").select(F.col("chunk").alias("_chunk"), "place", "costs")
     out = T.StructType([id_field, T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("loglik", T.DoubleType())])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        codec = pa.Codec("zstd", codec_level)
-        gram, logp = (right.column(c).to_numpy() for c in ("gram", "logp"))
-        order = np.argsort(gram)
-        gram, logp = gram[order], logp[order].astype(np.float64)
-        parts = []
-        for row in range(left.num_rows):
-            blob, offsets, ids, langs, halves = (left.column(c)[row] for c in ("texts", "offsets", "ids", "langs", "halves"))
+        codec, parts, gram = pa.Codec("zstd", ZSTD), [], None
+        lists = left.column("grams")
+        gram = next(x.values.to_numpy() for x in lists if x.is_valid)
+        costs = np.zeros((2, len(gram)), dtype=np.int64)
+        place, packed_costs = (right.column(c).to_numpy() for c in ("place", "costs"))
+        costs[0, place], costs[1, place] = packed_costs & 0xFFFFFFFF, packed_costs >> 32
+        for i in range(left.num_rows):
+            if lists[i].is_valid:
+                continue
+            blob, offsets, ids, langs, halves = (left.column(c)[i] for c in ("texts", "offsets", "ids", "langs", "halves"))
             offsets = offsets.values.to_numpy()
             raw = codec.decompress(blob.as_py(), int(offsets[-1]), asbytes=True) if offsets[-1] else b""
-            keys, text, sizes = text_grams(np.frombuffer(raw, dtype=np.uint8), offsets, halves.values.to_numpy())
-            sums = np.bincount(text, weights=logp[np.searchsorted(gram, keys)], minlength=len(sizes)) if len(keys) else np.zeros(len(sizes))
+            keys, text, sizes = text_grams(np.frombuffer(raw, dtype=np.uint8), offsets)
+            each = costs[halves.values.to_numpy()[text], np.searchsorted(gram, keys)]
+            sums = np.bincount(text, weights=each, minlength=len(sizes)) / -UNIT
             parts.append(pa.Table.from_arrays([ids.values, langs.values, pa.array(sizes.astype(np.int64)), pa.array(sums)], names=out.names))
-        return pa.concat_tables(parts)  # grams come with their chunk, so there are always rows
+        return pa.concat_tables(parts)
 
-    blocks_only = packed.select("chunk", "texts", "offsets", "ids", "langs", "halves")
-    return blocks_only.groupBy("chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(add, out).withColumnRenamed("_id", id_col)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(add, out).withColumnRenamed("_id", id_col)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -247,13 +268,24 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts of trusted ids. A Bloom filter of the ids goes first, so that few other texts shuffle."""
+    """Texts of trusted ids, hardly any of which shuffle.
+
+    A Bloom filter of the trusted ids lets all of them pass and a few others. Those others are found by their ids alone and
+    get a filter of their own: texts that pass the first and miss the second are trusted, those that hit both are joined.
+    """
     hashes = cut_lineage(trusted.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_h")))
-    blocks_n = bloom.block_count(hashes.count())
-    table = cut_lineage(bloom.build(hashes, "_h", blocks_n))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    maybe = bloom.flag(rows.withColumn("_h", F.xxhash64("_id")), "_h", table, blocks_n, "_maybe").where("_maybe")
-    return maybe.select("_id", "text").join(hashes.select("_id").hint("merge"), "_id", "left_semi").select("text")  # one way at all sizes
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_h"), F.col(text_col).alias("text"))
+    maybe = _hits(rows, hashes).where("_hit").drop("_hit")
+    wrong = cut_lineage(maybe.select("_id", "_h").distinct().join(hashes.select("_id").hint("merge"), "_id", "left_anti"))
+    split = _hits(maybe, wrong)
+    sure = split.where(~F.col("_hit")).select("text")
+    return sure.unionByName(split.where("_hit").join(hashes.select("_id").hint("merge"), "_id", "left_semi").select("text"))
+
+
+def _hits(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows with ``_hit``: whether a Bloom filter of the listed hashes ``_h`` holds theirs."""
+    n = bloom.block_count(listed.count())
+    return bloom.flag(rows, "_h", cut_lineage(bloom.build(listed, "_h", n)), n, "_hit")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
