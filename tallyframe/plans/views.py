@@ -23,6 +23,11 @@ def fill_slots(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of the rows: eight per split read, so that a task's share does not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * df.rdd.getNumPartitions())
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -30,7 +35,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def polls(spark: SparkSession, d: str) -> DataFrame:
     """One row per (poll, candidate): orders are polls, return flags are candidates."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity", "l_discount")
-    orders = table(spark, d, "orders")
+    parts = partitions_for(lines)
+    # Lines are summed to candidates before they meet their order; an order that comes n times counts its lines n times.
+    lines = lines.where(F.col("l_orderkey").isNotNull()).repartition(parts, "l_orderkey").groupBy("l_orderkey", "l_returnflag").agg(
+        F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
+    orders = table(spark, d, "orders").where(F.col("o_orderkey").isNotNull()).repartition(parts, "o_orderkey").groupBy(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("times"))
     buyers = table(spark, d, "customer").join(
         table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     ).select("c_custkey", "c_mktsegment", "n_name")
@@ -38,10 +48,10 @@ def polls(spark: SparkSession, d: str) -> DataFrame:
     state = F.col("o_orderstatus") == "F"
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_orderkey", "l_returnflag", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-        .agg(F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
+        .withColumn("qty", F.col("qty") * F.col("times"))
         .withColumn("total", F.sum("qty").over(Window.partitionBy("o_orderkey")))
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        .repartition(parts, "o_custkey")
+        .join(buyers.repartition(parts, "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_orderkey").alias("poll_id"),
             F.to_date("o_orderdate").alias("field_date"),
@@ -190,14 +200,13 @@ def draws(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     geo = F.col("g.geo")
 
+    nation = [(0.3 * hash_normal(F.lit(SEED), F.lit("nat"), key, F.lit(dim))).alias(f"n{dim}") for dim in (0, 1)]
+
     def latent(dim: int):
-        return (
-            F.col(f"g.m{dim}")
-            + 0.3 * hash_normal(F.lit(SEED), F.lit("nat"), key, F.lit(dim))
-            + 0.15 * hash_normal(F.lit(SEED), geo, key, F.lit(dim))
-        )
+        return F.col(f"g.m{dim}") + F.col(f"n{dim}") + 0.15 * hash_normal(F.lit(SEED), geo, key, F.lit(dim))
 
-    rows = fill_slots(table(spark, d, "orders").select(key)).select(key, F.explode(centers.scalar()).alias("g"))
+    # The national effect is drawn once per draw, before the draw unfolds to places.
+    rows = fill_slots(table(spark, d, "orders").select(key)).select(key, *nation).select(key, "n0", "n1", F.explode(centers.scalar()).alias("g"))
     rows = rows.select(key.alias("draw_id"), geo.alias("geo"),
                        F.exp(latent(0)).alias("e0"), F.exp(latent(1)).alias("e1"))
     total = F.col("e0") + F.col("e1") + 1.0
