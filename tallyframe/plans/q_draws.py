@@ -9,6 +9,7 @@ from tallyframe.operators.candidates import fallback_transfer, pair_features
 from tallyframe.plans import views as v
 from tallyframe.plans.q_scalars import R
 from tallyframe.plans.registry import query, r6
+from tallyframe.session import cut_lineage
 
 
 def r3(name):
@@ -184,7 +185,7 @@ def _(spark, d):
 WITH {SQL_RUN} SELECT candidate_id, {R("avg(CAST(rn = 1 AS DOUBLE))", "first_round_lead_probability")}, {R("avg(national_share)", "expected_first_round_share")}, {R("quantile_cont(national_share, 0.05e0)", "expected_first_round_share_low")},
  {R("quantile_cont(national_share, 0.95e0)", "expected_first_round_share_high")}, {R("avg(CAST(winner = candidate_id AS DOUBLE))", "win_probability")} FROM rk JOIN rw USING (draw_id) GROUP BY candidate_id""", ("draws", "turnout"))
 def _(spark, d):
-    nv = votes(spark, d)
+    nv = cut_lineage(votes(spark, d))  # the first round and the runoff read it
     s = dr.candidate_summary(nv, dr.runoff(nv, transfer_pairs(spark, d), ["race"]), ["race"])
     return s.select("candidate_id", r6("first_round_lead_probability"), r6("expected_first_round_share"), r6("expected_first_round_share_low"),
                     r6("expected_first_round_share_high"), r6("win_probability"))
@@ -206,7 +207,7 @@ def _(spark, d):
 WITH {SQL_RUN}, x AS (SELECT total / (SELECT sum(rv) FROM el) AS t, vs * pz / total AS ab FROM rw)
 SELECT {R("avg(t)", "turnout_national_mean")}, {R("quantile_cont(t, 0.05e0)", "turnout_national_low")}, {R("quantile_cont(t, 0.95e0)", "turnout_national_high")}, {R("avg(ab)", "runoff_additional_abstention")} FROM x""", ("draws", "turnout"))
 def _(spark, d):
-    nv = votes(spark, d)
+    nv = cut_lineage(votes(spark, d))  # the first round and the runoff read it
     t = dr.turnout_diagnostics(nv, dr.runoff(nv, transfer_pairs(spark, d), ["race"]), electorate(spark, d), ["race"])
     return t.select(r6("turnout_national_mean"), r6("turnout_national_low"), r6("turnout_national_high"), r6("runoff_additional_abstention"))
 
