@@ -167,15 +167,16 @@ def _(spark, d):
     as_of = date(1998, 1, 1)
     p = stored_polls(spark, d).where(F.col("field_date").between(F.lit(date(1997, 10, 1)), F.lit(as_of))).withColumn("election_id", F.lit("E98")).withColumn("as_of", F.lit(as_of))
     p = cut_lineage(complete_polls(p, ["election_id"]))  # the fit refuses incomplete polls; P08_incomplete_polls lists them
-    r = with_vote_share(v.results(spark, d).where(F.col("year") == 1997), ["year", "uf"]).withColumn("election_id", F.lit("E98"))
+    # Votes are written before their names are normalised, else the optimizer normalises the name of every line.
+    r = cut_lineage(with_vote_share(v.results(spark, d).where(F.col("year") == 1997), ["year", "uf"]).withColumn("election_id", F.lit("E98")))
     cand = p.select("election_id", "candidate_id", "candidate_name").distinct()
-    priors = build_state_priors(r, cand, ["election_id"], states_only=False).join(
-        v.turnout(spark, d).where(F.col("year") == 1997).select("uf", F.col("eligible").cast("bigint").alias("registered_voters")), "uf")
+    priors = cut_lineage(build_state_priors(r, cand, ["election_id"], states_only=False).join(
+        v.turnout(spark, d).where(F.col("year") == 1997).select("uf", F.col("eligible").cast("bigint").alias("registered_voters")), "uf"))
     f = v.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("candidate_id")).agg(
         (F.avg("l_tax") * 1000).alias("rejection"), (F.avg("l_linenumber") - 4).alias("ideology_score"), F.max("l_linestatus").alias("bloc"), F.lit(0).alias("incumbency"),
         (F.avg("l_quantity") + 8).alias("search_share"), (F.avg("l_discount") - 0.05).alias("media_sentiment"), F.lit(0.8).alias("search_reliability"), F.lit(0.7).alias("sentiment_reliability"),
         F.lit(0.1).alias("search_anomaly_score"), F.lit(0.2).alias("sentiment_anomaly_score"), F.lit(0.0).alias("late_decider_score"))
-    f = f.withColumn("election_id", F.lit("E98")).withColumn("candidate_name", F.concat(F.lit("Candidate "), "candidate_id"))
+    f = cut_lineage(f.withColumn("election_id", F.lit("E98")).withColumn("candidate_name", F.concat(F.lit("Candidate "), "candidate_id")))
     model = rg.fit_winner(structural(spark, d), FEATURES)
     out = jobs.predict(p, f, ["election_id"], "as_of", model, 2000, 42, priors)
     return out.candidates.select("candidate_id", r6("poll_mean"), r6("ml_probability"), r6("first_round_lead_probability"), r6("win_probability"), r6("expected_first_round_share"))

@@ -1,11 +1,13 @@
 """Steps whose cost per task or per row must not grow with the tables; tables are built here."""
 
 import re
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tallyframe.operators import priors, snapshots as sn
 from tallyframe.plans import q_draws, views as v
 
 
@@ -69,3 +71,32 @@ def test_votes_are_counted_once_for_both_rounds(spark, tables, monkeypatch, name
     monkeypatch.setattr(q_draws.dr, "runoff", lambda votes, pairs, keys, run=q_draws.dr.runoff: written.append(votes) or run(votes, pairs, keys))
     __spark_entry__.queries()[name](spark, tables)
     assert "Join" not in written[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prediction_stores_the_votes_before_names_are_normalised(spark, tables, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    def stop(previous, *args, **kwargs):
+        raise Enough(previous._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(priors, "build_state_priors", stop)
+    with pytest.raises(Enough) as plan:
+        __spark_entry__.queries()["D17_predict"](spark, tables)
+    assert "Aggregate" not in str(plan.value)
+
+
+def test_slates_are_found_in_dealt_shares_of_the_polls(spark, tmp_path):
+    """The polls are dealt once per reading, by poll; no later step deals their rows or groups them over whole splits."""
+    day = F.lit("2000-12-20").cast("date")
+    polls = spark.range(63).select(
+        F.when(F.col("id") < 60, F.col("id") % 20).alias("poll_id"), F.element_at(F.array(*[F.lit(x) for x in "ANR"]), (F.col("id") / 20).cast("int") % 3 + 1).alias("candidate_id"),
+        day.alias("field_date"), F.col("id").alias("row"))
+    polls.unionByName(polls.where("row = 4")).where("row <> 25").write.parquet(f"{tmp_path}/polls")
+    snaps = sn.build_snapshots(spark.read.parquet(f"{tmp_path}/polls"), [(2001, date(2001, 1, 1), None, None)], (3, 1))
+    plan = snaps._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((\w+)#", plan).count("poll_id") == 2
+    assert "poll_id" not in "".join(re.findall(r"hashpartitioning\(_\w+#\d+, [^)]*\)", plan))
+    rows = snaps.select("poll_id", "days_before_election", "row").collect()
+    whole = [i for i in range(20) if i != 5]  # poll 5 lacks a candidate; three rows have no poll
+    assert {r["poll_id"] for r in rows} == set(whole) and len(rows) == 2 * (3 * len(whole) + 1)
