@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import col_of
-from tallyframe.operators.skew import spread_join
+from tallyframe.operators.skew import partitions_for, spread_join
 from tallyframe.session import cut_lineage
 
 # The default horizons in days before the election.
@@ -97,35 +97,38 @@ def build_snapshots(
 ) -> DataFrame:
     """All snapshots of all elections in one job; the horizon is a column.
 
-    A poll row meets its horizons by a hash join with the days of the calendar.
-    Only (poll, candidate, date) keys are shuffled to find slates; the latest
-    slate per horizon is at most one row per calendar entry and therefore safe
-    to broadcast.
+    The polls (a stored table: it is read twice, and its splits are counted) are dealt by poll before they meet their
+    horizons by a hash join with the days of the calendar. So the slates of a poll are found in one task, whose share
+    does not grow with the table, and nothing is grouped over whole splits. The latest slate per horizon is at most
+    one row per calendar entry and therefore safe to broadcast.
     """
-    rows = match_horizons(polls.withColumn("field_date", F.to_date("field_date")), elections, offsets, max_age, election_column)
     key = ["_year", "_days"]
-    rows = rows.withColumnRenamed("horizon", "_h").withColumn("_year", F.col("_h.election_year")).withColumn("_days", F.col("_h.days"))
+    parts = partitions_for(polls)
+
+    def matched(df: DataFrame) -> DataFrame:
+        dealt = df.withColumn("field_date", F.to_date("field_date")).repartition(parts, "poll_id")
+        rows = match_horizons(dealt, elections, offsets, max_age, election_column).withColumnRenamed("horizon", "_h")
+        return rows.withColumn("_year", F.col("_h.election_year")).withColumn("_days", F.col("_h.days"))
+
     slates = (
-        rows.groupBy(*key, "poll_id", "candidate_id").agg(F.max("field_date").alias("field_date"))
+        matched(polls).groupBy(*key, "poll_id", "candidate_id").agg(F.max("field_date").alias("field_date"))
         .groupBy(*key, "poll_id")
         .agg(F.array_sort(F.collect_list(F.col("candidate_id").cast("string"))).alias("signature"),
              F.max("field_date").alias("_day"))
     )
-    latest = slates.groupBy(*key).agg(F.max_by("signature", F.struct("_day", "poll_id")).alias("signature"))
-    compatible = slates.join(F.broadcast(latest), [*key, "signature"], "left_semi").where(
-        F.size("signature") >= 2
-    ).select(
-        *key, "poll_id",
-        F.substring(F.sha1(F.array_join("signature", "|")), 1, 12).alias("candidate_slate_hash"),
-    )
+    latest = slates.groupBy(*key).agg(F.max_by("signature", F.struct("_day", "poll_id")).alias("_signature"))
+    names = F.collect_set(F.col("candidate_id").cast("string")).over(Window.partitionBy(*key, "poll_id"))
+    signed = matched(polls.where(F.col("poll_id").isNotNull())).withColumn("_signature", F.array_sort(names))
     return (
-        rows.join(compatible, [*key, "poll_id"])
+        signed.where(F.size("_signature") >= 2)
+        .join(F.broadcast(latest), [*key, "_signature"], "left_semi")
+        .withColumn("candidate_slate_hash", F.substring(F.sha1(F.array_join("_signature", "|")), 1, 12))
         .withColumn("election_year", F.col("_year"))
         .withColumn("days_before_election", F.col("_days"))
         .withColumn("snapshot_date", F.col("_h.cutoff"))
         .withColumn("election_date", F.col("_h.election_date"))
         .withColumn("scorable", F.col("_h.scorable"))
-        .drop("_h", *key)
+        .drop("_h", "_signature", *key)
     )
 
 

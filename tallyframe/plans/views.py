@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numeric import hash_normal
+from tallyframe.operators.skew import partitions_for
 
 SEED = 42
 
@@ -23,11 +24,6 @@ def fill_slots(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Partitions for a shuffle of the rows: eight per split read, so that a task's share does not grow with the table."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * df.rdd.getNumPartitions())
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
