@@ -42,8 +42,9 @@ def study_inputs(polls: DataFrame, results: DataFrame, elections: Sequence[tuple
     """
     snaps = cut_lineage(sn.build_snapshots(polls, elections, offsets))
     columns = [*KEYS, "candidate_id", "candidate_name"] + (["party"] if "party" in snaps.columns else [])
-    candidates = snaps.select(*columns).distinct()
-    dates = snaps.select(*KEYS, "snapshot_date", "scorable").distinct()
+    # Written before names are normalised, else the optimizer normalises the name of every poll row.
+    candidates = cut_lineage(snaps.select(*columns).distinct())
+    dates = cut_lineage(snaps.select(*KEYS, "snapshot_date", "scorable").distinct())
     first_round = results.where(F.col("round") == 1)
     # Votes per (year, place, candidate) are few; they are copied to the horizons, polls are not.
     votes = cut_lineage(first_round.groupBy("year", "round", "uf", "candidate_name", "party").agg(F.sum("votes").alias("votes")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallyframe.operators import priors, snapshots as sn
-from tallyframe.plans import q_draws, views as v
+from tallyframe.plans import jobs, q_draws, views as v
 
 
 @pytest.fixture()
@@ -100,3 +100,13 @@ def test_slates_are_found_in_dealt_shares_of_the_polls(spark, tmp_path):
     rows = snaps.select("poll_id", "days_before_election", "row").collect()
     whole = [i for i in range(20) if i != 5]  # poll 5 lacks a candidate; three rows have no poll
     assert {r["poll_id"] for r in rows} == set(whole) and len(rows) == 2 * (3 * len(whole) + 1)
+
+
+def test_studies_store_their_candidates_before_names_are_normalised(spark, tables):
+    polls = spark.read.parquet(f"{tables}/orders.parquet").select(
+        F.col("o_orderkey").alias("poll_id"), F.lit("1997-12-20").cast("date").alias("field_date"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("candidate_id"))
+    polls = polls.withColumn("candidate_name", F.concat(F.lit("Candidate "), "candidate_id"))
+    made = jobs.study_inputs(polls, v.results(spark, tables), [(1998, date(1998, 1, 1), None, None)], (3, 1), states_only=False)
+    assert made.candidates.count() == 4 and made.dates.count() == 2
+    for df in (made.candidates, made.dates):
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
