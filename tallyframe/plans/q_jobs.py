@@ -97,8 +97,8 @@ FROM pl JOIN dm USING (election_year, days)
 UNION ALL SELECT DISTINCT tm.election_year, tm.days, response, term, dim, 0e0 FROM tm JOIN dm USING (election_year, days)"""
 
 
-def _system(spark, d, calibration=None):
-    fit = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date", calibration=calibration)
+def _system(spark, d, calibration=None, polls=None):
+    fit = ft.fit_snapshots(stored_snapshots(spark, d, polls), KEYS, "snapshot_date", calibration=calibration)
     cells, terms = ft.normal_residuals(fit, KEYS, calibration)
     rk = [*KEYS, "response"]
     name = F.concat_ws("|", F.lit("cell"), "institute", "uf", F.col("day").cast("string"))
@@ -114,13 +114,16 @@ def _(spark, d):
 @query("E02_calibrated_residuals", SQL_SYSTEM, ("polls",))
 def _(spark, d):
     from tallyframe.operators.calibration import pollster_calibration
-    return _system(spark, d, pollster_calibration(calibration_input(spark, d)))
+    polls = stored_polls(spark, d)
+    return _system(spark, d, pollster_calibration(calibration_input(spark, d, polls)), polls)
 
 
 @query("E02_calibrated_reliability")
 def _(spark, d):
     from tallyframe.operators.calibration import pollster_calibration
-    rel = ft.fit_snapshots(stored_snapshots(spark, d), KEYS, "snapshot_date", calibration=pollster_calibration(calibration_input(spark, d))).reliability
+    polls = stored_polls(spark, d)
+    calibration = pollster_calibration(calibration_input(spark, d, polls))
+    rel = ft.fit_snapshots(stored_snapshots(spark, d, polls), KEYS, "snapshot_date", calibration=calibration).reliability
     return rel.select(*KEYS, "institute", r6("reliability"))
 
 

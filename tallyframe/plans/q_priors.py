@@ -97,9 +97,9 @@ def _(spark, d):
 # ---- pollster calibration -------------------------------------------------------
 
 
-def calibration_input(spark, d):
+def calibration_input(spark, d, polls=None):
     """Polls beside the mean share of their year and candidate, which stands in for the result."""
-    p = stored_polls(spark, d).withColumn("election_id", F.year("field_date"))
+    p = (stored_polls(spark, d) if polls is None else polls).withColumn("election_id", F.year("field_date"))
     res = p.groupBy("election_id", "candidate_id").agg(F.avg("share").alias("result_share"))
     return p.withColumnRenamed("share", "poll_share").join(res, ["election_id", "candidate_id"])
 

@@ -34,12 +34,12 @@ def stored_polls(spark, d):
     return cut_lineage(v.polls(spark, d))
 
 
-def snapshots(spark, d):
-    return sn.build_snapshots(stored_polls(spark, d), CALENDAR)
+def snapshots(spark, d, polls=None):
+    return sn.build_snapshots(stored_polls(spark, d) if polls is None else polls, CALENDAR)
 
 
-def stored_snapshots(spark, d):
-    return cut_lineage(snapshots(spark, d))
+def stored_snapshots(spark, d, polls=None):
+    return cut_lineage(snapshots(spark, d, polls))
 
 
 @query("B01_build_snapshots", f"""WITH {SQL_SNAP} SELECT election_year, days AS days_before_election, poll_id, candidate_id, strftime(cutoff, '%Y-%m-%d') AS snapshot_date,
