@@ -77,14 +77,21 @@ def add_predictive_error(draws: DataFrame, roots: DataFrame, keys: Sequence[str]
     has no row and keeps weight one.
     """
     keys = list(keys)
-    z = normals(seed, F.size("root"), *[F.col(k) for k in keys], F.col("draw_id"))
-    shock = F.aggregate(F.zip_with("root", z, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     out = join_dimension(draws, roots, [*keys, "candidate_id"], ["draw_id", "geo"], "left")
+    # One row of a draw makes its normals, the others take them over: normals per row were most of the work.
+    draw = Window.partitionBy(*keys, "draw_id")
+    line = draw.orderBy("geo")
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = out.withColumn("_at", F.row_number().over(line)).withColumn("_dims", F.max(F.size("root")).over(whole))
+    z = F.when((F.col("_at") == 1) & (F.col("_dims") > 0), normals(seed, F.col("_dims"), *[F.col(k) for k in keys], F.col("draw_id")))
+    out = out.withColumn("_z", F.max(z).over(draw))
+    own = F.slice("_z", 1, F.greatest(F.size("root"), F.lit(0)))
+    shock = F.aggregate(F.zip_with("root", own, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     base = closed(F.greatest(F.col("share") / 100.0, F.lit(1e-6)), [*keys, "draw_id", "geo"])
     weight = base * F.exp(F.when(F.col("root").isNotNull(), shock).otherwise(F.lit(0.0)))
     return out.withColumn("_w", weight).withColumn(
         "share", closed(F.col("_w"), [*keys, "draw_id", "geo"]) * 100.0
-    ).drop("_w", "root")
+    ).drop("_w", "root", "_at", "_dims", "_z")
 
 
 def blend_state_prior(
@@ -354,7 +361,7 @@ def score_draws(draws: DataFrame, actual: DataFrame, keys: Sequence[str]) -> Dat
     keys = list(keys)
     place = [*keys, "geo"]
     closed_draws = draws.withColumn(
-        "share", closed(F.greatest(F.col("share"), F.lit(1e-9)), [*place, "draw_id"]) * 100.0
+        "share", closed(F.greatest(F.col("share"), F.lit(1e-9)), [*keys, "draw_id", "geo"]) * 100.0  # in the order of the steps before
     )
     s = posterior_summary(closed_draws, keys)
     on = [c for c in actual.columns if c != "actual_share"]

@@ -16,7 +16,7 @@ from tallyframe.functions.compose import closed
 from tallyframe.functions.numeric import METHODS
 from tallyframe.operators import baselines as bl, candidates as cd, draws as dr, fits as ft
 from tallyframe.operators import priors as pr, regression as rg, results as rs, scoring as sc, snapshots as sn
-from tallyframe.operators.skew import join_dimension
+from tallyframe.operators.skew import join_dimension, spread_work
 from tallyframe.session import cut_lineage
 
 KEYS = ["election_year", "days_before_election"]
@@ -92,6 +92,8 @@ def fitted_draws(inputs: Inputs, n: int, seed: int) -> tuple[DataFrame, DataFram
 def predictive_draws(draws: DataFrame, roots: DataFrame, counts: DataFrame, priors: DataFrame, slate: DataFrame, seed: int, variant: str | None = None) -> DataFrame:
     """Draws blended with state priors and given their predictive error, per prior variant if there is one."""
     keys = KEYS if variant is None else [*KEYS, variant]
+    # Dealt by draw before the variants copy them: every later step groups within a draw and needs no further shuffle.
+    draws = spread_work(draws, *KEYS, "draw_id")
     if variant is not None:
         names = priors.select(*keys).distinct()
         draws = join_dimension(draws, names.groupBy(*KEYS).agg(F.collect_list(variant).alias("_v")), KEYS, ["draw_id", "geo"])

@@ -1,5 +1,6 @@
 """Steps whose cost per task or per row must not grow with the tables; tables are built here."""
 
+import math
 import re
 from datetime import date
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyframe.operators import priors, snapshots as sn
+from tallyframe.operators import draws as dr, priors, snapshots as sn
 from tallyframe.plans import jobs, q_draws, views as v
 
 
@@ -110,3 +111,35 @@ def test_studies_store_their_candidates_before_names_are_normalised(spark, table
     assert made.candidates.count() == 4 and made.dates.count() == 2
     for df in (made.candidates, made.dates):
         assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draws_are_dealt_once_for_all_variants_and_share_the_normals_of_their_draw(spark):
+    keys, n = jobs.KEYS, 6
+    key = spark.createDataFrame([(1999, 7), (1999, 15)], "election_year int, days_before_election int")
+    names = [("A", [0.3, 0.0]), ("B", [0.1, 0.2])]
+    ids = F.explode(F.array(*[F.lit(x) for x in "ABC"]))
+    draws = key.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).withColumn(
+        "geo", F.explode(F.array(F.lit("SP"), F.lit("BR")))).withColumn("candidate_id", ids)
+    draws = draws.withColumn("share", F.lit(20.0) + F.pmod(F.xxhash64("geo", "candidate_id", "draw_id"), F.lit(50)))
+    roots = key.crossJoin(spark.createDataFrame(names, "candidate_id string, root array<double>"))
+    counts = key.select("*", F.lit("SP").alias("uf"), F.lit(2).alias("polls"))
+    priors = key.select("*", F.lit("SP").alias("uf"), F.lit(1 / 3).alias("prior_share"), F.lit(1 / 3).alias("national_prior_share"), F.lit(2.0).alias("prior_strength")).withColumn(
+        "candidate_id", ids).withColumn("model", F.explode(F.array(F.lit("full"), F.lit("neutral"))))
+    slate = draws.select(*keys, "candidate_id").distinct()
+    out = jobs.predictive_draws(draws, roots, counts, priors, slate, 5, "model")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(dealt) == 1 and "draw_id" in dealt[0] and "model" not in dealt[0]
+    names = priors.select(*keys, "model").distinct()
+    blended = dr.blend_state_prior(draws.join(names, keys), priors, counts.join(names, keys), [*keys, "model"], slate.join(names, keys))
+    z = dr.normals(5, F.lit(2), *[F.col(k) for k in [*keys, "model"]], F.col("draw_id"))
+    rows = blended.join(roots, [*keys, "candidate_id"], "left").withColumn("z", z).collect()
+    want = {}
+    for r in rows:
+        e = math.exp(sum(a * b for a, b in zip(r["root"] or [], r["z"])))
+        want.setdefault((r["days_before_election"], r["model"], r["draw_id"], r["geo"]), {})[r["candidate_id"]] = r["share"] * e
+    got = out.collect()
+    assert len(got) == len(rows) == 2 * 2 * n * 2 * 3
+    for r in got:
+        w = want[r["days_before_election"], r["model"], r["draw_id"], r["geo"]]
+        assert r["share"] == pytest.approx(100 * w[r["candidate_id"]] / sum(w.values()), rel=1e-12)
