@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import baselines as bl, calibration as ca, priors as pr, polls as po, results as rs
+from tallyframe.operators.skew import join_dimension
 from tallyframe.plans import views as v
 from tallyframe.plans.q_scalars import R
 from tallyframe.plans.q_scores import SQL_SNAP, stored_polls, stored_snapshots
@@ -98,10 +99,13 @@ def _(spark, d):
 
 
 def calibration_input(spark, d, polls=None):
-    """Polls beside the mean share of their year and candidate, which stands in for the result."""
+    """Polls beside the mean share of their year and candidate, which stands in for the result.
+
+    The means are counted before they are broadcast: a year and candidate owns a large part of all polls, too much to sort in one task.
+    """
     p = (stored_polls(spark, d) if polls is None else polls).withColumn("election_id", F.year("field_date"))
     res = p.groupBy("election_id", "candidate_id").agg(F.avg("share").alias("result_share"))
-    return p.withColumnRenamed("share", "poll_share").join(res, ["election_id", "candidate_id"])
+    return join_dimension(p.withColumnRenamed("share", "poll_share"), res, ["election_id", "candidate_id"], ["poll_id"])
 
 
 SQL_CAL = """ci AS (SELECT *, CAST(year(field_date) AS INTEGER) AS election_id, avg(share) OVER (PARTITION BY year(field_date), candidate_id) AS result_share FROM polls),

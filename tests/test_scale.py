@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import defaultdict
 from datetime import date
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallyframe.operators import draws as dr, priors, snapshots as sn
-from tallyframe.plans import jobs, q_draws, views as v
+from tallyframe.plans import jobs, q_draws, q_priors, views as v
 
 
 @pytest.fixture()
@@ -143,3 +144,17 @@ def test_draws_are_dealt_once_for_all_variants_and_share_the_normals_of_their_dr
     for r in got:
         w = want[r["days_before_election"], r["model"], r["draw_id"], r["geo"]]
         assert r["share"] == pytest.approx(100 * w[r["candidate_id"]] / sum(w.values()), rel=1e-12)
+
+
+def test_calibration_does_not_sort_polls_by_year_and_candidate(spark, tables):
+    made = q_priors.calibration_input(spark, tables)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    shares = defaultdict(list)
+    for r in v.polls(spark, tables).collect():
+        shares[r["field_date"].year, r["candidate_id"]].append(r["share"])
+    rows = made.collect()
+    assert len(rows) == sum(map(len, shares.values()))
+    for r in rows:
+        x = shares[r["election_id"], r["candidate_id"]]
+        assert r["result_share"] == pytest.approx(sum(x) / len(x))
