@@ -97,38 +97,54 @@ def build_snapshots(
 ) -> DataFrame:
     """All snapshots of all elections in one job; the horizon is a column.
 
-    The polls (a stored table: it is read twice, and its splits are counted) are dealt by poll before they meet their
-    horizons by a hash join with the days of the calendar. So the slates of a poll are found in one task, whose share
-    does not grow with the table, and nothing is grouped over whole splits. The latest slate per horizon is at most
-    one row per calendar entry and therefore safe to broadcast.
+    The latest poll of a horizon is the greatest poll_id of its latest day, a maximum that combines on the map side; only
+    rows of those polls (one per calendar entry) are grouped for their slate, so it is safe to broadcast. The polls (a
+    stored table: it is read several times, and its splits are counted) are dealt by poll and gather their candidates once,
+    before they meet their horizons by a hash join with the days of the calendar. So a task's share does not grow with
+    the table, and no copy of a row is sorted or grouped.
     """
     key = ["_year", "_days"]
     parts = partitions_for(polls)
+    polls = polls.withColumn("field_date", F.to_date("field_date"))
+    day = ["field_date"] if election_column is None else ["field_date", election_column]
 
     def matched(df: DataFrame) -> DataFrame:
-        dealt = df.withColumn("field_date", F.to_date("field_date")).repartition(parts, "poll_id")
-        rows = match_horizons(dealt, elections, offsets, max_age, election_column).withColumnRenamed("horizon", "_h")
+        rows = match_horizons(df, elections, offsets, max_age, election_column).withColumnRenamed("horizon", "_h")
         return rows.withColumn("_year", F.col("_h.election_year")).withColumn("_days", F.col("_h.days"))
 
-    slates = (
-        matched(polls).groupBy(*key, "poll_id", "candidate_id").agg(F.max("field_date").alias("field_date"))
-        .groupBy(*key, "poll_id")
-        .agg(F.array_sort(F.collect_list(F.col("candidate_id").cast("string"))).alias("signature"),
-             F.max("field_date").alias("_day"))
+    last = matched(polls.groupBy(*day).agg(F.max("poll_id").alias("poll_id"))).groupBy(*key).agg(F.max(F.struct("field_date", "poll_id")).alias("_last"))
+    last = last.select(*[F.col(k).alias(f"_l{k}") for k in key], F.col("_last.poll_id").alias("_poll"))
+    same_poll = F.col("poll_id").eqNullSafe(F.col("_poll"))
+    same = (F.col("_year") == F.col("_l_year")) & (F.col("_days") == F.col("_l_days")) & same_poll
+    own = polls.select(*day, "poll_id", "candidate_id").join(F.broadcast(last.select("_poll").distinct()), same_poll, "left_semi").repartition("poll_id")
+    slates = matched(own).join(F.broadcast(last), same, "left_semi").select(*key, "poll_id", "candidate_id").distinct()
+    latest = (
+        slates.groupBy(*key, "poll_id").agg(F.array_sort(F.collect_list(F.col("candidate_id").cast("string"))).alias("_signature"))
+        .where(F.size("_signature") >= 2)
+        .select(*key, "_signature", F.substring(F.sha1(F.array_join("_signature", "|")), 1, 12).alias("_hash"))
     )
-    latest = slates.groupBy(*key).agg(F.max_by("signature", F.struct("_day", "poll_id")).alias("_signature"))
-    names = F.collect_set(F.col("candidate_id").cast("string")).over(Window.partitionBy(*key, "poll_id"))
-    signed = matched(polls.where(F.col("poll_id").isNotNull())).withColumn("_signature", F.array_sort(names))
+    name = F.col("candidate_id").cast("string")
+    seen = F.collect_set(F.struct(*day, name.alias("_name"))).over(Window.partitionBy("poll_id"))
+    dealt = polls.where(F.col("poll_id").isNotNull()).repartition(parts, "poll_id").withColumn("_seen", F.sort_array(seen))
+    # A poll of one day has one slate; one of several days has, per horizon, the candidates of the days in its window.
+    ends = [F.struct(*[F.element_at("_seen", i)[c] for c in day]) for i in (1, -1)]
+    one = ends[0].eqNullSafe(ends[1]) & F.element_at("_seen", 1)["_name"].isNotNull()  # a null name is the first of its day
+
+    def held(x: Column) -> Column:
+        inside = in_age_window(x["field_date"], F.col("_h.cutoff"), max_age) & x["_name"].isNotNull()
+        return inside if election_column is None else inside & (x[election_column] == F.col("_h.election_year"))
+
+    part = F.sort_array(F.array_distinct(F.transform(F.filter("_seen", held), lambda x: x["_name"])))
+    signed = matched(dealt).withColumn("_signature", F.when(one, F.col("_seen._name")).otherwise(part))
     return (
-        signed.where(F.size("_signature") >= 2)
-        .join(F.broadcast(latest), [*key, "_signature"], "left_semi")
-        .withColumn("candidate_slate_hash", F.substring(F.sha1(F.array_join("_signature", "|")), 1, 12))
+        signed.join(F.broadcast(latest), [*key, "_signature"])
+        .withColumn("candidate_slate_hash", F.col("_hash"))
         .withColumn("election_year", F.col("_year"))
         .withColumn("days_before_election", F.col("_days"))
         .withColumn("snapshot_date", F.col("_h.cutoff"))
         .withColumn("election_date", F.col("_h.election_date"))
         .withColumn("scorable", F.col("_h.scorable"))
-        .drop("_h", "_signature", *key)
+        .drop("_h", "_hash", "_signature", "_seen", *key)
     )
 
 

@@ -3,7 +3,7 @@
 import math
 import re
 from collections import defaultdict
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +158,26 @@ def test_calibration_does_not_sort_polls_by_year_and_candidate(spark, tables):
     for r in rows:
         x = shares[r["election_id"], r["candidate_id"]]
         assert r["result_share"] == pytest.approx(sum(x) / len(x))
+
+
+def test_snapshots_do_not_sort_the_copies_of_a_poll(spark, tmp_path):
+    """A poll of several days has, per horizon, the slate of the days in its window; no row is sorted per horizon."""
+    election, offsets = date(2001, 1, 1), (120, 60, 30, 1)
+    first = date(2000, 6, 1)
+    rows = [(i % 23 if i % 17 else None, "ABC"[i % 3] if i % 19 else None, first + timedelta(days=9 * (i % 23) + 40 * (i % 4 == 0)), i) for i in range(150)]
+    rows += [(22, c, date(2000, 12, 31), 200 + i) for i, c in enumerate("AB")] + [(21, "A", None, 300)]
+    spark.createDataFrame(rows, "poll_id long, candidate_id string, field_date date, row int").write.parquet(f"{tmp_path}/polls")
+    snaps = sn.build_snapshots(spark.read.parquet(f"{tmp_path}/polls"), [(2001, election, None, None)], offsets)
+    want = set()
+    for days in offsets:
+        cutoff, slates, last = election - timedelta(days=days), defaultdict(set), defaultdict(lambda: date.min)
+        held = [r for r in rows if r[2] is not None and cutoff - timedelta(days=90) <= r[2] <= cutoff]
+        for poll, name, day, _ in held:
+            slates[poll] |= {name} - {None}
+            last[poll] = max(last[poll], day)
+        latest = slates[max(last, key=lambda p: (last[p], -1 if p is None else p))]
+        want |= {(days, i) for poll, _, _, i in held if poll is not None and slates[poll] == latest and len(latest) > 1}
+    got = [(r["days_before_election"], r["row"]) for r in snaps.collect()]
+    assert want and len({d for d, _ in want}) > 1 and sorted(got) == sorted(want)
+    plan = snaps._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"windowspecdefinition\((\w+)#", plan)) == {"poll_id"}
