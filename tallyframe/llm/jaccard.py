@@ -2,9 +2,9 @@
 
 1. Shingle sets are made per text and equal sets become one class; the rest concerns classes only.
 2. Each class puts the first ``n - T + 1`` of its shingles (T: the least overlap with any partner) into inverted lists,
-   in a common order that has frequent shingles last. Lists of up to ``LIST`` classes give candidate pairs, counted
-   over all lists; a pair goes on if its count and what may follow reach the required overlap. A longer list links its
-   classes to one of them without a test, so candidates grow with the list and none is lost.
+   in a common order that has frequent shingles last, by their counts over all texts. Lists of up to ``LIST`` classes give
+   candidate pairs, counted over all lists; a pair goes on if its count and what may follow reach the required overlap.
+   A longer list links its classes to one of them without a test, so candidates grow with the list and none is lost.
 3. Components of candidates are clusters. The sets of a cluster meet in one task, up to ``BLOCK`` of them, and are
    searched by T-occurrence with DivideSkip: a query's short lists are merged and counted, candidates that can still
    reach T are probed in its long lists by binary search. Candidates already linked with the query are skipped, as
@@ -40,13 +40,17 @@ from tallyframe.session import cut_lineage
 
 LIST = 64
 WINDOW = 1 << 20
-HOT_LOCAL = 3
-HOT_KEYS = 1 << 19
+OFTEN = 8
+HOT_KEYS = 1 << 21
+COUNT_BITS = 40
+COUNT_SHARD = 1 << 22  # shingles per shard of the counts
 BLOCK = 4096
 PROBES = 64
 MANY = 1 << 30
 SKIP = 0.03
 
+_UNCOUNTED = np.uint64(64 - COUNT_BITS)
+
 
 def required(n: int) -> int:
     """Least overlap of a set of ``n`` with any partner."""
@@ -64,73 +68,107 @@ def set_marks(s: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: _id, n, f1, f2; and on some rows shingles that are frequent nearby, with their counts."""
+    """Per document: _id, n, f1, f2."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     schema = T.StructType([
         rows.schema["_id"], T.StructField("n", T.IntegerType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
-        T.StructField("hot", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: dict[tuple[int, int], np.ndarray] = {}
-        held = 0
-        ready: list[tuple[list[int], list[int]]] = []
-
-        def close() -> None:
-            if window:
-                keys, times = np.unique(np.concatenate(list(window.values())), return_counts=True)
-                often = times >= HOT_LOCAL
-                if often.any():
-                    ready.append((keys[often].view(np.int64).tolist(), times[often].tolist()))
-                window.clear()
-
-        def batch(ids: pa.Array, sizes: list[int], marks: list[tuple[int, int]]) -> pa.RecordBatch:
-            n = len(sizes)
-            hot, times = [None] * n, [None] * n
-            while ready and n:
-                hot[0], times[0] = ((hot[0] or []) + ready[-1][0], (times[0] or []) + ready[-1][1])
-                ready.pop()
-            return pa.RecordBatch.from_arrays([
-                ids, pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-                pa.array(hot, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())),
-            ], names=schema.names)
-
-        waiting = None
         for block in blocks(batches):
             sets = shingle_sets(block.data, block.offsets)
             marks = [set_marks(s) for s in sets]
-            if waiting is not None:
-                yield batch(*waiting)
-            waiting = (block.rows.column(0), [len(s) for s in sets], marks)
-            for m, s in zip(marks, sets):
-                if len(s) and m not in window:
-                    window[m] = s
-                    held += len(s)
-            if held >= 2 * WINDOW:
-                close()
-                held = 0
-        close()
-        if waiting is not None:
-            yield batch(*waiting)
+            yield pa.RecordBatch.from_arrays([
+                block.rows.column(0), pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
+            ], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def frequent_shingles(digests: DataFrame, limit: int = HOT_KEYS) -> np.ndarray:
-    """The most frequent shingles, at most ``limit``, sorted. They only order the lists."""
-    pairs = digests.where("hot is not null").select(F.explode(F.arrays_zip("hot", "times")).alias("x"))
-    counts = pairs.groupBy("x.hot").agg(F.sum("x.times").alias("c"))
-    top = counts.orderBy(F.desc("c"), "hot").limit(limit).select("hot").toPandas()
-    return np.sort(top["hot"].to_numpy(dtype=np.int64).view(np.uint64))
+def shingle_levels(docs: DataFrame, shards: int, text_col: str = "text") -> DataFrame:
+    """Shingles (``COUNT_BITS`` bits of their hash) in ``OFTEN`` classes or more, packed by level: level, size, keys.
 
+    A level is twice the binary logarithm of the count. A class that several windows hold counts once in each.
+    """
 
-def list_head(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The shingles of a set that go into lists: n - T + 1 of them, frequent ones last."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate(list(window.values())) >> _UNCOUNTED, return_counts=True)
+            shard = (keys % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            shard, keys, times = shard[order], keys[order] // np.uint64(shards), times[order].astype(np.uint32)
+            first, length = _runs(shard)
+            ends = first + length
+            return pa.RecordBatch.from_arrays([
+                pa.array(shard[first].astype(np.int32)), pa.array(length.astype(np.int64)),
+                pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(first, ends)], pa.binary()),
+                pa.array([_planes(times[a:b]) for a, b in zip(first, ends)], pa.binary()),
+            ], names=["shard", "size", "keys", "times"])
+
+        for block in blocks(batches, text_col):
+            for s in shingle_sets(block.data, block.offsets):
+                mark = set_marks(s)
+                if len(s) and mark not in window:
+                    window[mark] = s
+                    held += len(s)
+            if held >= 2 * WINDOW:
+                yield flush()
+                window, held = {}, 0
+        if window:
+            yield flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for shard, n, keys, times in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                parts.setdefault(shard, []).append((np.cumsum(_whole(keys, n, np.uint64), dtype=np.uint64), _whole(times, n, np.uint32)))
+        for shard in sorted(parts):
+            keys, times = (np.concatenate([p[i] for p in parts[shard]]) for i in range(2))
+            del parts[shard]
+            order = np.argsort(keys, kind="stable")
+            keys, times = keys[order], times[order]
+            first, _ = _runs(keys)
+            keys, times = keys[first] * np.uint64(shards) + np.uint64(shard), np.add.reduceat(times, first, dtype=np.int64)
+            keys, level = keys[times >= OFTEN], np.floor(2 * np.log2(times[times >= OFTEN])).astype(np.int32)
+            for x in np.unique(level):
+                of = keys[level == x]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x], pa.int32()), pa.array([len(of)], pa.int64()), pa.array([_planes(np.diff(of, prepend=np.uint64(0)))], pa.binary()),
+                ], names=["level", "size", "keys"])
+
+    counted = docs.select(F.col(text_col)).mapInArrow(run, "shard int, size long, keys binary, times binary")
+    return counted.repartition(shards, "shard").mapInArrow(total, "level int, size long, keys binary")
+
+
+def frequent_shingles(levels: DataFrame, limit: int = HOT_KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the highest levels, at most ``limit`` of them, sorted; and their levels. They only order the lists."""
+    fixed = cut_lineage(levels)
+    least, held = None, 0
+    for x in fixed.groupBy("level").agg(F.sum("size").alias("n")).orderBy(F.desc("level")).collect():
+        held += x.n
+        if held > limit:
+            break
+        least = x.level
+    rows = [] if least is None else fixed.where(F.col("level") >= least).collect()
+    if not rows:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8)
+    keys = np.concatenate([np.cumsum(_whole(bytes(x["keys"]), x["size"], np.uint64), dtype=np.uint64) for x in rows])
+    level = np.repeat(np.array([x["level"] for x in rows], dtype=np.uint8), [x["size"] for x in rows])
+    order = np.argsort(keys)
+    return keys[order], level[order]
+
+
+def list_head(s: np.ndarray, hot: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The shingles of a set that go into lists: n - T + 1 of them, frequent ones last, the most frequent at the very end."""
     p = len(s) - required(len(s)) + 1
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-        often = hot[at] == s
-        s = np.concatenate([s[~often], s[often]])
+        key = s >> _UNCOUNTED
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        s = s[np.argsort(np.where(hot[at] == key, level[at], 0), kind="stable")]
     return s[:p]
 
 
@@ -191,7 +229,7 @@ def _stars(keys: np.ndarray, refs: np.ndarray, sizes: np.ndarray, first: np.ndar
     return refs[at[own]], refs[head[own]], sizes[at[own]], sizes[head[own]]
 
 
-def inverted_lists(docs: DataFrame, hot: np.ndarray, shards: int, text_col: str = "text") -> DataFrame:
+def inverted_lists(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards: int, text_col: str = "text") -> DataFrame:
     """List entries packed by shard: shard, blob of (shingle, class, size); or untested pairs of long local lists."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     schema = "shard int, blob binary, pairs array<struct<a:long,b:long,na:int,nb:int>>"
@@ -234,7 +272,7 @@ def inverted_lists(docs: DataFrame, hot: np.ndarray, shards: int, text_col: str
                 if mark in seen:
                     continue
                 seen.add(mark)
-                heads.append(list_head(s, often))
+                heads.append(list_head(s, *often))
                 refs.append(mark[0])
                 sizes.append(len(s))
                 held += len(heads[-1])
@@ -463,8 +501,9 @@ def link_clusters(sets: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id (smallest id reachable by links)."""
     digests = cut_lineage(shingle_digests(docs, id_col, text_col))
-    hot = frequent_shingles(digests)
     shards = spread_count(docs)
+    total = digests.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    hot = frequent_shingles(shingle_levels(docs, max(shards, -(-total // COUNT_SHARD)), text_col))
     pairs = cut_lineage(candidate_pairs(inverted_lists(docs, hot, shards, text_col), shards))
     clusters = cut_lineage(components(pairs))
     marks = ["n", "f1", "f2"]

@@ -78,6 +78,18 @@ def test_near_edges(spark):
     assert jaccard.drop_near_copies(both.limit(0)).count() == 0
 
 
+def test_passage_spread_over_tasks_links_nothing(spark, monkeypatch):
+    """A passage is frequent by its count over all tasks; else its lists link all its texts untested."""
+    r = h.rng(31)
+    passage = h.words(r, 40)
+    texts = [passage + " " + h.words(r, 160, 10**6) for _ in range(2 * jaccard.LIST)]
+    found = []
+    monkeypatch.setattr(jaccard, "components", lambda pairs, *a: found.append(pairs.count()) or components(pairs, *a))
+    out = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_components(h.table(spark, texts, parts=len(texts))).collect()}
+    assert out == h.near_classes(list(range(len(texts))), texts)
+    assert found == [0]
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_one_id_with_several_texts(spark, block):
     r = h.rng(21)
