@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.quality import table_fingerprint
+from tallyframe.operators.skew import spread_work
 
 VERSION_SCHEMA = (
     "id string, dataset_name string, version string, sha256 string, row_count long, schema_json string, "
@@ -30,10 +34,83 @@ RUN_SCHEMA = (
 LATEST_ROWS = 1000
 
 
+# Files beyond this many bytes are hashed as a stream: a row of Spark holds at most 2 GB, and several copies of it.
+ROW_BYTES = 64 << 20
+CHUNK_BYTES = 1 << 20
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
+
 def file_manifest(spark: SparkSession, *paths: str) -> DataFrame:
-    """Path, size and SHA-256 of every file; files are hashed in parallel, one per row."""
+    """Path, size and SHA-256 of every file; files are hashed in parallel, one per row, large ones chunk by chunk."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= ROW_BYTES).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if files.where(F.col("length") > ROW_BYTES).select("path").isEmpty():
+        return small
+    return small.unionByName(_large_manifest(spark, paths))
+
+
+def _large_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Manifest of the files beyond ``ROW_BYTES``.
+
+    Spark's readers give a file in pieces only as lines, so its splits are read as lines of bytes that end at 0x0A and are
+    joined to chunks again; one task per file hashes its chunks in order and keeps none of them. The reader drops a byte order
+    mark at the beginning and does not tell whether the last line has an end: the file's size tells both. A file
+    whose bytes cannot be had like this (one that Spark unpacks by its name, say) is an error.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(list(paths))
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
+        F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"),
+    ).where(F.col("_metadata.file_size") > ROW_BYTES)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, held, size = None, 0, [], 0
+
+        def chunk() -> pa.RecordBatch:
+            path, whole, start = at
+            return pa.RecordBatch.from_arrays(
+                [pa.array([path]), pa.array([whole], pa.int64()), pa.array([start], pa.int64()), pa.array([part], pa.int64()), pa.array([b"\n".join([*held, b""])], pa.binary())],
+                names=["path", "bytes", "start", "part", "body"])
+
+        for batch in batches:
+            for *here, line in zip(*[c.to_pylist() for c in batch.columns]):
+                if here != at or size >= CHUNK_BYTES:
+                    if held:
+                        yield chunk()
+                    part = part + 1 if here == at else 0
+                    at, held, size = here, [], 0
+                held.append(line)
+                size += len(line) + 1
+        if held:
+            yield chunk()
+
+    def hashed(rows: Iterator) -> Iterator[tuple[str, int, str]]:
+        path, whole, seen, tail, digests = None, 0, 0, b"", []
+
+        def close() -> tuple[str, int, str]:
+            # Every line was given an end; the last one may have none, and a mark may have been dropped.
+            for digest, mark in zip(digests, (b"", BYTE_ORDER_MARK)):
+                if whole - len(mark) in (seen, seen - 1):
+                    digest.update(tail[: len(tail) + whole - len(mark) - seen])
+                    return unquote(path), whole, digest.hexdigest()  # metadata has the path quoted
+            raise ValueError(f"{path} has {whole} bytes, its lines {seen}")
+
+        for r in rows:
+            if r["path"] != path:
+                if path is not None:
+                    yield close()
+                path, whole, seen, tail, digests = r["path"], r["bytes"], 0, b"", [hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK)]
+            for digest in digests:
+                digest.update(tail)
+            tail = bytes(r["body"])
+            seen += len(tail)
+        if path is not None:
+            yield close()
+
+    parts = lines.mapInArrow(chunks, "path string, bytes long, start long, part long, body binary")
+    placed = spread_work(parts, "path").sortWithinPartitions("path", "start", "part")
+    # Rows go over one by one, as an Arrow batch would hold thousands of chunks.
+    return spark.createDataFrame(placed.rdd.mapPartitions(hashed), "path string, bytes long, sha256 string")
 
 
 def latest(df: DataFrame, order: Sequence[str], limit: int = 100) -> DataFrame:

@@ -1,5 +1,6 @@
 """Steps whose cost per task or per row must not grow with the tables; tables are built here."""
 
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyframe.operators import draws as dr, priors, snapshots as sn
+from tallyframe.operators import draws as dr, lineage, priors, snapshots as sn
 from tallyframe.plans import jobs, q_draws, q_priors, views as v
 
 
@@ -181,3 +182,26 @@ def test_snapshots_do_not_sort_the_copies_of_a_poll(spark, tmp_path):
     assert want and len({d for d, _ in want}) > 1 and sorted(got) == sorted(want)
     plan = snaps._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"windowspecdefinition\((\w+)#", plan)) == {"poll_id"}
+
+
+def test_files_too_large_for_a_row_are_hashed_in_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "ROW_BYTES", 1000, raising=False)
+    monkeypatch.setattr(lineage, "CHUNK_BYTES", 64, raising=False)
+    noise = bytes(i * i * 31 % 251 for i in range(3000))
+    bodies = {"plain": noise, "ended": noise + b"\n", "mark": b"\xef\xbb\xbf" + noise, "mark_ended": b"\xef\xbb\xbf" + noise + b"\n", "ends": b"\n" * 2000,
+              "line": b"x" * 5000, "a %20[b].bin": b"\r\n\xff\x00" * 700, "small": b"hello", "least": b"y" * 1000}
+    (tmp_path / "deep").mkdir()
+    for i, (name, body) in enumerate(bodies.items()):
+        (tmp_path / ("deep" if i % 2 else "") / name).write_bytes(body)
+    confs = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "700"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, x in confs.items():
+            spark.conf.set(k, x)
+        rows = lineage.file_manifest(spark, str(tmp_path)).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert len(rows) == len(bodies)
+    assert {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in rows} == {
+        name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items()}
