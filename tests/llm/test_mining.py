@@ -134,6 +134,16 @@ def test_collocations_edges(spark):
     assert phrases(spark, [(None, None), ("", "en"), (" . , \t", "en"), ("one two", "en")]) == []
 
 
+def test_counts_of_phrases_are_not_broadcast(spark, tmp_path):
+    """A stored table of counts may be small as compressed and large once copied for a join."""
+    rows = [("en", 1, "a", 90), ("en", 1, "b", 80), ("en", 1, "c", 70), ("en", 2, "a b", 60), ("en", 2, "b c", 50), ("en", 3, "a b c", 45)]
+    spark.createDataFrame(rows, "lang string, words int, phrase string, f long").write.parquet(f"{tmp_path}/counts")
+    counts = spark.read.parquet(f"{tmp_path}/counts")
+    for df in (collocations.scored(counts), collocations.covered(counts, 80)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.phrase, x.a, x.l, x.r) for x in collocations.scored(counts).collect()) == [("a b", 60, 90, 80), ("a b c", 45, 90, 50), ("b c", 50, 80, 70)]
+
+
 def test_chunks_own_every_word_once(spark):
     rows = phrase_rows(h.rng(8))
     df = spark.createDataFrame(rows, "text string, lang string")
