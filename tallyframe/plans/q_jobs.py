@@ -168,7 +168,7 @@ def _(spark, d):
     from tallyframe.operators.priors import build_state_priors
     from tallyframe.operators.results import with_vote_share
     as_of = date(1998, 1, 1)
-    p = stored_polls(spark, d).where(F.col("field_date").between(F.lit(date(1997, 10, 1)), F.lit(as_of))).withColumn("election_id", F.lit("E98")).withColumn("as_of", F.lit(as_of))
+    p = stored_polls(spark, d).where(F.col("field_date") <= F.lit(as_of)).withColumn("election_id", F.lit("E98")).withColumn("as_of", F.lit(as_of))
     p = cut_lineage(complete_polls(p, ["election_id"]))  # the fit refuses incomplete polls; P08_incomplete_polls lists them
     # Votes are written before their names are normalised, else the optimizer normalises the name of every line.
     r = cut_lineage(with_vote_share(v.results(spark, d).where(F.col("year") == 1997), ["year", "uf"]).withColumn("election_id", F.lit("E98")))

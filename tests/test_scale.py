@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallyframe.operators import draws as dr, lineage, priors, snapshots as sn
-from tallyframe.plans import jobs, q_draws, q_priors, views as v
+from tallyframe.plans import jobs, q_draws, q_jobs, q_priors, views as v
 
 
 @pytest.fixture()
@@ -89,6 +89,20 @@ def test_prediction_stores_the_votes_before_names_are_normalised(spark, tables,
     assert "Aggregate" not in str(plan.value)
 
 
+def test_prediction_reads_all_polls_up_to_its_date(spark, tables, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    def stop(polls, *args, **kwargs):
+        raise Enough({r["poll_id"] for r in polls.select("poll_id").collect()})
+
+    monkeypatch.setattr(q_jobs, "complete_polls", stop)
+    with pytest.raises(Enough) as seen:
+        __spark_entry__.queries()["D17_predict"](spark, tables)
+    lines = spark.read.parquet(f"{tables}/lineitem.parquet").where("l_orderkey is not null").select("l_orderkey").distinct()
+    assert seen.value.args[0] == {r["l_orderkey"] for r in lines.collect()}
+
+
 def test_slates_are_found_in_dealt_shares_of_the_polls(spark, tmp_path):
     """The polls are dealt once per reading, by poll; no later step deals their rows or groups them over whole splits."""
     day = F.lit("2000-12-20").cast("date")
